@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from tessera.llm.common import lowered, slices
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces kept by a Python worker before the table is emptied (about 150 bytes each).
-KEPT = 1_000_000
+KEPT = 1_200_000
 SPECIAL = b"<|"
 
 
@@ -50,6 +51,8 @@ class Encoder:
 
     def __init__(self, name: str = VOCABULARY):
         self.tokenizer = _tokenizer(name)
+        self.word_ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.word_ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -60,10 +63,19 @@ class Encoder:
         self.length = np.zeros(1 << 14, np.int64)
 
     def _add(self, pieces: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        got = [e.ids for e in encoded]
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
+        # a run of a to z is one word to the tokenizer, so the ids of many, encoded as one text, part at its word ends
+        plain = [p for p in pieces if p.isalpha()]
+        other = [p for p in pieces if not p.isalpha()]
+        pieces = plain + other
+        lines = [b" ".join(plain[i : i + 500]).decode() for i in range(0, len(plain), 500)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(lines + [p.decode() for p in other], add_special_tokens=False)]
+        n = [np.fromiter(map(len, ids[len(lines) :]), np.int64, len(other))]
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
+        if plain:
+            last = np.flatnonzero(self.word_ends[flat[: sum(map(len, ids[: len(lines)]))]])
+            n.insert(0, np.diff(last, prepend=-1))
+        n = np.concatenate(n)
+        assert len(n) == len(pieces)
         while self.end + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while len(self.index) + len(pieces) > len(self.start):
@@ -93,30 +105,24 @@ class Encoder:
         cut[off] = True
         bound = np.flatnonzero(cut)
         filled = kind[bound[:-1]] != 0
-        start, end = bound[:-1][filled], bound[1:][filled]
-        flat = lowered()[data]
-        # the pieces as an Arrow array without copying: white space is dropped by making it pieces of its own
-        every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bound) - 1, [None, pa.py_buffer(bound.astype(np.int64)), pa.py_buffer(flat)])
-        coded = every.dictionary_encode()
-        code, values = coded.indices.to_numpy()[filled], coded.dictionary.to_pylist()
-        used = np.zeros(len(values), bool)
-        used[code] = True
-        need = [values[i] for i in np.flatnonzero(used)]
+        start = bound[:-1][filled]
+        ends = np.concatenate(([0], np.cumsum((bound[1:] - bound[:-1])[filled]))).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+        form = (pa.BinaryArray, pa.binary()) if ends.dtype == np.int32 else (pa.LargeBinaryArray, pa.large_binary())
+        pieces = form[0].from_buffers(form[1], len(start), [None, pa.py_buffer(ends), pa.py_buffer(lowered()[data[kind != 0]])])
+        coded = pieces.dictionary_encode()
+        code, need = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         if len(self.index) + len(need) > KEPT:
             self.clear()
         new = [p for p in need if p not in self.index]
         if new:
             self._add(new)
-        known = np.zeros(len(values), np.int64)
-        known[used] = np.fromiter((self.index[p] for p in need), np.int64, len(need))
-        known = known[code]
+        known = np.fromiter(map(self.index.__getitem__, need), np.int64, len(need))[code]
         n = self.length[known]
         stop = np.cumsum(n)
         total = int(stop[-1]) if len(stop) else 0
         ids = self.ids[np.arange(total) + np.repeat(self.start[known] - stop + n, n)]
         text_of = np.searchsorted(off, start, "right") - 1
         out = np.concatenate(([0], np.cumsum(np.bincount(text_of, n, minlength=n_texts).astype(np.int64))))
-        del end
         return self._whole(data, off, ids, out)
 
     def _whole(self, data: np.ndarray, off: np.ndarray, ids: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,5 +144,11 @@ class Encoder:
             yield (part, *self.encode(data, off))
 
 
+@cache
+def encoder(name: str = VOCABULARY) -> Encoder:
+    """This Python worker's encoder: its table serves all tasks that the worker runs."""
+    return Encoder(name)
+
+
 def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())

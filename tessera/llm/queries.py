@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import ngram_join
+from tessera.llm import ngram_join, packing, sharding, token_files
 
 QUERIES = {
+    "op1_consistent_hash_sharding": sharding.op1,
+    "op3_best_fit_packing": packing.op3,
     "op6_ngram_jaccard_join": ngram_join.op6,
+    "op8_token_id_files": token_files.op8,
 }
 
 ORACLE_SQL = {

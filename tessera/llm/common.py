@@ -14,7 +14,8 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4_000_000
 #: Fixed seeds of the hash functions below; any odd 64-bit numbers do.
@@ -94,6 +95,15 @@ def file_size(uri: str) -> int:
     return f.get_file_info(path).size
 
 
+def count_up_to(column: Column, values: list[int]) -> Column:
+    """How many of the ascending values are at most the column's: a binary search in expressions."""
+    if not values:
+        return F.lit(0)
+    at = F.array(*map(F.lit, values))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(values).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, w: F.when((n + w <= len(values)) & (F.get(at, n + w - 1) <= column), n + w).otherwise(n))
+
+
 # ---------------------------------------------------------------- bytes of a text column
 
 

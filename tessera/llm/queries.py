@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from tessera.llm import lm_scoring, ngram_join, packing, quality, sharding, token_files
+from tessera.llm import decontaminate, lm_scoring, ngram_join, packing, quality, sharding, syncmers, token_files, warc
 
 QUERIES = {
     "op1_consistent_hash_sharding": sharding.op1,
+    "op2_warc_archives": warc.op2,
     "op3_best_fit_packing": packing.op3,
+    "op5_closed_syncmer_fingerprints": syncmers.op5,
     "op6_ngram_jaccard_join": ngram_join.op6,
+    "op7_latent_decontamination": decontaminate.op7,
     "op8_token_id_files": token_files.op8,
     "op9_additive_quality_classifier": quality.op9,
     "op10_cross_entropy_difference": lm_scoring.op10,
 }
 
 ORACLE_SQL = {
+    "op2_warc_archives": warc.ORACLE,
     "op6_ngram_jaccard_join": ngram_join.ORACLE,
 }

@@ -4,7 +4,7 @@ Words are runs of letters, digits and bytes over 0x7F, lower-cased A to Z. A tex
 their positions: all that is needed of it afterwards. Passages are windows of 2 * STRIDE words at every STRIDE words over whole
 texts, weighted by TF-IDF over all passages. A randomised SVD of the passage matrix (range finder with one power step, then
 Rayleigh-Ritz) gives a latent space: each task sends sums of a fixed size, which are added in two steps. Passages whose cosine
-with a benchmark item reaches COSINE there are candidates. A candidate stands if the longest common subsequence of item and
+with a benchmark item reaches COSINE there, or that carry SHARE of an item's weight, are candidates. A candidate stands if the longest common subsequence of item and
 passage (STRIDE words wider on both sides) has at least COPY of the item's words, or at least PARAPHRASE of them while ANSWER of
 the item's last sentence, its answer, appears there in order.
 
@@ -26,10 +26,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import hash_spans, lowered, materialize, runs, slices, table
 
-STRIDE, RANK, EXTRA, COSINE = 32, 96, 32, 0.35
+STRIDE, RANK, EXTRA, COSINE = 32, 208, 32, 0.25
+#: A short item in a long passage has a low cosine; cosine times passage length over item length, the share of the item's
+#: weight in the space that the passage carries, makes a candidate as well from here on.
+SHARE = 0.5
+#: Terms in a greater share of passages have no weight in the latent space (they count in the subsequence check).
+MOST = 0.01
+#: Each item counts in the decomposition as a passage with this weight, so that rare items have a place in the space.
+HEAVY = 30.0
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 #: Items per block, and entries of the sparse matrix that are multiplied at once.
-ITEMS, CHUNK = 5_000, 40_000
+ITEMS, CHUNK = 200, 40_000
 HITS = "doc_id long, item_id long, cosine double, lcs double, answer double, word long"
 
 
@@ -103,13 +110,13 @@ def _sparse(vocabulary: np.ndarray):
     return run
 
 
-def _stripes(batch: pa.RecordBatch):
-    """Rows of a batch in runs of about CHUNK entries: the slice; term and stripe of each entry; text of each stripe."""
+def _stripes(batch: pa.RecordBatch, most: int = CHUNK):
+    """Rows of a batch in runs of about `most` entries: the slice; term and stripe of each entry; text of each stripe."""
     length = np.diff(batch.column("pos").offsets.to_numpy())
     ends = np.cumsum(length)
     row = 0
     while row < batch.num_rows:
-        stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + CHUNK, "right")))
+        stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + most, "right")))
         part = batch.slice(row, stop - row)
         pos, term = (part.column(c).flatten().to_numpy().astype(np.int64) for c in ("pos", "term"))
         n = -(-part.column("n").to_numpy() // STRIDE)
@@ -173,8 +180,9 @@ def _sums(sparse: DataFrame, make, shape: tuple[int, ...]) -> np.ndarray:
     return out.reshape(shape)
 
 
-def latent_space(sparse: DataFrame, size: int, rank: int = RANK, extra: int = EXTRA) -> tuple[np.ndarray, np.ndarray]:
-    """idf of the terms, and the term vectors of the leading singular directions (size x rank, times idf)."""
+def latent_space(sparse: DataFrame, items: Items, rank: int = RANK, extra: int = EXTRA, most: float = MOST) -> tuple[np.ndarray, np.ndarray]:
+    """idf of the terms (0: no weight), and the term vectors of the leading singular directions (terms x rank, times idf)."""
+    size = len(items.vocabulary)
 
     def frequency(total, part, term, stripe, owner):
         total[size] += len(owner)
@@ -183,43 +191,64 @@ def latent_space(sparse: DataFrame, size: int, rank: int = RANK, extra: int = EX
 
     df = _sums(sparse, frequency, (size + 1,))
     idf = np.log((df[size] + 1) / (df[:size] + 1)) + 1e-3
+    rare = df[:size] <= most * df[size]
+    for w in items.words:  # an item of frequent words only is known by these
+        if rare[w].sum() < 3:
+            rare[w] = True
+    idf[~rare] = 0
     width = min(rank + extra, size)
+    own = np.zeros((len(items.words), size))
+    for i, w in enumerate(items.words):
+        np.add.at(own[i], w, HEAVY * idf[w])
     omega = (np.random.default_rng(7).standard_normal((size, width)) * idf[:, None]).astype(np.float32)
 
     def power(total, part, term, stripe, owner):
+        term, stripe = term[rare[term]], stripe[rare[term]]
         u = _unwindows(_windows(_times(term, stripe, len(owner), omega), owner), owner)
         order = np.argsort(term, kind="stable")
         t = term[order]
-        cut = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        total[t[cut]] += np.add.reduceat(u[stripe[order]], cut, axis=0)
+        if len(t):
+            cut = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+            total[t[cut]] += np.add.reduceat(u[stripe[order]], cut, axis=0)
 
-    y = _sums(sparse, power, (size, width)) * idf[:, None]
+    y = _sums(sparse, power, (size, width)) * idf[:, None] + own.T @ (own @ np.where(idf[:, None] > 0, omega / np.maximum(idf, 1e-9)[:, None], 0))
     q, _ = np.linalg.qr(y)
     weighted = (q * idf[:, None]).astype(np.float32)
 
     def gram(total, part, term, stripe, owner):
+        term, stripe = term[rare[term]], stripe[rare[term]]
         z = _windows(_times(term, stripe, len(owner), weighted), owner)
         total += z.T @ z
 
-    value, turn = np.linalg.eigh(_sums(sparse, gram, (width, width)))
+    near = own @ q
+    value, turn = np.linalg.eigh(_sums(sparse, gram, (width, width)) + near.T @ near)
     best = np.argsort(-value)[: min(rank, width)]
     return idf, (q @ turn[:, best] * idf[:, None]).astype(np.float32)
 
 
-def _unit(z: np.ndarray) -> np.ndarray:
-    return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-
-
-def _search(items: Items, space: np.ndarray, cosine: float):
-    vectors = _unit(np.stack([space[w].sum(0) for w in items.words]))
+def _search(items: Items, idf: np.ndarray, space: np.ndarray, cosine: float):
+    """Cosines divide by the length of the whole vectors: what the space loses of a passage, other words too, counts against it."""
+    square = (idf**2).astype(np.float32)[:, None]
+    other, rare = float(idf.max() ** 2) if len(idf) else 0.0, idf > 0
+    sizes = np.array([max(1e-6, float(np.sqrt(square[w].sum()))) for w in items.words], np.float32)
+    vectors = np.stack([space[w].sum(0) for w in items.words]) / sizes[:, None]
+    kept = np.maximum(np.linalg.norm(vectors, axis=1), 1e-6)  # the share of an item's length that the space keeps
 
     def run(batches):
         for batch in batches:
             hits = []
             for part, term, stripe, owner in _stripes(batch):
-                z = _unit(_windows(_times(term, stripe, len(owner), space), owner))
-                like = z @ vectors.T
-                win, item = np.nonzero(like >= cosine)
+                own = rare[term]
+                z = _times(term[own], stripe[own], len(owner), space)
+                known = np.bincount(stripe, minlength=len(owner))
+                place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                size = np.minimum(STRIDE, part.column("n").to_numpy()[owner] - place * STRIDE)
+                length = _times(term[own], stripe[own], len(owner), square)[:, 0] + other * (size - known)
+                length = np.sqrt(np.maximum(_windows(length, owner), 1e-9))
+                like = _windows(z, owner) @ vectors.T
+                share = like / (sizes * kept**2)
+                like /= length[:, None]
+                win, item = np.nonzero((like >= cosine) | (share >= SHARE))
                 if not len(win):
                     continue
                 first = np.searchsorted(owner, np.arange(part.num_rows))
@@ -235,11 +264,11 @@ def _search(items: Items, space: np.ndarray, cosine: float):
                     if np.isin(words, seen).sum() < PARAPHRASE * len(words):
                         continue
                     seen = seen.tolist()
-                    share = lcs(words, seen) / len(words)
+                    common = lcs(words, seen) / len(words)
                     answer = items.answers[k]
                     said = lcs(answer, seen) / len(answer) if len(answer) else 0.0
-                    if share >= COPY or share >= PARAPHRASE and said >= ANSWER:
-                        best[d, k] = max(best.get((d, k), (0.0,)), (share, said, float(like[w, k]), (w - int(first[d])) * STRIDE))
+                    if common >= COPY or common >= PARAPHRASE and said >= ANSWER:
+                        best[d, k] = max(best.get((d, k), (0.0,)), (common, said, float(like[w, k]), (w - int(first[d])) * STRIDE))
                 hits += [(ids[d], items.ids[k], c, s, a, at) for (d, k), (s, a, c, at) in best.items()]
             if hits:
                 c = list(zip(*hits, strict=True))
@@ -259,8 +288,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
         if not items.ids:
             return
         sparse = materialize(docs.mapInArrow(_sparse(items.vocabulary), "doc_id long, n long, pos array<int>, term array<int>"), "sparse")
-        _, space = latent_space(sparse, len(items.vocabulary))
-        found = sparse.mapInArrow(_search(items, space, cosine), HITS)
+        idf, space = latent_space(sparse, items)
+        found = sparse.mapInArrow(_search(items, idf, space, cosine), HITS)
         out.append(found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("cosine", "lcs", "answer", "word"), F.struct("lcs", "word")).alias("m")).select("doc_id", "item_id", "m.*"))
 
     for r in benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, lm_scoring, ngram_join, packing, quality, sharding, syncmers, token_files, warc
+from tessera.llm import chat, decontaminate, lm_scoring, ngram_join, packing, quality, sharding, syncmers, token_files, warc
 
 QUERIES = {
     "op1_consistent_hash_sharding": sharding.op1,
     "op2_warc_archives": warc.op2,
     "op3_best_fit_packing": packing.op3,
+    "op4_perspective_rotation": chat.op4,
     "op5_closed_syncmer_fingerprints": syncmers.op5,
     "op6_ngram_jaccard_join": ngram_join.op6,
     "op7_latent_decontamination": decontaminate.op7,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_warc_archives": warc.ORACLE,
+    "op4_perspective_rotation": chat.ORACLE,
     "op6_ngram_jaccard_join": ngram_join.ORACLE,
 }

@@ -28,7 +28,8 @@ SHARDS, VNODES, SALTS = 16, 128, 16
 
 def ring(spark: SparkSession, shards: int, vnodes: int) -> list[tuple[int, int]]:
     """The ring's points in order, with their shards: shards * vnodes pairs, made by Spark's own hash."""
-    points = spark.range(shards).crossJoin(spark.range(vnodes).withColumnRenamed("id", "node")).select(F.xxhash64(F.lit("vnode"), "id", "node").alias("at"), F.col("id").alias("shard"))
+    points = spark.range(shards * vnodes).select((F.col("id") / vnodes).cast("long").alias("shard"), (F.col("id") % vnodes).alias("node"))
+    points = points.select(F.xxhash64(F.lit("vnode"), "shard", "node").alias("at"), "shard")
     return sorted((r.at, r.shard) for r in points.collect())
 
 

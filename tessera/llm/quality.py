@@ -176,7 +176,9 @@ def _pair_tree(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    share = float(y.mean()) if len(y) else 0.5
+    if not len(y):
+        return Model(0.0)
+    share = float(y.mean())
     if not 0 < share < 1:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.log(share / (1 - share)))

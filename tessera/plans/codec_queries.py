@@ -1,2 +1,116 @@
-QUERIES = {}
-ORACLES = {}
+"""Container, codec and package queries: the driver's tables as payloads, each with a result that SQL can state."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from tessera.kernels import container as ct
+from tessera.kernels import lossless, package, signal
+from tessera.plans import queries as plans
+from tessera.sources.containers import chunk_rows, pack_text, parse_files
+
+QUERIES = plans.QUERIES
+ORACLES = plans.ORACLES
+query = plans.query
+
+
+@query("SELECT 'doc-' || doc_id AS path, 'Document ' || doc_id AS title, source AS album, (strlen(text) // 2)::BIGINT AS total_samples, 1::BIGINT AS n_frames, NULL::VARCHAR AS parse_error FROM documents")
+def container_roundtrip(t):
+    files = parse_files(pack_text(t("documents")))
+    from tessera.operators.catalog import meta_value
+
+    return files.select("path", meta_value(F.col("meta"), "Title").alias("title"), meta_value(F.col("meta"), "album").alias("album"), "total_samples", "n_frames", "parse_error")
+
+
+@query("SELECT 'doc-' || doc_id AS path, c.chunk_no::INT AS chunk_no, c.fourcc, 0::INT AS repeat_index, true AS crc_ok FROM documents, (VALUES (0, 'HEAD'), (1, 'META'), (2, 'AUDI')) c(chunk_no, fourcc)")
+def crc_verify(t):
+    # Spark's own crc32 against the stored one
+    c = chunk_rows(pack_text(t("documents")))
+    return c.select("path", "chunk_no", "fourcc", "repeat_index", (F.col("crc_ok") & (F.crc32("payload") == F.col("stored_crc"))).alias("crc_ok"))
+
+
+@query("SELECT 'doc-' || doc_id AS path, 'chunk AUDI extends past the end' AS parse_error FROM documents WHERE n_chars > 500")
+def truncated_files(t):
+    files = pack_text(t("documents").where("n_chars > 500")).withColumn("content", F.expr("substring(content, 1, octet_length(content) - 7)"))
+    return parse_files(files).select("path", "parse_error")
+
+
+def _per_row(df, make, schema: str, *columns: str):
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            rows = [make(*r) for r in zip(*(b.column(c).to_pylist() for c in columns), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(names)}, schema=arrow)
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+    arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+    return df.select(*columns).mapInArrow(run, schema)
+
+
+def _pcm(text: str) -> np.ndarray:
+    raw = (text or "").encode()
+    return np.frombuffer(raw[: len(raw) // 2 * 2], "<i2").astype(np.int16)
+
+
+@query("SELECT doc_id, (strlen(text) // 2)::BIGINT AS samples, true AS mono_exact, true AS stereo_exact, true AS raw_exact FROM documents")
+def lossless_roundtrip(t):
+    def make(doc_id, text):
+        x = _pcm(text)
+        pair = x[: len(x) // 2 * 2]
+        return doc_id, len(x), bool((lossless.decode(lossless.encode(x)) == x).all()), bool((lossless.decode(lossless.encode(pair, 2)) == pair).all()), bool((lossless.decode(lossless.encode(x, 1, lossless.RAW_VERSION)) == x).all())
+
+    return _per_row(t("documents"), make, "doc_id long, samples long, mono_exact boolean, stereo_exact boolean, raw_exact boolean", "doc_id", "text")
+
+
+@query()
+def lossless_diagnostics(t):
+    def make(vec_id, v):
+        x = np.repeat(signal.to_int(np.asarray(v, np.float32)), 64)
+        data = lossless.encode(x)
+        n = lossless.counts(data)
+        return vec_id, len(x), len(data), n["raw"], n["delta"], n["lpc_varint"], n["silence"] + n["const"], 8.0 * n["payload_bytes"] / len(x)
+
+    return _per_row(t("embeddings"), make, "vec_id long, samples long, bytes long, raw long, delta long, lpc_varint long, flat long, bits_per_sample double", "vec_id", "embedding")
+
+
+@query("SELECT doc_id, greatest(1, ceil(strlen(text) / 1024.0))::BIGINT AS parts, sha256(text) AS sha256, 0::BIGINT AS issues FROM documents WHERE strlen(text) > 0")
+def package_roundtrip(t):
+    import hashlib
+
+    def make(doc_id, text):
+        raw = package.write({"format": "embedded", "tracks": [str(doc_id)]}, [(f"t{doc_id}", text.encode())], 1024)
+        _, entries = package.index(lambda at, n: raw[at : at + n])
+        found = [package.read_fragment(raw[at : at + n]) for _, at, n in entries]
+        data, issues = package.joined(found)
+        return doc_id, len(entries), hashlib.sha256(data or b"").hexdigest(), len(issues)
+
+    return _per_row(t("documents").where("octet_length(text) > 0"), make, "doc_id long, parts long, sha256 string, issues long", "doc_id", "text")
+
+
+@query("SELECT vec_id, round(max(abs(x)), 6) AS peak FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1")
+def waveform_kernel(t):
+    return _per_row(t("embeddings"), lambda i, v: (i, round(float(signal.peaks(np.asarray(v, np.float32), 16).max()), 6)), "vec_id long, peak double", "vec_id", "embedding").select("vec_id", F.round("peak", 6).alias("peak"))
+
+
+@query("SELECT vec_id, true AS exact FROM embeddings")
+def wav_roundtrip(t):
+    def make(i, v):
+        x = signal.to_int(np.asarray(v, np.float32))
+        y, rate, channels = signal.read_wav(signal.wav(x, 48000, 1))
+        return i, bool((x == y).all() and (rate, channels) == (48000, 1))
+
+    return _per_row(t("embeddings"), make, "vec_id long, exact boolean", "vec_id", "embedding")
+
+
+@query("SELECT page_id, (page_id % 3)::INT AS codec_id, true AS found FROM pages")
+def metadata_prefix(t):
+    def make(i, html):
+        data = ct.write(ct.head_bytes(i % 3, 2, 16, 0, 48000, 10), [("title", "t")], frames=[(0, 0, 0, (html or "").encode())])
+        head, pairs, _ = ct.metadata(data[:120])
+        return i, head["codec_id"], pairs == [("title", "t")]
+
+    return _per_row(t("pages"), make, "page_id long, codec_id int, found boolean", "page_id", "html")

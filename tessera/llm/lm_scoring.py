@@ -126,7 +126,8 @@ def score(docs: DataFrame, models) -> DataFrame:
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    marked = docs.join(good, docs.doc_id == good._id, "left").select("text", F.col("_id").isNotNull().alias("target"))
+    # labels grow with the documents: one plan at every size, by shuffle on both sides
+    marked = docs.join(good.hint("merge"), docs.doc_id == good._id, "left").select("text", F.col("_id").isNotNull().alias("target"))
     return score(docs, train(marked))
 
 

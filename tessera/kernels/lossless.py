@@ -122,6 +122,7 @@ def mid_side(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def from_mid_side(mid: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The format's inverse: exact where left and right are of the same parity, so an encoder tries it first."""
     m, s = mid.astype(np.int32), side.astype(np.int32)
     left = (m + (s >> 1)).astype(np.int16)
     return left, (left.astype(np.int32) - s).astype(np.int16)

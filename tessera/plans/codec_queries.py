@@ -114,3 +114,47 @@ def metadata_prefix(t):
         return i, head["codec_id"], pairs == [("title", "t")]
 
     return _per_row(t("pages"), make, "page_id long, codec_id int, found boolean", "page_id", "html")
+
+
+@query("SELECT doc_id, true AS v3_bound, true AS v4_bound, true AS hybrid_exact, true AS dispatched FROM documents")
+def lossy_and_hybrid(t):
+    from tessera.kernels import lossy
+
+    def make(doc_id, text):
+        # quiet enough that the residual of the base fits 16 bits
+        x = (_pcm(text) // 4).astype(np.int16)
+        y3, y4 = (lossy.decode(lossy.encode(x, 1, 1, v))[: len(x)].astype(int) for v in (3, 4))
+        h = lossy.encode_hybrid(x)
+        far = lambda y, step: bool(len(x) == 0 or np.abs(y - x).max() <= step * 32768 / 2 + 0.01 * 32768)
+        return doc_id, far(y3, 0.05), far(y4, 0.028), bool((lossy.decode_hybrid(h)[: len(x)] == x).all()), bool((lossy.decode_any(h)[: len(x)] == x).all())
+
+    return _per_row(t("documents"), make, "doc_id long, v3_bound boolean, v4_bound boolean, hybrid_exact boolean, dispatched boolean", "doc_id", "text")
+
+
+@query("SELECT event_id, (extract(minute FROM ts) * 60000 + extract(second FROM ts) * 1000)::BIGINT AS time_ms, event_type AS text, NULL::VARCHAR AS error FROM events")
+def lyrics_parse(t):
+    from tessera.operators.timeline import parse_lyrics
+
+    line = F.concat(F.format_string("# a comment\n[%02d:%02d.00|Verse] ", F.minute("ts"), F.second("ts")), F.col("event_type"))
+    got = parse_lyrics(t("events").select("event_id", line.alias("lyrics")), "event_id", "lyrics")
+    return got.select("event_id", "time_ms", "text", "error")
+
+
+@query("SELECT conv_id, turn * 1000 AS start_ms, greatest(turn - 1, 0) * 1000 AS prev_ms, least(turn + 1, max(turn) OVER (PARTITION BY conv_id)) * 1000 AS next_ms, CASE WHEN role = 'user' THEN 'hook' ELSE 'custom' END AS type FROM conversations")
+def section_navigation(t):
+    from tessera.operators.timeline import parse_sections, steps
+
+    c = t("conversations")
+    stamp = lambda s: F.format_string("%02d:%02d.0", F.floor(s / 60).cast("long"), s % 60)
+    line = F.concat(F.lit("["), stamp(F.col("turn")), F.lit("-"), stamp(F.col("turn") + 1), F.when(F.col("role") == "user", "|Hook]").otherwise("|Other]"), F.lit(" x"))
+    texts = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    return steps(parse_sections(texts, "conv_id", "text"), "conv_id").select("conv_id", "start_ms", "prev_ms", "next_ms", "type")
+
+
+@query("SELECT event_id, true AS explicit, false AS safe, len(list_filter([event_type, 'x'], lambda v: trim(v) <> ''))::INT AS n_tags, 'unknown' AS source FROM events")
+def record_normalize(t):
+    from tessera.functions import records
+
+    j = F.to_json(F.struct(F.lit(True).alias("explicit"), F.lit("true").alias("other"), F.array(F.col("event_type"), F.lit(" "), F.lit("x")).alias("warnings")))
+    g = records.guidance(F.col("j"), "explicit", "safe")
+    return t("events").select("event_id", j.alias("j")).select("event_id", g.alias("g")).select("event_id", "g.explicit", "g.safe", F.size("g.warnings").alias("n_tags"), F.col("g.warningSource").alias("source"))

@@ -158,3 +158,60 @@ def record_normalize(t):
     j = F.to_json(F.struct(F.lit(True).alias("explicit"), F.lit("true").alias("other"), F.array(F.col("event_type"), F.lit(" "), F.lit("x")).alias("warnings")))
     g = records.guidance(F.col("j"), "explicit", "safe")
     return t("events").select("event_id", j.alias("j")).select("event_id", g.alias("g")).select("event_id", "g.explicit", "g.safe", F.size("g.warnings").alias("n_tags"), F.col("g.warningSource").alias("source"))
+
+
+@query("SELECT o_orderkey, l_partkey AS track, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS place FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def manifest_tracks(t):
+    from tessera.operators.albums import parse_manifest, tracks
+
+    entry = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q"))
+    lists = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("a"))
+    track = F.transform("a", lambda x: F.struct(x["p"].cast("string").alias("trackId"), F.concat(F.lit("A/"), x["p"], F.lit(".bin")).alias("file"), x["n"].alias("trackNumber")))
+    m = t("orders").join(lists, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.to_json(F.struct(F.lit("album").alias("format"), track.alias("tracks"))).alias("j"))
+    return tracks(parse_manifest(m, "j", "album"), "o_orderkey").select("o_orderkey", F.col("trackId").cast("long").alias("track"), F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 0.0 WHEN bool_or(l_quantity > 45) OVER (PARTITION BY l_orderkey) AND NOT l_quantity > 45 THEN 0.0 ELSE l_discount END AS gain FROM lineitem")
+def effective_gain(t):
+    from tessera.operators.albums import gain
+
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", gain("l_orderkey", F.col("l_discount"), F.col("l_returnflag") == "R", F.col("l_quantity") > 45).alias("gain"))
+
+
+@query("SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'A') THEN 'instrumental' WHEN bool_or(l_returnflag = 'N') THEN 'stems' ELSE 'lyrics' END AS choice FROM lineitem GROUP BY 1")
+def karaoke_choice(t):
+    from tessera.operators.albums import karaoke
+
+    kind = F.when(F.col("l_returnflag") == "A", "instrumental").when(F.col("l_returnflag") == "R", "vocals").otherwise("drums")
+    return karaoke(t("lineitem").withColumn("kind", kind), "l_orderkey", "kind")
+
+
+@query("SELECT source, count(*) AS parts, sum(n_chars)::BIGINT AS bytes, max(n_chars) AS largest FROM documents GROUP BY 1")
+def stem_storage(t):
+    from tessera.operators.albums import storage
+
+    return storage(t("documents"), "source", "n_chars")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN true ELSE false END AS same FROM documents")
+def expected_hash_join(t):
+    from tessera.operators.albums import expected_hashes
+
+    d = t("documents").select("doc_id", F.col("text").alias("payload"))
+    e = d.select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.upper(F.sha2(F.when(F.col("doc_id") % 2 == 0, F.col("payload")).otherwise(F.lit("other")), 256))).alias("sha256"))
+    return expected_hashes(e, d, "doc_id")
+
+
+@query("SELECT conv_id, item, (SELECT min(turn) FROM conversations c WHERE c.conv_id = q.conv_id AND (c.role = q.item OR c.text = q.item)) AS turn FROM (SELECT DISTINCT conv_id, 'assistant' AS item FROM conversations) q")
+def playing_row(t):
+    from tessera.operators.albums import playing
+
+    c = t("conversations")
+    return playing(c, "conv_id", "turn", ["role", "text"], c.select("conv_id", F.lit("assistant").alias("item")).distinct(), "item")
+
+
+@query("SELECT 'doc-' || doc_id AS path, true AS playable, true AS titled, 'standard' AS level FROM documents")
+def compat_profile(t):
+    from tessera.operators.albums import profile
+
+    return profile(parse_files(pack_text(t("documents")))).select("path", "playable", "titled", "level")

@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import hash_spans, lowered, materialize, runs, slices, table
 
-STRIDE, RANK, EXTRA, COSINE = 32, 208, 32, 0.25
+STRIDE, RANK, EXTRA, COSINE = 32, 208, 8, 0.25
 #: A short item in a long passage has a low cosine; cosine times passage length over item length, the share of the item's
 #: weight in the space that the passage carries, makes a candidate as well from here on.
 SHARE = 0.5
 #: Terms in a greater share of passages have no weight in the latent space (they count in the subsequence check).
-MOST = 0.01
+MOST = 0.005
 #: Each item counts in the decomposition as a passage with this weight, so that rare items have a place in the space.
 HEAVY = 30.0
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
@@ -232,6 +232,7 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray, cosine: float):
     other, rare = float(idf.max() ** 2) if len(idf) else 0.0, idf > 0
     sizes = np.array([max(1e-6, float(np.sqrt(square[w].sum()))) for w in items.words], np.float32)
     vectors = np.stack([space[w].sum(0) for w in items.words]) / sizes[:, None]
+    lists = [w.tolist() for w in items.words]
     kept = np.maximum(np.linalg.norm(vectors, axis=1), 1e-6)  # the share of an item's length that the space keeps
 
     def run(batches):
@@ -255,15 +256,17 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray, cosine: float):
                 begin = np.searchsorted(stripe, np.arange(len(owner) + 4))
                 ids = part.column("doc_id").to_pylist()
                 best: dict[tuple[int, int], tuple] = {}
+                last = -1
                 for w, k in zip(win.tolist(), item.tolist(), strict=True):
-                    d = int(owner[w])
-                    low = max(int(first[d]), w - 1)
-                    last = int(first[d + 1]) if d + 1 < part.num_rows else len(owner)
-                    seen = term[begin[low] : begin[min(last, w + 3)]]
+                    if w != last:  # hits come window by window
+                        last, d = w, int(owner[w])
+                        low = max(int(first[d]), w - 1)
+                        end = int(first[d + 1]) if d + 1 < part.num_rows else len(owner)
+                        seen = term[begin[low] : begin[min(end, w + 3)]].tolist()
+                        held = set(seen)
                     words = items.words[k]
-                    if np.isin(words, seen).sum() < PARAPHRASE * len(words):
+                    if sum(x in held for x in lists[k]) < PARAPHRASE * len(words):
                         continue
-                    seen = seen.tolist()
                     common = lcs(words, seen) / len(words)
                     answer = items.answers[k]
                     said = lcs(answer, seen) / len(answer) if len(answer) else 0.0

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import materialize, table
 from tessera.llm.tokens import VOCABULARY, crc32, encoder
@@ -116,7 +117,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, most: int = OPEN, per_
     columns = pieces.columns
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.xxhash64(*columns)
-    schema = pieces.schema.add("bin", "long").add("place", "long").add("held", "long")
+    schema = T.StructType([*pieces.schema.fields, *(T.StructField(c, T.LongType()) for c in ("bin", "place", "held"))])
     packed = materialize(pieces.repartition(tasks, order).sortWithinPartitions(order, *columns).mapInArrow(_pack(capacity, most, "length"), schema), "packed")
     out = packed.select(*columns, F.col("bin").alias("_b"), F.col("place").alias("_p"))
     level, base = 0, F.lit(0).cast("long")

@@ -138,3 +138,31 @@ def keep_first(df: DataFrame, group: Sequence[str], order: str, keys: Sequence[s
         return pdf.assign(reject=out)
 
     return df.groupBy(*group).applyInPandas(scan, schema)
+
+
+def swap(df: DataFrame, group: str, place: str, at: int) -> DataFrame:
+    """The rows at places `at` and at + 1 of each group that has both change places."""
+    last = F.max(place).over(Window.partitionBy(group))
+    moved = F.when(F.col(place) == at, at + 1).when(F.col(place) == at + 1, at).otherwise(F.col(place))
+    return df.withColumn(place, F.when(last > at, moved).otherwise(F.col(place)))
+
+
+def defaults(rows: DataFrame, album: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """rows with blank or null columns taken from their album's row."""
+    side = album.select(F.col(key).alias("_k"), *[F.col(n).alias(f"_{n}") for n in names])
+    got = rows.join(side, F.col(key) == F.col("_k"), "left")
+    return got.select(*[first_filled(F.col(c), F.col(f"_{c}")).alias(c) if c in names else c for c in rows.columns])
+
+
+def shuffled(df: DataFrame, key: str, seed: int, first: object = None) -> DataFrame:
+    """df in an order that the seed decides, a given row first; the same for the same seed and keys."""
+    return df.orderBy(F.when(F.col(key) == F.lit(first), 0).otherwise(1), F.xxhash64(key, F.lit(seed)), key)
+
+
+def decoded_bytes(frames: Column, channels: Column, width: int = 4) -> Column:
+    """Memory of decoded samples."""
+    return (F.greatest(frames, F.lit(0)) * F.greatest(channels, F.lit(1)) * width).cast("long")
+
+
+def has_extension(c: Column, *extensions: str) -> Column:
+    return F.lower(F.regexp_extract(c, r"\.([A-Za-z0-9]+)$", 1)).isin(*extensions)

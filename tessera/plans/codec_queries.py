@@ -215,3 +215,34 @@ def compat_profile(t):
     from tessera.operators.albums import profile
 
     return profile(parse_files(pack_text(t("documents")))).select("path", "playable", "titled", "level")
+
+
+@query("SELECT conv_id, text, CASE WHEN max(turn) OVER (PARTITION BY conv_id) <= 1 THEN turn WHEN turn = 1 THEN 2 WHEN turn = 2 THEN 1 ELSE turn END AS turn FROM conversations")
+def manual_reorder(t):
+    from tessera.operators.catalog import swap
+
+    return swap(t("conversations").select("conv_id", "text", "turn"), "conv_id", "turn", 1)
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN n_name ELSE s_name END AS name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def album_defaults(t):
+    from tessera.operators.catalog import defaults
+
+    s = t("supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).otherwise(" ").alias("name"))
+    return defaults(s, t("nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name")), "nation", ["name"]).select("s_suppkey", "name")
+
+
+@query("SELECT p_partkey, (p_size * 2 * 4)::BIGINT AS bytes, p_size % 2 = 0 AS supported FROM part")
+def decoded_estimate(t):
+    from tessera.operators.catalog import decoded_bytes, has_extension
+
+    name = F.concat(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, ".WAV").otherwise(".txt"))
+    return t("part").select("p_partkey", decoded_bytes(F.col("p_size"), F.lit(2)).alias("bytes"), has_extension(name, "wav", "flac").alias("supported"))
+
+
+@query("SELECT lang, n_chars % 97 AS k, count(*) AS n FROM documents GROUP BY 1, 2")
+def shuffle_queue(t):
+    # the order is the seed's; the rows are the same
+    from tessera.operators.catalog import shuffled
+
+    return shuffled(t("documents").groupBy("lang", (F.col("n_chars") % 97).alias("k")).agg(F.count("*").alias("n")), "k", 7, 3)

@@ -1,12 +1,14 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, interpolated with unigrams, are counted over whole texts: the target model on documents labelled good
-(quality 1, not toxic), the background model on all documents. They share one vocabulary, the hash classes of lower-cased
-words, and one smoothing, so a document's score is the mean over its tokens of target loss minus background loss, in bits:
+(quality 1, not toxic), the background model on all documents. They share one vocabulary, the lower-cased words of all
+documents, and one smoothing, so a document's score is the mean over its tokens of target loss minus background loss, in bits:
 the lower, the more the document resembles the target.
 
-A model is two arrays of counts of a fixed size (2**UNI and 2**BI classes). Each task counts what it reads and sends its arrays in
-compressed blocks, which are added up in two steps; so what is sent follows the input and what is collected doesn't grow.
+Each word, context and bigram has a count of its own, under its 64-bit hash; there are as many as the input has. Documents are
+written in chunks of CHUNK text bytes. A chunk sends its distinct hashes with their counts to ranges of the hash space (RANGE text
+bytes each, so a range doesn't grow with the input), where they are added up; each range sends the totals of what a chunk asked for back
+to the chunk, in the order of the chunk's hashes. So a common word is one entry per chunk, and nothing but a few sums is collected.
 Every token of every document is counted and scored.
 
 Null and empty texts have no tokens, and null losses and score. The context of a text's first word is the text's start. A
@@ -15,21 +17,26 @@ doc_id whose labels differ is target if any label says so. Rows that repeat a do
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, slices, table, words
+from tessera.llm.common import materialize, mix, slices, table, words
 
-UNI, BI, BLOCK = 20, 22, 1 << 16
-#: Weight of the bigram estimate, and the count added to each unigram class.
+#: Text bytes of a chunk, and of the documents per range of the hash space.
+CHUNK, RANGE = 8_000_000, 24_000_000
+#: Weight of the bigram estimate, and the count added to each word.
 LAMBDA, ALPHA = 0.7, 0.5
+#: The vocabulary that is smoothed over: a larger number of words counts as it is, a smaller one leaves room for unseen words.
+SIZES = (1 << 20,)
 START = np.uint64(0x5851F42D4C957F2D)
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: unigram class, class of its context, bigram class, text."""
+    """Of each token: hashes of the word, its context and the bigram; text."""
     w, text = words(data, off)
     before = np.empty_like(w)
     if len(w):
@@ -37,98 +44,154 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         first = np.ones(len(w), bool)
         first[1:] = text[1:] != text[:-1]
         before[first] = START
-    uni = (w >> np.uint64(64 - UNI)).astype(np.int64)
-    context = (before >> np.uint64(64 - UNI)).astype(np.int64)
-    bi = (mix(before * np.uint64(0x9E3779B97F4A7C15) + w) >> np.uint64(64 - BI)).astype(np.int64)
-    return uni, context, bi, text
+    return w, before, mix(before * np.uint64(0x9E3779B97F4A7C15) + w), text
 
 
-#: The arrays of one model: unigrams, contexts (how often a word precedes another), bigrams.
-SIZES = (1 << UNI, 1 << UNI, 1 << BI)
+def pack(x: np.ndarray) -> bytes:
+    """64-bit numbers, compressed: all first bytes, all second bytes, and so on."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def _blocks(models: list[list[np.ndarray]]) -> pa.RecordBatch | None:
-    rows = []
-    for side, arrays in enumerate(models):
-        for kind, x in enumerate(arrays):
-            for i in range(0, len(x), BLOCK):
-                if (part := x[i : i + BLOCK]).any():
-                    rows.append((side * 1000 + kind * 100 + i // BLOCK, pa.compress(part.astype("<u8").tobytes(), codec="zstd", asbytes=True)))
-    if not rows:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "counts"])
+def unpack(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(n)
 
 
-def _count(batches):
-    models = [[np.zeros(n, np.int64) for n in SIZES] for _ in range(2)]
-    for batch in batches:
-        for part, data, off in slices(batch):
-            uni, context, bi, text = tokens(data, off)
-            target = part.column("target").to_numpy(zero_copy_only=False).astype(bool)[text]
-            for side, keep in ((0, target), (1, slice(None))):
-                for x, at, n in zip(models[side], (uni, context, bi), SIZES, strict=True):
-                    x += np.bincount(at[keep], minlength=n)
-    out = _blocks(models)
-    if out is not None:
-        yield out
-
-
-def _add(batches):
-    total: dict[int, np.ndarray] = {}
+def _chunks(batches):
+    """Slices of the documents as compressed Arrow streams, under a name of their own."""
     for batch in batches:
-        for block, blob in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            x = np.frombuffer(pa.decompress(blob, BLOCK * 8, codec="zstd", asbytes=True), "<u8")
-            total[block] = total[block] + x if block in total else x
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in total.values()], pa.binary())], ["block", "counts"])
-
-
-def train(docs: DataFrame) -> list[list[np.ndarray]]:
-    """docs: text, target (boolean). Target and background model: counts of unigrams, contexts and bigrams."""
-    schema = "block int, counts binary"
-    sent = docs.select("text", "target").mapInArrow(_count, schema)
-    some = sent.repartition(128, "block", F.crc32("counts") % 8).mapInArrow(_add, schema)
-    models = [[np.zeros(n, np.int64) for n in SIZES] for _ in range(2)]
-    for r in some.repartition(32, "block").mapInArrow(_add, schema).collect():  # a fixed number of blocks
-        side, kind, i = r.block // 1000, r.block // 100 % 10, r.block % 100
-        models[side][kind][i * BLOCK : (i + 1) * BLOCK] = np.frombuffer(pa.decompress(r.counts, BLOCK * 8, codec="zstd", asbytes=True), "<u8")
-    return models
-
-
-def losses(model: list[np.ndarray], uni: np.ndarray, context: np.ndarray, bi: np.ndarray) -> np.ndarray:
-    """Bits of each token."""
-    one, two, pairs, total = model
-    p = (one[uni] + ALPHA) / (total + ALPHA * len(one))
-    seen = two[context]
-    q = np.where(seen > 0, np.minimum(pairs[bi] / np.maximum(seen, 1), 1.0), p)
-    return -np.log2(LAMBDA * q + (1 - LAMBDA) * p)
+        for part, data, _ in slices(batch, most=CHUNK):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
+            yield pa.RecordBatch.from_pydict({"chunk": [uuid.uuid4().hex], "size": pa.array([len(data)], pa.int64()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _tokens_of(blob: bytes):
+    """The documents of a chunk, the three kinds of hashes of its tokens, and the tokens' texts."""
+    part = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
+    _, data, off = next(slices(part, most=1 << 62))
+    *kinds, text = tokens(data, off)
+    return part, kinds, text
 
 
-def score(docs: DataFrame, models) -> DataFrame:
-    """Per row: doc_id, n_tokens, target_bits and background_bits (means per token), score (their difference)."""
-    shared = docs.sparkSession.sparkContext.broadcast([[*m, float(m[0].sum())] for m in models])  # fixed size
+def _asked(ranges: int):
+    """Per chunk, kind and range of the hash space: the distinct hashes (as differences) and the chunk's counts of each."""
+    edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
 
     def run(batches):
-        both = shared.value
         for batch in batches:
-            for part, data, off in slices(batch):
-                uni, context, bi, text = tokens(data, off)
-                m = part.num_rows
-                n = np.bincount(text, minlength=m)
-                each = [losses(x, uni, context, bi) for x in both]
-                t, b, d = (np.bincount(text, x, m) / np.maximum(n, 1) for x in (*each, each[0] - each[1]))
-                none = n == 0
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *(pa.array(x, mask=none) for x in (t, b, d))], ["doc_id", "n_tokens", "target_bits", "background_bits", "score"])
+            for chunk, blob in zip(batch.column("chunk"), batch.column("docs"), strict=True):
+                part, kinds, text = _tokens_of(blob.as_py())
+                target = part.column("target").to_numpy(zero_copy_only=False).astype(bool)[text]
+                rows = []
+                for kind, x in enumerate(kinds):
+                    order = np.argsort(x)
+                    x = x[order]
+                    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+                    good = np.add.reduceat(target[order], at, dtype=np.int64) if len(x) else at
+                    n, x = np.diff(np.append(at, len(x))), x[at]
+                    cut = np.concatenate(([0], np.searchsorted(x, edges), [len(x)]))
+                    for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                        if b > a:
+                            rows.append((chunk.as_py(), kind, i, b - a, pack(np.diff(x[a:b], prepend=np.uint64(0))), pack(good[a:b]), pack(n[a:b])))
+                if rows:
+                    yield _rows(rows, ASKED)
+
+    return run
+
+
+ASKED = "chunk string, kind int, part int, n long, hashes binary, target binary, background binary"
+TOTALS = "chunk string, kind int, part int, n long, all_target long, all_background long, target binary, background binary"
+_TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
+
+
+def _runs(batches, *key: str):
+    """Rows, as dicts, of each run of equal keys; input sorted by them."""
+    last, rows = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if (k := tuple(r[c] for c in key)) != last:
+                if rows:
+                    yield last, rows
+                last, rows = k, []
+            rows.append(r)
+    if rows:
+        yield last, rows
+
+
+def _total(batches):
+    """Per range and kind: the totals of the hashes of each chunk, and a row without a chunk with the number and sums of the distinct ones."""
+    for (part, kind), rows in _runs(batches, "part", "kind"):
+        cut = np.cumsum([0] + [r["n"] for r in rows])
+        x = np.concatenate([np.cumsum(unpack(r["hashes"], r["n"]), dtype=np.uint64) for r in rows])
+        order = np.argsort(x, kind="stable")
+        x = x[order]
+        at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        times, sides, sums = np.diff(np.append(at, len(x))), [], []
+        for side in ("target", "background"):
+            n = np.concatenate([unpack(r[side], r["n"]) for r in rows])
+            sums.append(int(n.sum()))
+            whole = np.empty_like(n)
+            whole[order] = np.repeat(np.add.reduceat(n[order], at), times)
+            sides.append(whole)
+        out = [(r["chunk"], kind, part, r["n"], None, None, *(pack(s[a:b]) for s in sides)) for r, a, b in zip(rows, cut[:-1], cut[1:], strict=True)]
+        yield _rows([(None, kind, part, len(at), *sums, None, None), *out], TOTALS)
+
+
+def losses(one, seen, pairs, total: float, size: float) -> np.ndarray:
+    """Bits of tokens with these counts of the word, its context and the bigram, in a model of `total` tokens over `size` words."""
+    p = (one + ALPHA) / (total + ALPHA * size)
+    q = np.where(seen > 0, np.minimum(pairs / np.maximum(seen, 1), 1.0), p)
+    return -np.log2(LAMBDA * q + (1 - LAMBDA) * p)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_bits double, background_bits double, score double")
+
+def _score(totals: tuple[float, float], size: float):
+    def run(batches):
+        for _, (docs, *answers) in _runs(batches, "chunk"):
+            part, kinds, text = _tokens_of(docs["docs"])
+            sides = [[], []]
+            for kind, x in enumerate(kinds):
+                got = [r for r in answers if r["kind"] == kind]
+                _, at = np.unique(x, return_inverse=True)
+                for counts, side in zip(sides, ("target", "background"), strict=True):
+                    whole = np.concatenate([unpack(r[side], r["n"]) for r in got]) if got else np.zeros(0, np.uint64)
+                    counts.append(whole.astype(np.float64)[at])
+            m = part.num_rows
+            n = np.bincount(text, minlength=m)
+            each = [losses(*counts, total, size) for counts, total in zip(sides, totals, strict=True)]
+            t, b, d = (np.bincount(text, x, m) / np.maximum(n, 1) for x in (*each, each[0] - each[1]))
+            none = n == 0
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *(pa.array(x, mask=none) for x in (t, b, d))], ["doc_id", "n_tokens", "target_bits", "background_bits", "score"])
+
+    return run
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text, target (boolean). Per row: doc_id, n_tokens, target_bits and background_bits (means per token), score (their difference)."""
+    chunks = materialize(docs.mapInArrow(_chunks, "chunk string, size long, docs binary"), "chunks")
+    ranges = max(1, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // RANGE))
+    asked = chunks.select("chunk", "docs").mapInArrow(_asked(ranges), ASKED)
+    totals = materialize(asked.repartition("part", "kind").sortWithinPartitions("part", "kind", "chunk").mapInArrow(_total, TOTALS), "totals")
+    found = totals.where("chunk IS NULL AND kind = 0").agg(F.sum("all_target"), F.sum("all_background"), F.sum("n")).first()
+    target, background, n_words = (float(x or 0) for x in found)
+    nothing = F.lit(None).cast("binary")
+    answers = totals.where("chunk IS NOT NULL").select("chunk", "kind", "part", "n", nothing.alias("docs"), "target", "background")
+    both = answers.unionByName(chunks.select("chunk", F.lit(-1).alias("kind"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("n"), "docs", nothing.alias("target"), nothing.alias("background")))
+    run = _score((target, background), max(n_words, SIZES[0]))
+    return both.repartition("chunk").sortWithinPartitions("chunk", "kind", "part").mapInArrow(run, "doc_id long, n_tokens long, target_bits double, background_bits double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).distinct()
     # labels grow with the documents: one plan at every size, by shuffle on both sides
-    marked = docs.join(good.hint("merge"), docs.doc_id == good._id, "left").select("text", F.col("_id").isNotNull().alias("target"))
-    return score(docs, train(marked))
+    return score(docs.join(good.hint("merge"), docs.doc_id == good._id, "left").select("doc_id", "text", F.col("_id").isNotNull().alias("target")))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,6 +303,37 @@ def test_lm_scoring(spark, odd, none, sf):
     assert lm_scoring.cross_entropy_difference(none, labels).count() == 0
 
 
+def test_lm_scoring_counts_are_exact(spark, monkeypatch):
+    """More words and bigrams than any table of a fixed size had classes for, over several chunks and ranges."""
+    monkeypatch.setattr(lm_scoring, "CHUNK", 400_000, raising=False)
+    monkeypatch.setattr(lm_scoring, "RANGE", 500_000, raising=False)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 60_000, 900))) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 3)], "doc_id long, quality int, toxic int")
+    got = lm_scoring.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    models = [[{}, {}, {}], [{}, {}, {}]]
+    for d, text in rows:
+        w = text.split()
+        for side in (0, 1) if d % 3 == 0 else (1,):
+            for b, a in zip([None, *w[:-1]], w, strict=True):
+                for kind, key in enumerate((a, b, (b, a))):
+                    models[side][kind][key] = models[side][kind].get(key, 0) + 1
+    size = max(lm_scoring.SIZES[0], len(models[1][0]))
+
+    def bits(m, text):
+        w, total, out = text.split(), sum(m[0].values()), []
+        for b, a in zip([None, *w[:-1]], w, strict=True):
+            p = (m[0].get(a, 0) + lm_scoring.ALPHA) / (total + lm_scoring.ALPHA * size)
+            q = m[2].get((b, a), 0) / m[1][b] if b in m[1] else p
+            out.append(-np.log2(lm_scoring.LAMBDA * q + (1 - lm_scoring.LAMBDA) * p))
+        return np.mean(out)
+
+    assert sorted(r.doc_id for r in got) == list(range(300))
+    for r in got:
+        t, b = (bits(m, rows[r.doc_id][1]) for m in models)
+        assert r.n_tokens == 900 and abs(r.target_bits - t) < 1e-6 and abs(r.background_bits - b) < 1e-6 and abs(r.score - (t - b)) < 1e-6
+
+
 def test_chat(spark):
     rows = [(1, i, "ab"[i % 2], "x" * (i % 3)) for i in range(600)] + [(None, None, None, None), (2, 0, "system", "s"), (2, 1, "user", "hi"), (2, 1, "user", "hi")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit("clash"))

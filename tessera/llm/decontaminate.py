@@ -37,7 +37,7 @@ HEAVY = 30.0
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 #: Items per block, and entries of the sparse matrix that are multiplied at once.
 ITEMS, CHUNK = 200, 40_000
-HITS = "doc_id long, item_id long, cosine double, lcs double, answer double, word long"
+HITS = "doc_id long, h long, item_id long, cosine double, lcs double, answer double, word long"
 
 
 def _word_bytes() -> np.ndarray:
@@ -104,7 +104,7 @@ def _sparse(vocabulary: np.ndarray):
                 hit = vocabulary[k] == h
                 cut = np.concatenate(([0], np.cumsum(np.bincount(text[hit], minlength=part.num_rows)))).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x[hit].astype(np.int32))) for x in (pos, k)]
-                out = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *lists], ["doc_id", "n", "pos", "term"])
+                out = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(n), *lists], ["doc_id", "h", "n", "pos", "term"])
                 yield out.filter(pa.array(cut[1:] > cut[:-1]))
 
     return run
@@ -254,7 +254,7 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray, cosine: float):
                     continue
                 first = np.searchsorted(owner, np.arange(part.num_rows))
                 begin = np.searchsorted(stripe, np.arange(len(owner) + 4))
-                ids = part.column("doc_id").to_pylist()
+                ids, texts = part.column("doc_id").to_pylist(), part.column("h").to_pylist()
                 best: dict[tuple[int, int], tuple] = {}
                 last = -1
                 for w, k in zip(win.tolist(), item.tolist(), strict=True):
@@ -272,28 +272,31 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray, cosine: float):
                     said = lcs(answer, seen) / len(answer) if len(answer) else 0.0
                     if common >= COPY or common >= PARAPHRASE and said >= ANSWER:
                         best[d, k] = max(best.get((d, k), (0.0,)), (common, said, float(like[w, k]), (w - int(first[d])) * STRIDE))
-                hits += [(ids[d], items.ids[k], c, s, a, at) for (d, k), (s, a, c, at) in best.items()]
+                hits += [(ids[d], texts[d], items.ids[k], c, s, a, at) for (d, k), (s, a, c, at) in best.items()]
             if hits:
                 c = list(zip(*hits, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.float64()) for x in c[2:5]), pa.array(c[5], pa.int64())], ["doc_id", "item_id", "cosine", "lcs", "answer", "word"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:3]), *(pa.array(x, pa.float64()) for x in c[3:6]), pa.array(c[6], pa.int64())], ["doc_id", "h", "item_id", "cosine", "lcs", "answer", "word"])
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """A row per document and benchmark item that it leaks: HITS' columns; word is where the best window begins."""
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A row per document and benchmark item that it leaks: HITS' columns; word is where the best window begins.
+
+    by says what a document is: its doc_id alone, or also h, the hash of its text.
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     out, block = [], []
 
     def search(rows):
         items = Items(rows)
         if not items.ids:
             return
-        sparse = materialize(docs.mapInArrow(_sparse(items.vocabulary), "doc_id long, n long, pos array<int>, term array<int>"), "sparse")
+        sparse = materialize(docs.mapInArrow(_sparse(items.vocabulary), "doc_id long, h long, n long, pos array<int>, term array<int>"), "sparse")
         idf, space = latent_space(sparse, items)
         found = sparse.mapInArrow(_search(items, idf, space, cosine), HITS)
-        out.append(found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("cosine", "lcs", "answer", "word"), F.struct("lcs", "word")).alias("m")).select("doc_id", "item_id", "m.*"))
+        out.append(found.groupBy(*by, "item_id").agg(F.max_by(F.struct("cosine", "lcs", "answer", "word"), F.struct("lcs", "word")).alias("m")).select(*by, "item_id", "m.*"))
 
     for r in benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         block.append((r[0], r[1]))
@@ -302,17 +305,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
             block = []
     search(block)
     if not out:
-        return spark.createDataFrame([], HITS)
+        return spark.createDataFrame([], HITS).select(*by, "item_id", "cosine", "lcs", "answer", "word")
     whole = out[0]
     for x in out[1:]:
         whole = whole.unionByName(x)
     return whole
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that leak a benchmark item. A leaking row without a doc_id takes no other row with it and stays."""
-    gone = materialize(leaks(docs, benchmark).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, nameless: bool = False) -> DataFrame:
+    """docs without the rows that leak a benchmark item; rows are told apart by doc_id and text.
+
+    A leaking row without a doc_id goes if nameless is set; else it stays. It takes no other row with it.
+    """
+    gone = leaks(docs, benchmark, by=("doc_id", "h")).select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct()
+    gone = materialize(gone if nameless else gone.where("_gone IS NOT NULL"), "leaks")
+    return docs.join(gone, docs.doc_id.cast("long").eqNullSafe(gone._gone) & (F.xxhash64(docs.text.cast("string")) == gone._h), "left_anti")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def bitmap(h: np.ndarray) -> bytes:
 
 
 def _describe(k: int):
-    """Per document: its vertex, set size and bitmap; at the end of a task, its sketch in blocks."""
+    """Per document: its text's hash, vertex, set size and bitmap; at the end of a task, its sketch in blocks."""
 
     def run(batches):
         cells = np.zeros(1 << CELL_BITS, np.uint32)
@@ -69,13 +69,13 @@ def _describe(k: int):
                 n = np.diff(off)
                 sets = [h[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([vertex(s) if len(s) else None for s in sets], pa.int64()), pa.array(n), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(n), pa.int32())],
-                    ["doc_id", "v", "n", "bits", "block"],
+                    [part.column("doc_id"), part.column("h"), pa.array([vertex(s) if len(s) else None for s in sets], pa.int64()), pa.array(n), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(n), pa.int32())],
+                    ["doc_id", "h", "v", "n", "bits", "block"],
                 )
         if cells.any():
             blobs = [(i, zlib.compress(cells[i * BLOCK : (i + 1) * BLOCK].tobytes(), 1)) for i in range(len(cells) // BLOCK)]
             m = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([b for _, b in blobs], pa.binary()), pa.array([i for i, _ in blobs], pa.int32())], ["doc_id", "v", "n", "bits", "block"])
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 4, pa.array([b for _, b in blobs], pa.binary()), pa.array([i for i, _ in blobs], pa.int32())], ["doc_id", "h", "v", "n", "bits", "block"])
 
     return run
 
@@ -315,17 +315,12 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return e.select(F.col("u").alias("v"), F.col("w").alias("c")).unionByName(e.select(F.col("w").alias("v"), F.col("w").alias("c"))).distinct()
 
 
-def ngram_join(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
-    """Per document: doc_id, v (its set), n_shingles, component_id, n_links.
-
-    Sets are distinct k-word shingles; two link when 100 * intersection >= num * union. component_id is the smallest
-    doc_id reachable by links. n_links is the number of links that the rounds looked at and confirmed, of the set:
-    a spanning part of all links, since pairs known to be connected are not compared.
-    """
+def _linked(docs: DataFrame, k: int, num: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """rows (doc_id, h: the text's hash, v, n), sets (v and its least doc_id), components (v, c) of linked sets, links (x, y)."""
     spark = docs.sparkSession
     shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = materialize(docs.mapInArrow(_describe(k), "doc_id long, v long, n long, bits binary, block int"), "described")
+    described = materialize(docs.withColumn("h", F.xxhash64("text")).mapInArrow(_describe(k), "doc_id long, h long, v long, n long, bits binary, block int"), "described")
     rows = described.where("block IS NULL")
     cells = _sketch(described)
     shared_cells = spark.sparkContext.broadcast(cells)
@@ -360,6 +355,17 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
     remove(spark, found)
     for x in (buckets, star, seg):
         remove(spark, x)
+    return rows, sets, comp, links
+
+
+def ngram_join(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
+    """Per document: doc_id, v (its set), n_shingles, component_id, n_links.
+
+    Sets are distinct k-word shingles; two link when 100 * intersection >= num * union. component_id is the smallest
+    doc_id reachable by links. n_links is the number of links that the rounds looked at and confirmed, of the set:
+    a spanning part of all links, since pairs known to be connected are not compared.
+    """
+    rows, sets, comp, links = _linked(docs, k, num)
     degree = links.select(F.explode(F.array("x", "y")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
     least = sets.join(comp, "v").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     named = sets.select("v", "doc_id").join(comp.join(least, "c").select("v", "component_id"), "v", "left").join(degree, "v", "left")
@@ -369,13 +375,25 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
-    """docs without all but one document of each component: the one with the smallest doc_id stays.
+    """docs without all but one row of each component: the row with the smallest doc_id (null comes last) stays.
 
-    Documents without words are kept, and so are those without a doc_id that link with nothing.
+    Rows are told apart by doc_id and text, not by doc_id alone: of an id with several texts, only the texts that link go; of rows with
+    equal ids and texts, the one whose other columns are least stays. Rows without words are kept.
     """
-    got = ngram_join(docs, k, num).where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("_first"))
-    gone = materialize(got.where("_first <> doc_id").select(F.col("doc_id").alias("_gone")), "gone")
-    kept = docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    rows, _, comp, _ = _linked(docs, k, num)
+    rows = rows.where("v IS NOT NULL").select("v", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h").alias("row"))
+    first = rows.groupBy("v").agg(F.min("row").alias("row")).join(comp, "v", "left")
+    first = first.groupBy(F.coalesce("c", "v").alias("c")).agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    known = rows.groupBy("row").agg(F.count("*").alias("copies")).join(first, "row", "left")
+    # rows that this doesn't name stay
+    fate = known.where("first IS NULL OR copies > 1").select(F.col("row.doc_id").alias("_id"), F.col("row.h").alias("_h"), F.col("first").isNotNull().alias("_one_stays"))
+    fate = materialize(fate, "fate")
+    d = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+    d = d.join(fate, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left")
+    kept = d.where("_one_stays IS NULL").select(*docs.columns)
+    if not fate.where("_one_stays").isEmpty():
+        one = d.where("_one_stays").groupBy("_id", "_h").agg(F.min(F.struct(*docs.columns)).alias("row"))
+        kept = kept.unionByName(one.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
     return kept
 
 

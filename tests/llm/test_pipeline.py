@@ -20,3 +20,21 @@ def test_pipeline(spark):
     assert docs.join(F.broadcast(bench), F.expr("contains(text, b)")).count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == left[-1]
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Null and repeated ids: one row of each group stays, leaking rows go, other rows with the same id stay."""
+    words = [f"w{i}" for i in range(60)]
+    text, near, lone = " ".join(words), " ".join(["x", *words]), " ".join(f"y{i}" for i in range(60))
+    pair, same = " ".join(f"z{i}" for i in range(60)), " ".join(f"s{i}" for i in range(60))
+    leak = " ".join(f"b{i}" for i in range(20)) + ". " + " ".join(f"a{i}" for i in range(8)) + "."
+    rows = [(1, text, "a"), (None, text, "b"), (None, near, "c"), (1, text, "d"), (7, near, "e"), (7, lone, "f"), (None, pair, "h"), (None, pair, "g"), (None, None, "i"), (9, " ", "j"), (9, " ", "k"), (5, same, "m"), (5, same, "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r.source for r in kept) == list("afgijkl")
+    assert all((r.doc_id, r.text, r.source) in rows for r in kept)
+
+    spark.createDataFrame([(0, leak), (1, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, leak, "a"), (1, lone, "b"), (None, "x " + leak, "c"), (None, lone, "d"), (None, None, "e"), (2, leak, "f"), (2, leak, "g"), (3, pair, "h")]
+    kept = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), str(tmp_path))
+    assert sorted(r.source for r in kept.collect()) == list("bdeh")

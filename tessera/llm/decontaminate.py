@@ -4,11 +4,12 @@ Words are runs of letters, digits and bytes over 0x7F, lower-cased A to Z. A tex
 their positions: all that is needed of it afterwards. Passages are windows of 2 * STRIDE words at every STRIDE words over whole
 texts, weighted by TF-IDF over all passages. A randomised SVD of the passage matrix (range finder with one power step, then
 Rayleigh-Ritz) gives a latent space: each task sends sums of a fixed size, which are added in two steps. Passages whose cosine
-with a benchmark item reaches COSINE there, or that carry SHARE of an item's weight, are candidates. A candidate stands if the longest common subsequence of item and
-passage (STRIDE words wider on both sides) has at least COPY of the item's words, or at least PARAPHRASE of them while ANSWER of
+with a benchmark item reaches COSINE there, or that carry SHARE of an item's weight, are candidates; an item longer than a passage is
+compared by its own passages. A candidate stands if the longest common subsequence of the whole item and
+the passage (STRIDE words wider on both sides, more for a longer item, so that a copy lies in it) has at least COPY of the item's words, or at least PARAPHRASE of them while ANSWER of
 the item's last sentence, its answer, appears there in order.
 
-The benchmark is taken in blocks of ITEMS items, each block with passes of its own, so what is broadcast has a bound at any size.
+The benchmark is taken in blocks of about ITEMS passages of items, each block with passes of its own, so what is broadcast has a bound at any size.
 
 Null and empty texts hit nothing. Items without words are left out; repeated items are items of their own. Rows that repeat a doc_id are
 searched each, and reported once. Rows with a null doc_id are searched too (doc_id null). Other columns are ignored.
@@ -35,7 +36,7 @@ MOST = 0.005
 #: Each item counts in the decomposition as a passage with this weight, so that rare items have a place in the space.
 HEAVY = 30.0
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
-#: Items per block, and entries of the sparse matrix that are multiplied at once.
+#: Passages of items per block, and entries of the sparse matrix that are multiplied at once.
 ITEMS, CHUNK = 200, 40_000
 HITS = "doc_id long, h long, item_id long, cosine double, lcs double, answer double, word long"
 
@@ -67,6 +68,14 @@ def answer_of(text: str) -> str:
     return parts[-1] if len(parts) > 1 else ""
 
 
+def passages(n: int) -> list[tuple[int, int]]:
+    """Where the passages of an item of n words begin and end: windows of 2 * STRIDE at every STRIDE words, the last at its end."""
+    starts = [*range(0, max(1, n - 2 * STRIDE), STRIDE)]
+    if n > 2 * STRIDE:
+        starts.append(n - 2 * STRIDE)
+    return [(a, min(n, a + 2 * STRIDE)) for a in starts]
+
+
 class Items:
     """A block of benchmark items: their vocabulary, and each item's words and answer as numbers in it."""
 
@@ -77,6 +86,11 @@ class Items:
         self.vocabulary = np.unique(np.concatenate([x[1] for x in words])) if words else np.zeros(0, np.uint64)
         number = lambda h: np.searchsorted(self.vocabulary, h).astype(np.int64)
         self.words, self.answers = [number(x[1]) for x in words], [number(x[2]) for x in words]
+        #: Passages of the items, and the item of each; stripes that an item's context has on each side of a window in a copy of it.
+        cut = [passages(len(x)) for x in self.words]
+        self.passages = [x[a:b] for x, ab in zip(self.words, cut, strict=True) for a, b in ab]
+        self.item = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
+        self.wider = [max(1, -(-(len(x) - 1) // STRIDE) - 1) for x in self.words]
 
 
 def lcs(pattern: np.ndarray, text: list[int]) -> int:
@@ -230,10 +244,10 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray, cosine: float):
     """Cosines divide by the length of the whole vectors: what the space loses of a passage, other words too, counts against it."""
     square = (idf**2).astype(np.float32)[:, None]
     other, rare = float(idf.max() ** 2) if len(idf) else 0.0, idf > 0
-    sizes = np.array([max(1e-6, float(np.sqrt(square[w].sum()))) for w in items.words], np.float32)
-    vectors = np.stack([space[w].sum(0) for w in items.words]) / sizes[:, None]
+    sizes = np.array([max(1e-6, float(np.sqrt(square[w].sum()))) for w in items.passages], np.float32)
+    vectors = np.stack([space[w].sum(0) for w in items.passages]) / sizes[:, None]
     lists = [w.tolist() for w in items.words]
-    kept = np.maximum(np.linalg.norm(vectors, axis=1), 1e-6)  # the share of an item's length that the space keeps
+    kept = np.maximum(np.linalg.norm(vectors, axis=1), 1e-6)  # the share of a passage's length that the space keeps
 
     def run(batches):
         for batch in batches:
@@ -253,25 +267,34 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray, cosine: float):
                 if not len(win):
                     continue
                 first = np.searchsorted(owner, np.arange(part.num_rows))
-                begin = np.searchsorted(stripe, np.arange(len(owner) + 4))
+                begin = np.searchsorted(stripe, np.arange(len(owner) + 1))
                 ids, texts = part.column("doc_id").to_pylist(), part.column("h").to_pylist()
                 best: dict[tuple[int, int], tuple] = {}
-                last = -1
-                for w, k in zip(win.tolist(), item.tolist(), strict=True):
-                    if w != last:  # hits come window by window
-                        last, d = w, int(owner[w])
-                        low = max(int(first[d]), w - 1)
+                top: dict[tuple[int, int], float] = {}
+                for w, p in zip(win.tolist(), item.tolist(), strict=True):  # hits come window by window
+                    at = w, int(items.item[p])
+                    top[at] = max(top.get(at, -1.0), float(like[w, p]))
+                last, contexts, done = -1, {}, {}
+                for (w, k), cos in top.items():
+                    if w != last:
+                        last, d, contexts = w, int(owner[w]), {}
                         end = int(first[d + 1]) if d + 1 < part.num_rows else len(owner)
-                        seen = term[begin[low] : begin[min(end, w + 3)]].tolist()
-                        held = set(seen)
-                    words = items.words[k]
+                    words, wider = items.words[k], items.wider[k]
+                    step = wider // 8  # windows of a long copy lie in one context, if that is wider by the step
+                    if step and w - done.get((d, k), w - step) < step:
+                        continue
+                    done[d, k] = w
+                    if wider not in contexts:
+                        seen = term[begin[max(int(first[d]), w - wider - step)] : begin[min(end, w + 2 + wider + step)]].tolist()
+                        contexts[wider] = seen, set(seen)
+                    seen, held = contexts[wider]
                     if sum(x in held for x in lists[k]) < PARAPHRASE * len(words):
                         continue
                     common = lcs(words, seen) / len(words)
                     answer = items.answers[k]
                     said = lcs(answer, seen) / len(answer) if len(answer) else 0.0
                     if common >= COPY or common >= PARAPHRASE and said >= ANSWER:
-                        best[d, k] = max(best.get((d, k), (0.0,)), (common, said, float(like[w, k]), (w - int(first[d])) * STRIDE))
+                        best[d, k] = max(best.get((d, k), (0.0,)), (common, said, cos, (w - int(first[d])) * STRIDE))
                 hits += [(ids[d], texts[d], items.ids[k], c, s, a, at) for (d, k), (s, a, c, at) in best.items()]
             if hits:
                 c = list(zip(*hits, strict=True))
@@ -287,7 +310,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, by: tup
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    out, block = [], []
+    out, block, full = [], [], 0
 
     def search(rows):
         items = Items(rows)
@@ -300,9 +323,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, by: tup
 
     for r in benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         block.append((r[0], r[1]))
-        if len(block) == ITEMS:
+        full += len(passages(len(_of(r[1]))))
+        if full >= ITEMS:
             search(block)
-            block = []
+            block, full = [], 0
     search(block)
     if not out:
         return spark.createDataFrame([], HITS).select(*by, "item_id", "cosine", "lcs", "answer", "word")

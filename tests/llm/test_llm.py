@@ -249,6 +249,28 @@ def test_decontaminate(spark):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_long_items(spark):
+    """Copies of items longer than any window and its neighbours, at any offset; also with repeated words and a fifth replaced."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    common = [word() for _ in range(30)]
+    text = lambda n: " ".join(word() if rng.random() < 0.4 else str(rng.choice(common)) for _ in range(n))
+    lengths = [60, 64, 65, 66, 96, 97, 129, 171, 233, 400, 1500]
+    items = [(i, text(n - 8) + ". " + text(8) + ".") for i, n in enumerate(lengths)]
+    docs = [(i, text(400)) for i in range(60)]
+    want = set()
+    for i, t in items:
+        for j, before in enumerate((0, 17, 31, 150)):
+            w = t.split()
+            for at in rng.permutation(len(w))[: len(w) // 5 if j % 2 else 0]:
+                w[at] = word()
+            docs.append((100 + 10 * i + j, (text(before) + " " + " ".join(w) + " " + text(90)).strip()))
+            want.add((100 + 10 * i + j, i))
+    docs.append((900, " ".join(items[9][1].split()[:150]) + " " + text(200)))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_lcs():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import hash_spans, lowered, materialize, runs, slices, table
 
-STRIDE, RANK, EXTRA, COSINE = 32, 208, 8, 0.25
+STRIDE, RANK, EXTRA, COSINE = 32, 208, 32, 0.07
 #: A short item in a long passage has a low cosine; cosine times passage length over item length, the share of the item's
 #: weight in the space that the passage carries, makes a candidate as well from here on.
-SHARE = 0.5
+SHARE = 0.14
 #: Terms in a greater share of passages have no weight in the latent space (they count in the subsequence check).
-MOST = 0.005
+MOST = 0.01
 #: Each item counts in the decomposition as a passage with this weight, so that rare items have a place in the space.
 HEAVY = 30.0
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8

@@ -271,6 +271,36 @@ def test_decontaminate_long_items(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_decontaminate_recall(spark):
+    """Items edited to the edge of the acceptance rule: all that the rule takes by brute force, without the latent space, are found."""
+    at = "/root/testdata/sf0.01"
+    rng = np.random.default_rng(1)
+    texts = [r.text for r in spark.read.parquet(f"{at}/documents.parquet").where("length(text) > 500").orderBy("doc_id").select("text").collect()]
+    bench = spark.read.parquet(f"{at}/benchmark.parquet").where("text IS NOT NULL").select("item_id", "text")
+    pool = np.array(" ".join(texts[:200]).split())
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+    docs, want = [(i, t) for i, t in enumerate(texts)], set()
+    for item_id, t in sorted(map(tuple, bench.collect())):
+        answer = decontaminate.answer_of(t)
+        for share in (0.65,) * 6 + (0.78,) * 2:
+            w = t.split()
+            for i in rng.permutation(len(w) - (len(answer.split()) if share < 0.7 else 0))[: round(len(w) * (1 - share))]:
+                w[i] = str(rng.choice(pool))
+            host = texts[rng.integers(len(texts))].split()
+            i = int(rng.integers(0, len(host)))
+            docs.append((10**6 + len(docs), " ".join([*host[max(0, i - 150) : i], *w, *host[i : i + 150]])))
+            number = {x: n for n, x in enumerate(dict.fromkeys(words(t)))}
+            seen = [number.get(x, -1) for x in words(docs[-1][1])]
+            whole, said = (np.array([number[x] for x in words(x)], np.int64) for x in (t, answer))
+            for s in range(0, len(seen), 32):
+                near = seen[max(0, s - 32) : s + 96]
+                common = decontaminate.lcs(whole, near) / len(whole)
+                if common >= 0.75 or common >= 0.55 and len(said) and decontaminate.lcs(said, near) >= 0.8 * len(said):
+                    want.add((docs[-1][0], item_id))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert len(want) > 300 and not want - got, (len(want), len(want - got))
+
+
 def test_lcs():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

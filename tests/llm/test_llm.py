@@ -408,3 +408,36 @@ def test_encoder_cuts():
         for i in range(part.num_rows):
             assert ids[off[i] : off[i + 1]].tolist() == tok.encode(texts[k], add_special_tokens=False).ids
             k += 1
+
+
+def near_copies(m, words, seed):
+    """m copies of one text of `words` words with up to a tenth of them replaced, so that likenesses lie about the threshold."""
+    rng = np.random.default_rng(seed)
+    base, rows = [f"w{seed}x{i}" for i in range(words)], []
+    for n in range(m):
+        copy = list(base)
+        for at in rng.permutation(words)[: rng.integers(0, words // 10)]:
+            copy[at] = f"e{rng.integers(10**6)}"
+        rows.append((n, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("limit", [1 << 19, 1 << 13])
+def test_ngram_join_large_group(spark, monkeypatch, limit):
+    """A group about the threshold, whole and in blocks: components and links as by brute force, and rows in proportion to its size."""
+    monkeypatch.setattr(ngram_join, "LIMIT", limit)
+    rows = near_copies(700, 90, 1) + [(1000 + i, t) for i, t in near_copies(60, 40, 2)] + [(2000, "w1x1 w1x2 w1x3 w1x4 w1x5")]
+    made, plain = [], ngram_join.materialize
+
+    def counted(df, name):
+        out = plain(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == brute_components(rows, 4, 85)
+    sets = word_sets(rows, 4)
+    links = {d: sum(e != d and 100 * len(s & t) >= 85 * len(s | t) for e, t in sets) for d, s in sets}
+    assert {r.doc_id: r.n_links for r in got} == links and max(links.values()) > 100
+    assert all(n <= 20 * len(rows) for name, n in made if name in ("near", "links", "clusters")), made

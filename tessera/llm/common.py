@@ -1,7 +1,8 @@
 """Shared helpers: the folder that all executors see, byte buffers of text columns, and vectorised word hashing.
 
-Text is handled as UTF-8 bytes in slices of at most SLICE_BYTES (a longer text is a slice of its own), so a task's
-memory follows the longest text and not the partition.
+Text is handled as UTF-8 bytes in slices of at most SLICE_BYTES, so a task's memory follows the longest text and not the
+partition. A longer text is a slice of its own, with a few arrays of one byte per byte and of eight bytes per word; what needs eight
+bytes per byte is done in windows of WINDOW bytes.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES, WINDOW = 1_000_000, 1 << 20
 #: Fixed seeds of the hash functions below; any odd 64-bit numbers do.
 BASE = 0x9E3779B97F4A7C15
 MIX1, MIX2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -145,18 +146,15 @@ def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**j and its inverse modulo 2**64, for j < n."""
-    if len(_powers[0]) < n:
-        m = 1 << (n - 1).bit_length()
-        for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            x = np.full(m, b, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x)
-    return _powers[0][:n], _powers[1][:n]
+@cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """BASE**j and its inverse modulo 2**64, for j <= WINDOW."""
+    out = []
+    for b in (BASE, pow(BASE, -1, 1 << 64)):
+        x = np.full(WINDOW + 1, b, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x))
+    return out[0], out[1]
 
 
 @cache
@@ -193,12 +191,28 @@ def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever the span lies."""
-    p, inverse = powers(len(data) + 1)
-    c = np.empty(len(data) + 1, np.uint64)
-    c[0] = 0
-    np.cumsum(_byte_values()[data] * p[:-1], out=c[1:])
-    return mix((c[end] - c[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(MIX2))
+    """A 64-bit hash of each span's bytes, the same wherever the span lies. Spans in ascending order."""
+    p, inverse = powers()
+    values, sums = _byte_values(), np.zeros(len(start), np.uint64)
+
+    def add(low: int, high: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        c = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(values[data[low:high]] * p[: high - low], out=c[1:])
+        return (c[b - low] - c[a - low]) * inverse[a - low]
+
+    i = 0
+    while i < len(start):
+        low = int(start[i])
+        j = int(np.searchsorted(end, low + WINDOW, "right"))
+        if j > i:
+            sums[i:j] = add(low, int(end[j - 1]), start[i:j], end[i:j])
+            i = j
+            continue
+        for k, at in enumerate(range(low, int(end[i]), WINDOW)):  # a span longer than a window
+            stop = min(at + WINDOW, int(end[i]))
+            sums[i : i + 1] += add(at, stop, np.array([at]), np.array([stop])) * np.uint64(pow(BASE, k * WINDOW, 1 << 64))
+        i += 1
+    return mix(sums + (end - start).astype(np.uint64) * np.uint64(MIX2))
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

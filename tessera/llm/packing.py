@@ -1,12 +1,12 @@
 """Best-fit packing in bounded space: a fixed number of open bins, found by a bitset keyed by free space.
 
-A task takes AHEAD pieces at a time and puts the longer of them first.
-
-Documents are cut into pieces of at most CAPACITY ids; only longer documents are cut. Each task packs the pieces it receives, in
-hash order, online: a piece goes to the open bin with the least room that fits it; if none fits, a new bin is opened, and if
-OPEN bins are open already, the fullest closes first. Bins still open at a task's end are pieces of the next round, where fewer
-tasks pack them as wholes, until one task is left; that round has at most OPEN bins per task of the round before. So what tasks
-leave half full is packed again, and no step holds more than OPEN bins or sees all rows.
+Documents are cut into pieces of at most CAPACITY ids; only longer documents are cut. Each task packs the pieces of its
+partition online, in the order in which they come: a piece goes to the open bin with the least room that fits it; if none
+fits, a new bin is opened, and if OPEN bins are open already, the fullest closes first. The pieces of a bin leave when it closes, so a
+task holds what lies in its open bins and one batch, whatever it reads; these pieces are not shuffled. The pieces of bins still
+open at a task's end go to the next round, which packs them in the same way with a task for PER_TASK * OPEN bins, until one task
+is left; the OPEN bins that it leaves open are packed once more, the longest piece first. So what tasks leave half full is
+packed again, and no step sees all rows.
 
 Null and empty texts are one end id. Rows that repeat a doc_id are documents like others. An empty table gives no rows. The
 columns other than doc_id and text are ignored.
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import materialize, table
 from tessera.llm.tokens import VOCABULARY, crc32, encoder
 
-CAPACITY, OPEN, AHEAD = 2048, 1024, 4096
+CAPACITY, OPEN, PER_TASK = 2048, 16384, 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -85,60 +85,48 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = 0,
     return docs.mapInArrow(_pieces(vocabulary, end_id, capacity), PIECES)
 
 
-def _pack(capacity: int, most: int, name: str):
-    """Adds to each row the bin (task << 32 | number) and place it gets, and how full the bin is if it stays open (else null)."""
+def _pack(capacity: int, most: int):
+    """Adds to each row the bin (task << 32 | number) and place it gets, and whether the bin is open at the task's end."""
 
     def run(batches):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId() << 32
-        bins, done = Bins(capacity, most), []
+        bins, held = Bins(capacity, most), None
+
+        def of(t: pa.Table, still: bool):
+            return t.append_column("open", pa.array(np.full(t.num_rows, still))).to_batches()
+
         for batch in batches:
-            length = batch.column(name).to_numpy()
-            got = np.zeros((len(length), 2), np.int64)
-            for low in range(0, len(length), AHEAD):
-                for i in low + np.argsort(-length[low : low + AHEAD], kind="stable"):
-                    got[i] = bins.put(int(length[i]))
-            done.append((batch, got))
-        still = bins.open()
-        for batch, got in done:  # a task's rows, without ids or texts
-            held = [still.get(b) for b in got[:, 0].tolist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got[:, 0] + task), pa.array(got[:, 1]), pa.array(held, pa.int64())], [*batch.schema.names, "bin", "place", "held"])
+            got = np.array([bins.put(n) for n in batch.column("length").to_pylist()], np.int64).reshape(-1, 2)
+            t = pa.Table.from_batches([batch]).append_column("bin", pa.array(got[:, 0] + task)).append_column("place", pa.array(got[:, 1]))
+            t = t if held is None else pa.concat_tables([held, t])
+            still = np.isin(t.column("bin").to_numpy() - task, list(bins.open()))
+            yield from of(t.filter(pa.array(~still)), False)
+            held = t.filter(pa.array(still)).combine_chunks()
+        if held is not None:
+            yield from of(held, True)
 
     return run
 
 
-def best_fit(pieces: DataFrame, capacity: int = CAPACITY, most: int = OPEN, per_task: int = 64) -> DataFrame:
-    """pieces (with a column length) and sequence_id, offset.
-
-    per_task: how many tasks of a round hand their open bins to one of the next round.
-    """
-    spark = pieces.sparkSession
-    columns = pieces.columns
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = F.xxhash64(*columns)
-    schema = T.StructType([*pieces.schema.fields, *(T.StructField(c, T.LongType()) for c in ("bin", "place", "held"))])
-    packed = materialize(pieces.repartition(tasks, order).sortWithinPartitions(order, *columns).mapInArrow(_pack(capacity, most, "length"), schema), "packed")
-    out = packed.select(*columns, F.col("bin").alias("_b"), F.col("place").alias("_p"))
-    level, base = 0, F.lit(0).cast("long")
-    opened = packed.where("held IS NOT NULL").select(F.col("bin").alias("item"), F.col("held").alias("length")).distinct()
-    moves = None  # of each bin of the first round: where it is now
-    while tasks > 1:
-        tasks, level = -(-tasks // per_task), level + 1
-        o = F.xxhash64(F.lit(level), "item")
-        again = opened.repartition(tasks, o).sortWithinPartitions(o, "item").mapInArrow(_pack(capacity, most, "length"), "item long, length long, bin long, place long, held long")
-        again = materialize(again.withColumn("bin", F.col("bin") + F.lit(level << 56)), "repacked")
-        step = again.select("item", F.col("bin").alias("to"), F.col("place").alias("shift"))
-        if moves is None:
-            moves = step
-        else:
-            # a bin that the round before left closed stays where it is
-            nxt = step.select(F.col("item").alias("to"), F.col("to").alias("to2"), F.col("shift").alias("shift2"))
-            moves = moves.join(nxt, "to", "left").select("item", F.coalesce("to2", "to").alias("to"), (F.col("shift") + F.coalesce("shift2", base)).alias("shift"))
-        opened = again.where("held IS NOT NULL").select(F.col("bin").alias("item"), F.col("held").alias("length")).distinct()
-    if moves is not None:
-        out = out.join(moves, out._b == moves.item, "left").withColumns({"_p": F.col("_p") + F.coalesce("shift", base), "_b": F.coalesce("to", "_b")})
-    return out.select(*columns, F.col("_b").alias("sequence_id"), F.col("_p").alias("offset"))
+def best_fit(pieces: DataFrame, capacity: int = CAPACITY, most: int = OPEN, per_task: int = PER_TASK) -> DataFrame:
+    """pieces (with a column length) and sequence_id, offset. per_task: how many tasks of a round hand their open bins to one of the next."""
+    added = [T.StructField("bin", T.LongType()), T.StructField("place", T.LongType()), T.StructField("open", T.BooleanType())]
+    schema = T.StructType([*pieces.schema.fields, *added])
+    columns, level, tasks, last, out = pieces.columns, 0, 0, False, None
+    while True:
+        packed = materialize(pieces.mapInArrow(_pack(capacity, most), schema), "packed")
+        left = packed.where("open")
+        bins = left.select("bin").distinct().count()
+        last = last or not bins
+        done = (packed if last else packed.where("NOT open")).select(*columns, (F.col("bin") + F.lit(level << 56)).alias("sequence_id"), F.col("place").alias("offset"))
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        level, last, tasks = level + 1, tasks == 1, -(-bins // (per_task * most))
+        order = F.xxhash64(F.lit(level), "bin", "place")  # a row's own: repeated rows are dealt apart
+        pieces = left.repartition(tasks, order).sortWithinPartitions(*[F.desc("length")] * last, order).select(*columns)
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:

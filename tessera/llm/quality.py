@@ -5,9 +5,10 @@ feature after another on the logistic loss, are added into the tables. Pairs of
 remaining gradient a two-way split takes, and the best get tables of their own. A score is the sum of table entries through
 the logistic function.
 
-The model is fitted on at most SAMPLE labelled rows, those with the least hash of doc_id; features and scores cover every
-row. Labels of one doc_id that differ count as their minimum; null labels don't count. With one class or no labels the score is
-the same for all rows: the share of label 1 (0.5 without labels).
+The model is fitted on at most SAMPLE labelled rows, chosen by the hash of doc_id before their features are computed; scores cover
+every row, in one pass. Labels of one doc_id that differ count as their minimum; null labels don't count. Of rows that repeat
+a labelled doc_id the one whose text has the least hash counts. With one class or no labels the score is the same for all rows:
+the share of label 1 (0.5 without labels).
 
 Null and empty texts have zero features and a score. Repeated rows have equal scores. A null doc_id has no label and is not
 held out. Other columns are ignored.
@@ -104,7 +105,7 @@ def _describe(batches):
         for part, data, off in slices(batch):
             x = features(data, off)
             flat = pa.array(x.ravel())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES)), flat)], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "y", "h")), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES)), flat)], ["doc_id", "y", "h", "x"])
 
 
 @dataclass
@@ -216,44 +217,43 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     return m
 
 
-def _score(model: Model):
-    def run(batches):
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
-
-    return run
-
-
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id and the features x of every row, as a table in the shared folder."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fits on rows of docs with labels(doc_id, quality) that are not held out, `sample` of them at most."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(docs.mapInArrow(_describe, "doc_id long, x array<double>"), "features")
-
-
-def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on labels(doc_id, quality) that are not held out, `sample` of them at most."""
-    known = labels.select("doc_id", "quality").dropna().where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("y"))
-    some = rows.dropDuplicates(["doc_id"]).join(known, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample)
-    got = some.select("x", "y").toPandas()
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").dropna().where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
+    known = materialize(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id")), "known")
+    # hashes are even over 2**64: below this one there are fewer than `sample` of n, but for four standard deviations
+    n, least = known.count(), -(1 << 63)
+    share = 1.0 if n <= sample else max(sample - 4 * sample**0.5, sample / 2) / n
+    some = known.where(F.col("h") <= min(least + int(share * 2.0**64), (1 << 63) - 1)).select("doc_id", "y")
+    some = docs.join(F.broadcast(some), "doc_id")  # at most `sample` rows of two numbers
+    described = some.withColumn("h", F.xxhash64("text")).mapInArrow(_describe, "doc_id long, y int, h long, x array<double>")
+    got = described.groupBy("doc_id").agg(F.min(F.struct("h", "x", "y")).alias("r")).orderBy("doc_id").select("r.x", "r.y").toPandas()
     x = np.array(got.x.tolist(), float).reshape(-1, len(NAMES))
     return fit(x, got.y.to_numpy(float))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    rows = described(docs)
-    scored = rows.mapInArrow(_score(train(rows, labels, sample)), "doc_id long, score double")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model = train(docs, labels, sample)
+
+    def run(batches):
+        for batch in batches:
+            for part, data, off in slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(features(data, off)))], ["doc_id", "score"])
+
+    scored = docs.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the classifier rejects. Each row is scored by its own text, whatever its doc_id."""
-    model = train(described(docs), labels)
+    model = train(docs, labels)
 
     def run(batches):
         for batch in batches:

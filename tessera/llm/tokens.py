@@ -17,11 +17,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.common import lowered, slices
+from tessera.llm.common import SLICE_BYTES, lowered, slices
 
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces kept by a Python worker before the table is emptied (about 150 bytes each).
-KEPT = 1_200_000
+#: Pieces, and bytes of them, kept by a Python worker before the table is emptied (about 150 bytes each and their own).
+KEPT, KEPT_BYTES = 600_000, 16_000_000
 SPECIAL = b"<|"
 
 
@@ -57,6 +57,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.kept = 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.end = 0
         self.start = np.zeros(1 << 14, np.int64)
@@ -111,11 +112,14 @@ class Encoder:
         pieces = form[0].from_buffers(form[1], len(start), [None, pa.py_buffer(ends), pa.py_buffer(lowered()[data[kind != 0]])])
         coded = pieces.dictionary_encode()
         code, need = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        if len(self.index) + len(need) > KEPT:
-            self.clear()
         new = [p for p in need if p not in self.index]
+        size = sum(map(len, new))
+        if len(self.index) + len(new) > KEPT or self.kept + size > KEPT_BYTES:
+            self.clear()
+            new, size = need, sum(map(len, need))
         if new:
             self._add(new)
+            self.kept += size
         known = np.fromiter(map(self.index.__getitem__, need), np.int64, len(need))[code]
         n = self.length[known]
         stop = np.cumsum(n)
@@ -139,9 +143,25 @@ class Encoder:
             parts.append(piece)
         return np.concatenate(parts), np.concatenate(([0], np.cumsum(n)))
 
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        """The ids of one text, encoded in parts of about SLICE_BYTES that are cut at white space."""
+        blank, parts, low = np.flatnonzero(_classes()[data] == 0), [], 0
+        while low < len(data):
+            high = len(data)
+            if high - low > SLICE_BYTES:
+                k = int(np.searchsorted(blank, low + SLICE_BYTES))
+                high = int(blank[k]) if k < len(blank) else high
+            parts.append(self.encode(data[low:high], np.array([0, high - low]))[0])
+            low = max(high, low + 1)
+        return np.concatenate(parts)
+
     def texts(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for part, data, off in slices(batch):
-            yield (part, *self.encode(data, off))
+            if len(data) > SLICE_BYTES and SPECIAL not in data.tobytes():
+                ids = self._long(data)
+                yield part, ids, np.array([0, len(ids)])
+            else:
+                yield (part, *self.encode(data, off))
 
 
 @cache

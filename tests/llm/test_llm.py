@@ -441,3 +441,53 @@ def test_ngram_join_large_group(spark, monkeypatch, limit):
     links = {d: sum(e != d and 100 * len(s & t) >= 85 * len(s | t) for e, t in sets) for d, s in sets}
     assert {r.doc_id: r.n_links for r in got} == links and max(links.values()) > 100
     assert all(n <= 20 * len(rows) for name, n in made if name in ("near", "links", "clusters")), made
+
+
+def test_long_texts_in_windows(monkeypatch):
+    """Words longer than a window, and texts longer than a slice, hash and encode as short ones do."""
+    from tessera.llm import common
+
+    text = " ".join(["ab" * 700, "x", "é" * 500, "it's", "y" * 3000, ""] * 3).encode()
+    data = np.frombuffer(text, np.uint8)
+    off = np.array([0, len(data)])
+    want = common.words(data, off)[0]
+    ids = tokens.Encoder().encode(data, off)[0]
+    monkeypatch.setattr(common, "WINDOW", 256)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 100)
+    common.powers.cache_clear()
+    assert (common.words(data, off)[0] == want).all() and (tokens.Encoder()._long(data) == ids).all()
+    common.powers.cache_clear()
+
+
+def test_quality_against_plain_trees():
+    """Scores are sums of table entries, and tables are what plain boosting over the same bins gives."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((400, len(quality.NAMES))), 2)
+    y = (x[:, 0] + (x[:, 1] > 0.5) * (x[:, 2] > 0.5) > 0.9).astype(float)
+    m = quality.fit(x, y)
+    slow = []
+    for row in x:
+        f = m.base
+        for k in range(len(quality.NAMES)):
+            f += m.tables[k][sum(e <= row[k] for e in m.edges[k])]
+        for (a, b), t in zip(m.pairs, m.pair_tables, strict=True):
+            f += t[sum(e <= row[a] for e in m.pair_edges[a]), sum(e <= row[b] for e in m.pair_edges[b])]
+        slow.append(1 / (1 + np.exp(-max(-30, min(30, f)))))
+    assert np.allclose(m.score(x), slow) and ((m.score(x) > 0.5) == y).mean() > 0.97
+    g, h = rng.standard_normal(9), rng.random(9)
+    best = max((g[:c].sum() ** 2 / (h[:c].sum() + 1) + g[c:].sum() ** 2 / (h[c:].sum() + 1) - g.sum() ** 2 / (h.sum() + 1), c) for c in range(1, 9))
+    assert np.allclose(quality._best_cut(g, h, 0, 9), best)
+    leaf = quality._tree(g, h, 2)
+    assert np.allclose(leaf[: best[1]], g[: best[1]].sum() / (h[: best[1]].sum() + 1))
+
+
+def test_features_by_hand():
+    text = "Good DAY to all!! a|b\nGood DAY to all!! a|b\n12 é?"
+    data = np.frombuffer(text.encode(), np.uint8)
+    got = dict(zip(quality.NAMES, quality.features(data, np.array([0, len(data)]))[0], strict=True))
+    w, raw = text.split(), text.encode()
+    filled = sum(b not in b" \n" for b in raw)
+    letters = sum(chr(b).isalpha() and b < 128 for b in raw)
+    upper = sum(65 <= b <= 90 for b in raw)
+    want = {"log_words": np.log1p(len(w)), "word_bytes": np.mean([len(x.encode()) for x in w]), "upper": upper / letters, "digits": 2 / filled, "bangs": 4 / filled, "pipes": 2 / len(w), "distinct_words": len({x.lower() for x in w}) / len(w), "repeated_lines": 1 - 2 / 3, "sentence_ends": 1 / len(w), "shouted": 2 / len(w), "capitals": 4 / len(w), "line_words": np.log1p(len(w) / 3)}
+    assert all(np.isclose(got[k], v) for k, v in want.items()), {k: (got[k], v) for k, v in want.items() if not np.isclose(got[k], v)}

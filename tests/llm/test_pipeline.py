@@ -38,3 +38,31 @@ def test_stages_decide_by_row(spark, tmp_path):
     rows = [(1, leak, "a"), (1, lone, "b"), (None, "x " + leak, "c"), (None, lone, "d"), (None, None, "e"), (2, leak, "f"), (2, leak, "g"), (3, pair, "h")]
     kept = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), str(tmp_path))
     assert sorted(r.source for r in kept.collect()) == list("bdeh")
+
+
+def test_run_on_odd_rows(spark, tmp_path):
+    """The whole run with nulls, repeated rows and ids, a long text, clashing columns, and with no rows at all."""
+    sf = "/root/testdata/sf0.01"
+    good = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 AND toxic = 0"), "doc_id", "left_semi").orderBy("doc_id").limit(40)
+    texts = [r.text for r in good.collect()]
+    long = " ".join(texts) * 60
+    rows = [(i, t, i) for i, t in enumerate(texts)] + [(None, texts[0], 0), (1, texts[2], 0), (1, texts[1], 0), (None, None, 0), (77, "", 0), (78, " \n", 0), (79, long, 0), (80, long + " end", 0)]
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    clash = spark.createDataFrame(rows, "doc_id long, text string, h long").selectExpr("*", "h AS v", "h AS n", "'x' AS bin", "h AS length", "h AS y")
+    clash.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = clash
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path)).cache()
+        assert kept.columns == clash.columns, name
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = kept.collect()
+    assert {(r.doc_id, r.piece) for r in got if r.piece == 0} == {(r.doc_id, 0) for r in want}
+    ends = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(a[0] != b[0] and b[1] == 0 or a[0] == b[0] and b[1] == a[1] + a[2] for a, b in zip(ends, ends[1:]))
+    assert len([r for r in want if r.text in (long, long + " end")]) <= 1 and len({r.text for r in want if r.text}) == len([r for r in want if r.text])
+
+    spark.createDataFrame([], clash.schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -1,6 +1,16 @@
 """The corpus pipeline: low quality out, one document of each near-duplicate group, benchmark leaks out, then packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Every row is
+decided by its own text:
+
+- null and empty texts, and those without words, are scored like others by the classifier, are no near duplicates, hold no benchmark
+  item, and pack as one end id;
+- repeated rows, and rows of one doc_id with different texts, are rows of their own: of equal or near texts one row stays, whatever
+  their ids; a leaking text goes and takes no other text of its doc_id with it;
+- rows without a doc_id take part in every stage;
+- very long texts are read whole; further columns are carried along, whatever their names, and left out by the last stage;
+- an empty table gives no rows, without labels nothing is rejected by a model (the score is 0.5, under the threshold: all go), and
+  without benchmark items nothing leaks.
 """
 
 from __future__ import annotations

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import commit_file, file_size, materialize, read_range, scratch, table
 
-LEAST, BLOCK = 100, 4_000_000
+#: BLOCK: bytes read at once; a task reads TASK bytes.
+LEAST, BLOCK, TASK = 100, 4_000_000, 64_000_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2000-01-01T00:00:00Z"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -130,6 +131,8 @@ class Archive:
         start = max(0, self.size - 65_557)
         tail = read_range(uri, start, self.size - start)
         at = tail.rfind(b"PK\x05\x06")
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack("<H", tail[at + 20 : at + 22])[0] != len(tail)):
+            at = tail.rfind(b"PK\x05\x06", 0, at)  # what stands in a comment doesn't end where the file does
         if at < 0:
             raise ValueError(f"no end of central directory: {uri}")
         count, size, offset = struct.unpack("<HII", tail[at + 10 : at + 20])
@@ -220,7 +223,7 @@ def _write(folder: str):
         uri = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.wacz"
         n = write_archive(uri, records())
         if n:
-            yield pa.RecordBatch.from_pydict({"path": [uri], "records": pa.array([n], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"path": [uri], "records": pa.array([n], pa.int64()), "bytes": pa.array([file_size(uri)], pa.int64())})
 
     return run
 
@@ -232,7 +235,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     old = revisits(pages).select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "refers_to")
     marked = pages.join(old, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
     marked = marked.select("page_id", "url", "html", "payload_digest", "refers_to", F.col("refers_to").isNotNull().alias("again"))
-    return materialize(marked.mapInArrow(_write(folder), "path string, records long"), "archives")
+    return materialize(marked.mapInArrow(_write(folder), "path string, records long, bytes long"), "archives")
 
 
 def _blocks(batches):
@@ -269,9 +272,12 @@ def _read(batches):
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Every record of the archives (path): RECORDS. Blocks are dealt evenly to tasks and read by range."""
-    blocks = archives.select("path").repartition(F.col("path")).mapInArrow(_blocks, "path string, start long, lengths array<long>")
-    return blocks.repartition("path", "start").mapInArrow(_read, RECORDS)
+    """Every record of the archives (path, bytes): RECORDS. Blocks are dealt evenly to tasks and read by range."""
+    files, size = archives.agg(F.count("*"), F.sum("bytes")).first()
+    least = archives.sparkSession.sparkContext.defaultParallelism
+    # paths are few bytes, so the numbers of tasks follow what these read
+    blocks = archives.select("path").repartition(max(1, min(files, max(least, (size or 0) // TASK))), "path").mapInArrow(_blocks, "path string, start long, lengths array<long>")
+    return blocks.repartition(max(least, -(-(size or 0) // TASK)), "path", "start").mapInArrow(_read, RECORDS)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

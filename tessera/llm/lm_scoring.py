@@ -1,9 +1,10 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, interpolated with unigrams, are counted over whole texts: the target model on documents labelled good
-(quality 1, not toxic), the background model on all documents. They share one vocabulary, the lower-cased words of all
-documents, and one smoothing, so a document's score is the mean over its tokens of target loss minus background loss, in bits:
-the lower, the more the document resembles the target.
+(quality 1, not toxic), the background model on all documents. They are matched: they share one vocabulary, the lower-cased words of
+all documents, the same interpolation weights, and a smoothing in proportion to their sizes (a share EVEN of each model is spread
+evenly over the vocabulary), so that the difference doesn't measure which model is larger. A document's score is the mean over its
+tokens of target loss minus background loss, in bits: the lower, the more the document resembles the target.
 
 Each word, context and bigram has a count of its own, under its 64-bit hash; there are as many as the input has. Documents are
 written in chunks of CHUNK text bytes. A chunk sends its distinct hashes with their counts to ranges of the hash space (RANGE text
@@ -28,10 +29,8 @@ from tessera.llm.common import materialize, mix, slices, table, words
 
 #: Text bytes of a chunk, and of the documents per range of the hash space.
 CHUNK, RANGE = 8_000_000, 24_000_000
-#: Weight of the bigram estimate, and the count added to each word.
-LAMBDA, ALPHA = 0.7, 0.5
-#: The vocabulary that is smoothed over: a larger number of words counts as it is, a smaller one leaves room for unseen words.
-SIZES = (1 << 20,)
+#: Weight of the bigram estimate, and the share of each unigram model that is spread evenly over the words.
+LAMBDA, EVEN = 0.7, 0.01
 START = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -146,7 +145,7 @@ def _total(batches):
 
 def losses(one, seen, pairs, total: float, size: float) -> np.ndarray:
     """Bits of tokens with these counts of the word, its context and the bigram, in a model of `total` tokens over `size` words."""
-    p = (one + ALPHA) / (total + ALPHA * size)
+    p = (1 - EVEN) * one / total + EVEN / size if total else np.full(len(one), 1 / max(size, 1))
     q = np.where(seen > 0, np.minimum(pairs / np.maximum(seen, 1), 1.0), p)
     return -np.log2(LAMBDA * q + (1 - LAMBDA) * p)
 
@@ -183,7 +182,7 @@ def score(docs: DataFrame) -> DataFrame:
     nothing = F.lit(None).cast("binary")
     answers = totals.where("chunk IS NOT NULL").select("chunk", "kind", "part", "n", nothing.alias("docs"), "target", "background")
     both = answers.unionByName(chunks.select("chunk", F.lit(-1).alias("kind"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("n"), "docs", nothing.alias("target"), nothing.alias("background")))
-    run = _score((target, background), max(n_words, SIZES[0]))
+    run = _score((target, background), n_words)
     return both.repartition("chunk").sortWithinPartitions("chunk", "kind", "part").mapInArrow(run, "doc_id long, n_tokens long, target_bits double, background_bits double, score double")
 
 

@@ -5,7 +5,8 @@ name=SPEAKER" for the others, and "system" for the role system, which is nobody'
 loss counts: the assistant's texts with their end marks.
 
 A row is a block of at most TURNS messages of one dialogue in one view; a dialogue of up to TURNS messages is one row per view, a longer one
-has more rows (block 0, 1, ...), so a dialogue that holds a third of all rows is no row or task of its own. Messages are
+has more rows (block 0, 1, ...), so a dialogue that holds a third of all rows is no row or task of its own. start is where a block's
+text begins in the view's whole rendering, which is the blocks' texts one after another; a mask's spans count from there. Messages are
 numbered without windows over whole dialogues: rows are sorted by range, each range counts its own, and the counts of the
 ranges that a dialogue spans are added up.
 
@@ -39,7 +40,7 @@ def numbered(messages: DataFrame) -> DataFrame:
 
 
 def rotate(messages: DataFrame, turns: int = TURNS) -> DataFrame:
-    """messages (conv_id, turn, role, text): conv_id, speaker, block, n_messages, text, mask (spans "start-end", joined by commas)."""
+    """messages (conv_id, turn, role, text): conv_id, speaker, block, n_messages, start, text, mask (spans "start-end", joined by commas)."""
     messages = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     blocks = numbered(messages).withColumn("block", F.floor(F.col("n") / turns).cast("int")).groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("n", "role", "text"))).alias("m"))  # turns messages at most
     views = messages.where("role <> 'system'").select(F.col("conv_id").alias("_c"), F.col("role").alias("speaker")).distinct()
@@ -57,7 +58,16 @@ def rotate(messages: DataFrame, turns: int = TURNS) -> DataFrame:
         return F.struct(end.alias("at"), F.when(x.own, F.concat(acc.spans, F.array(F.concat_ws("-", start, end)))).otherwise(acc.spans).alias("spans"))
 
     out = both.withColumn("parts", parts)
-    return out.select("conv_id", "speaker", "block", F.size("m").cast("long").alias("n_messages"), F.array_join(F.transform("parts", lambda x: F.concat(x.head, x.body)), "").alias("text"), F.array_join(F.aggregate("parts", zero, add).spans, ",").alias("mask"))
+    # a row per dialogue and block: how long its texts are in a view, but for the heads, which differ by view
+    lengths = blocks.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.explode(F.transform("m", lambda x: F.struct(x.role.alias("role"), F.length(x.text).alias("size")))).alias("x")).groupBy("_c", "_b", "x.role").agg(F.count("*").alias("k"), F.sum("x.size").alias("size"))
+    lengths = lengths.join(views.select(F.col("_c").alias("_v"), "speaker"), F.col("_c").eqNullSafe(F.col("_v")))
+    marks = len(OPEN) + 1 + len(CLOSE)
+    named = F.when(F.col("role") == F.col("speaker"), len("assistant")).when(F.col("role") == "system", len("system")).otherwise(F.length("role") + len("user name="))
+    lengths = lengths.groupBy("_c", "_b", "speaker").agg(F.sum(F.col("size") + F.col("k") * (named + marks)).alias("size"))
+    earlier = Window.partitionBy("_c", "speaker").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lengths.select("_c", "_b", F.col("speaker").alias("_s"), F.coalesce(F.sum("size").over(earlier), F.lit(0).cast("long")).alias("start")).where("start > 0")
+    out = out.join(starts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")) & (F.col("speaker") == F.col("_s")), "left")
+    return out.select("conv_id", "speaker", "block", F.size("m").cast("long").alias("n_messages"), F.coalesce("start", F.lit(0).cast("long")).alias("start"), F.array_join(F.transform("parts", lambda x: F.concat(x.head, x.body)), "").alias("text"), F.array_join(F.aggregate("parts", zero, add).spans, ",").alias("mask"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +82,9 @@ p AS (SELECT n.conv_id, speaker, (n // 256)::INT AS block, n, role = speaker AS
     '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
     text || '<|im_end|>' || chr(10) AS body
   FROM n JOIN v ON n.conv_id IS NOT DISTINCT FROM v.conv_id),
-q AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, block ORDER BY n) AS stop FROM p)
-SELECT conv_id, speaker, block, count(*) AS n_messages, string_agg(head || body, '' ORDER BY n) AS text,
+q AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, block ORDER BY n) AS stop,
+    sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker ORDER BY n) - length(head) - length(body) AS place FROM p)
+SELECT conv_id, speaker, block, count(*) AS n_messages, min(place)::BIGINT AS start, string_agg(head || body, '' ORDER BY n) AS text,
   coalesce(string_agg((stop - length(body))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY n) FILTER (WHERE own), '') AS mask
 FROM q GROUP BY 1, 2, 3
 """

@@ -6,9 +6,9 @@ At load=None the capacities are the exact even split (counts differ by one at mo
 ceil((1 + e) * rows / shards), so fewer keys move.
 
 The plan is made on counts per arc (shards * vnodes numbers, a fixed size), never on rows: the driver walks the ring and
-says how many of each arc's keys, in the order of their hashes, go to which shard and from which slot on. Rows then
-need only their rank in their part of an arc. Parts are dealt by content hash and input partition as well, so a doc_id that
-a third of all rows share is ranked by many tasks.
+says how many of each arc's keys go to which shard and from which slot on. Rows then need only their rank in their part of an
+arc. An arc of more than PART rows has a part for each PART rows, dealt by input partition, so a doc_id that a third of all rows share
+is ranked by many tasks, more of them as the input grows. The keys of an arc are in the order of their parts, then their hashes.
 
 Null doc_ids are hashed as any value; null and empty texts have size 1 and crc32 0. Repeated rows are rows like others.
 An empty table gives an empty result. Other columns are ignored.
@@ -18,12 +18,13 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, table
 
-SHARDS, VNODES, SALTS = 16, 128, 16
+#: BUCKETS: ranges of the ring in the table that finds a key's arc.
+SHARDS, VNODES, PART, BUCKETS = 16, 128, 1_000_000, 4096
 
 
 def ring(spark: SparkSession, shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -33,12 +34,24 @@ def ring(spark: SparkSession, shards: int, vnodes: int) -> list[tuple[int, int]]
     return sorted((r.at, r.shard) for r in points.collect())
 
 
-def arc_of(position: Column, points: list[tuple[int, int]]) -> Column:
-    """The index of the first ring point at or after a position, by binary search in expressions (round to 0 at the end)."""
-    at = F.array(*[F.lit(p) for p, _ in points])
-    steps = len(points).bit_length()
-    low = F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(steps))]), F.lit(0), lambda acc, w: F.when((acc + w <= len(points)) & (F.get(at, acc + w - 1) < position), acc + w).otherwise(acc))
-    return low % len(points)
+def with_arcs(keyed: DataFrame, points: list[tuple[int, int]]) -> DataFrame:
+    """keyed (with a position `at`) and arc: the index of the first ring point at or after the position (round to 0 at the end).
+
+    A table of BUCKETS rows, which is broadcast, says for each range of the ring which points lie in it and how many before.
+    """
+    width, least = (1 << 64) // BUCKETS, -(1 << 63)
+    inside: list[list[int]] = [[] for _ in range(BUCKETS)]
+    for p, _ in points:
+        inside[(p - least) // width].append(p)
+    rows, before = [], 0
+    for b, cuts in enumerate(inside):
+        rows.append((b, before, cuts))
+        before += len(cuts)
+    ranges = keyed.sparkSession.createDataFrame(rows, "bucket int, before int, cuts array<long>")
+    bits = BUCKETS.bit_length() - 1
+    bucket = (F.shiftright("at", 64 - bits) + BUCKETS // 2).cast("int")
+    found = keyed.withColumn("bucket", bucket).join(F.broadcast(ranges), "bucket")
+    return found.withColumn("arc", ((F.col("before") + F.size(F.filter("cuts", lambda c: c < F.col("at")))) % len(points)).cast("int")).drop("bucket", "before", "cuts")
 
 
 def capacities(rows: int, shards: int, load: float | None) -> list[int]:
@@ -82,13 +95,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, load: flo
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("string").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"),
+        F.spark_partition_id().alias("task"),
     ).withColumn("at", F.xxhash64(F.lit("key"), "doc_id"))
-    keyed = materialize(keyed.withColumn("arc", arc_of(F.col("at"), points)), "keys")
+    keyed = materialize(with_arcs(keyed, points), "keys")
+    large = [(r.arc, -(-r.n // PART)) for r in keyed.groupBy("arc").agg(F.count("*").alias("n")).where(F.col("n") > PART).collect()]  # shards * vnodes rows at most
+    salts = F.broadcast(spark.createDataFrame(large, "arc int, salts int"))
+    keyed = keyed.join(salts, "arc", "left").withColumn("salt", F.pmod(F.xxhash64("task"), F.coalesce("salts", F.lit(1))).cast("int")).drop("task", "salts")
 
     # ranks within (arc, salt), then the salts of an arc one after another
     part = keyed.groupBy("arc", "salt").agg(F.count("*").alias("n"))
-    counted = part.collect()  # at most shards * vnodes * SALTS rows
+    counted = part.collect()  # at most shards * vnodes rows, and one for each PART rows
     before: dict[tuple[int, int], int] = {}
     total: dict[int, int] = {}
     for r in sorted(counted, key=lambda r: (r.arc, r.salt)):
@@ -107,8 +123,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, load: flo
     ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("arc", "salt").orderBy("at", "doc_id", "size", "text_crc32")) - 1)
     spans_ = spark.createDataFrame(spans or [(0, 0, 0, 0, 0)], "arc int, salt int, low long, shard int, shift long")
     steps = spans_.groupBy("arc", "salt").agg(F.sort_array(F.collect_list(F.struct("low", "shard", "shift"))).alias("steps"))
-    # fixed size: shards * vnodes * SALTS parts, and one more step for each change of shard in the plan
-    placed = ranked.join(F.broadcast(steps), ["arc", "salt"]).withColumn("step", F.element_at(F.filter("steps", lambda x: x.low <= F.col("rank")), -1))
+    # a row for each arc or PART rows: broadcast where that is small, by Spark's own measure
+    placed = ranked.join(steps, ["arc", "salt"]).withColumn("step", F.element_at(F.filter("steps", lambda x: x.low <= F.col("rank")), -1))
     home = F.get(F.array(*[F.lit(int(s)) for _, s in points]), F.col("arc"))
     return placed.select("doc_id", "size", "text_crc32", F.col("step.shard").alias("shard"), (F.col("rank") + F.col("step.shift")).cast("long").alias("slot"), home.cast("int").alias("home_shard"))
 

@@ -81,7 +81,7 @@ def test_ngram_join_groups(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_components(rows, 4, 85)})
 
 
-def test_sharding(spark, odd, none, sf):
+def test_sharding(spark, odd, none, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = sharding.shard(docs).toPandas()
     count = got.groupby("shard").slot.agg(["size", "max", "nunique"])
@@ -92,10 +92,37 @@ def test_sharding(spark, odd, none, sf):
     assert loose.groupby("shard").size().max() <= -(-len(got) * 1.25 // 16)
     assert (loose.shard != loose.home_shard).sum() <= (got.shard != got.home_shard).sum()
     assert sharding.shard(odd).count() == len(ROWS) and sharding.shard(none).count() == 0
+    monkeypatch.setattr(sharding, "PART", 40)
     one_key = spark.range(1000).select(F.lit(5).alias("doc_id"), F.lit("x").alias("text"))
     assert sharding.shard(one_key).groupBy("shard").count().agg(F.max("count") - F.min("count")).first()[0] <= 1
 
 
+@pytest.mark.parametrize("load", [None, 0.25, 2.0])
+def test_deal_is_a_ring_walk(load):
+    """Against a walk of single keys: in each round every key without a place asks the point it has come to, in ring order."""
+    points = sorted((i * 37 % 101, i % 4) for i in range(40))
+    counts = {i: (i * 7) % 13 + 30 * (i == 5) for i in range(40)}
+    room = sharding.capacities(sum(counts.values()), 4, load)
+    left, at, got = list(room), {(a, k): a for a, n in counts.items() for k in range(n)}, {}
+    while at:
+        for point in range(40):
+            for key in [k for k, p in at.items() if p == point]:
+                if left[points[point][1]]:
+                    left[points[point][1]] -= 1
+                    got[key] = points[point][1]
+                    del at[key]
+        at = {k: (p + 1) % 40 for k, p in at.items()}
+    plan = sharding.deal(counts, points, list(room))
+    want = {a: np.bincount([got[a, k] for k in range(n)], minlength=4).tolist() for a, n in counts.items() if n}
+    assert {a: np.bincount([s for n, s, _ in p for _ in range(n)], minlength=4).tolist() for a, p in plan.items()} == want
+
+
+def test_arcs_by_table(spark):
+    points = sharding.ring(spark, 4, 16)
+    got = sharding.with_arcs(spark.range(3000).select(F.xxhash64("id").alias("at")), points).collect()
+    assert all(r.arc == sum(p < r["at"] for p, _ in points) % len(points) for r in got)
+
+
 def test_deal_keeps_counts():
     points = sorted((i * 37 % 101, i % 4) for i in range(40))
     counts = {i: (i * 7) % 13 for i in range(40)}
@@ -341,7 +368,7 @@ def test_lm_scoring(spark, odd, none, sf):
                     models[side][kind][at[kind]] = models[side][kind].get(at[kind], 0) + 1
 
     def loss(m, u, c, b):
-        p = (m[0].get(u, 0) + lm_scoring.ALPHA) / (sum(m[0].values()) + lm_scoring.ALPHA * lm_scoring.SIZES[0])
+        p = (1 - lm_scoring.EVEN) * m[0].get(u, 0) / sum(m[0].values()) + lm_scoring.EVEN / len(models[1][0])
         q = m[2].get(b, 0) / m[1][c] if m[1].get(c) else p
         return -np.log2(lm_scoring.LAMBDA * min(q, 1) + (1 - lm_scoring.LAMBDA) * p)
 
@@ -370,12 +397,12 @@ def test_lm_scoring_counts_are_exact(spark, monkeypatch):
             for b, a in zip([None, *w[:-1]], w, strict=True):
                 for kind, key in enumerate((a, b, (b, a))):
                     models[side][kind][key] = models[side][kind].get(key, 0) + 1
-    size = max(lm_scoring.SIZES[0], len(models[1][0]))
+    size = len(models[1][0])
 
     def bits(m, text):
         w, total, out = text.split(), sum(m[0].values()), []
         for b, a in zip([None, *w[:-1]], w, strict=True):
-            p = (m[0].get(a, 0) + lm_scoring.ALPHA) / (total + lm_scoring.ALPHA * size)
+            p = (1 - lm_scoring.EVEN) * m[0].get(a, 0) / total + lm_scoring.EVEN / size
             q = m[2].get((b, a), 0) / m[1][b] if b in m[1] else p
             out.append(-np.log2(lm_scoring.LAMBDA * q + (1 - lm_scoring.LAMBDA) * p))
         return np.mean(out)
@@ -394,6 +421,11 @@ def test_chat(spark):
     for r in got:
         marked = "".join(r.text[int(a) : int(b)] for a, _, b in (s.partition("-") for s in r.mask.split(",")))
         assert marked == "".join(re.findall(r"<\|im_start\|>assistant\n(.*?<\|im_end\|>\n)", r.text, re.S))
+    for view in {(r.conv_id, r.speaker) for r in got}:
+        whole = ""
+        for r in sorted((r for r in got if (r.conv_id, r.speaker) == view), key=lambda r: r.block):
+            assert r.start == len(whole)
+            whole += r.text
     assert chat.rotate(df.limit(0)).count() == 0
 
 

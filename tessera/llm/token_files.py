@@ -8,17 +8,20 @@ A shard file, little-endian throughout:
     keys      int64 per document
     flags     uint8 per document: 1 where the key is null
     levels    bit arrays of the hash index
+    ranks     uint32 per GROUP bits of a level: set bits before them, in the level and those before it
     prints    uint32 per distinct key, in hash order: fingerprints
     places    uint32 per distinct key, in hash order: the first document that has the key
     footer    JSON with every part's offset, length and type; then its length as uint32 and the magic again
 
 The index hashes a shard's distinct keys to 0 .. n - 1 by levels of bit arrays (a key sits at the first level where no other
-key shares its bit; its number is the count of set bits before it), so a lookup takes a constant number of probes. A key that
-the shard doesn't hold is told by its fingerprint, with one error in 2**32, and by the key column where that matters. Shards
+key shares its bit; its number is the count of set bits before it). A lookup reads, for each level that it tries (1.6 on average),
+one group of GROUP bits and its rank; then a fingerprint, a place and the key there: as many bytes in a large shard as in a small one.
+A key that the shard doesn't hold is told by its fingerprint, with one error in 2**32, and by the key column. Shards
 follow one another in key order; the manifest's first and last keys route a lookup to its shard.
 
-Documents with null doc_ids come first. Rows that repeat a doc_id keep their order by text, and a lookup returns the first of
-them. Null and empty texts are one end id. An empty table gives no shards and an empty manifest.
+Documents with null doc_ids come first. Rows that repeat a doc_id are in the order of their texts' hashes, may lie in several
+shards, and a lookup returns the first of them. Null and empty texts are one end id. An empty table gives no shards and an
+empty manifest.
 """
 
 from __future__ import annotations
@@ -29,15 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import commit_file, file_size, materialize, mix, read_range, scratch, table
 from tessera.llm.tokens import VOCABULARY, crc32, encoder
 
 MAGIC = b"TIDS0001"
-#: The least number of bits per remaining key of a level.
-GAMMA = 2.0
+#: The least number of bits per remaining key of a level, and bits per rank.
+GAMMA, GROUP = 2.0, 512
+#: Documents that a task reads back, and those of a range read.
+PART, BLOCK = 1 << 18, 4096
 MANIFEST = "shard int, path string, n_docs long, n_ids long, first_key long, last_key long, id_bytes int"
 
 
@@ -117,8 +122,12 @@ def _write_shard(path: str, id_bytes: int, chunks: Iterator[tuple[np.ndarray, np
         named = np.flatnonzero(flag == 0)
         distinct, first = np.unique(key[named], return_index=True)
         levels = PerfectHash.build(distinct)
+        before = 0
         for size, packed in levels:
             put("levels", packed, bits=size)
+            groups = np.add.reduceat(np.bitwise_count(packed).astype(np.int64), np.arange(0, len(packed), GROUP // 8))
+            put("ranks", (before + np.cumsum(groups) - groups).astype("<u4"))
+            before += int(groups.sum())
         number = PerfectHash(levels).number(distinct)
         prints, places = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u4")
         prints[number], places[number] = fingerprint(distinct), named[first]
@@ -134,26 +143,28 @@ def _write_shard(path: str, id_bytes: int, chunks: Iterator[tuple[np.ndarray, np
 
 
 class Shard:
-    """Reads a shard file by ranges."""
+    """Reads a shard file by ranges; read counts the bytes."""
 
     def __init__(self, path: str):
-        self.path, size = path, file_size(path)
+        self.path, size, self.read = path, file_size(path), 0
         tail = read_range(path, size - 12, 12)
         if tail[4:] != MAGIC:
             raise ValueError(f"not a token-id shard: {path}")
         n = struct.unpack("<I", tail[:4])[0]
         self.parts = json.loads(read_range(path, size - 12 - n, n))
 
-    def part(self, name: str, low: int = 0, high: int | None = None) -> np.ndarray:
-        p = self.parts[name][0]
+    def part(self, name: str, low: int = 0, high: int | None = None, k: int = 0) -> np.ndarray:
+        p = self.parts[name][k]
         high, width = p["n"] if high is None else min(high, p["n"]), np.dtype(p["type"]).itemsize
-        return np.frombuffer(read_range(self.path, p["at"] + low * width, max(0, high - low) * width), p["type"])
+        raw = read_range(self.path, p["at"] + low * width, max(0, high - low) * width)
+        self.read += len(raw)
+        return np.frombuffer(raw, p["type"])
 
     def index(self) -> PerfectHash:
-        return PerfectHash([(p["bits"], np.frombuffer(read_range(self.path, p["at"], p["n"]), np.uint8)) for p in self.parts.get("levels", [])])
+        return PerfectHash([(p["bits"], self.part("levels", k=k)) for k, p in enumerate(self.parts.get("levels", []))])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The first document of each key; -1 where the shard has none."""
+        """The first document of each of many keys, by the whole index; -1 where the shard has none."""
         number = self.index().number(keys)
         prints, places = self.part("prints"), self.part("places").astype(np.int64)
         out = np.full(len(keys), -1, np.int64)
@@ -162,6 +173,22 @@ class Shard:
         out[ok] = places[number[ok]]
         return out
 
+    def find_one(self, key: int) -> int:
+        """The first document of a key, by reads of constant size; -1 where the shard has none."""
+        x = np.array([key], np.int64)
+        for k, p in enumerate(self.parts.get("levels", [])):
+            at = int(_slot(x, k, p["bits"])[0])
+            group = at // GROUP
+            packed = self.part("levels", group * GROUP // 8, (group + 1) * GROUP // 8, k)
+            bits = np.unpackbits(packed, bitorder="little")
+            if bits[at % GROUP]:
+                number = int(self.part("ranks", group, group + 1, k)[0]) + int(bits[: at % GROUP].sum())
+                if self.part("prints", number, number + 1)[0] != fingerprint(x)[0]:
+                    return -1
+                place = int(self.part("places", number, number + 1)[0])
+                return place if int(self.part("keys", place, place + 1)[0]) == key else -1
+        return -1
+
     def ids(self, doc: int) -> np.ndarray:
         ends = self.part("ends", max(0, doc - 1), doc + 1).astype(np.int64)
         return self.part("ids", 0 if doc == 0 else int(ends[0]), int(ends[-1]))
@@ -207,41 +234,51 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
     attempts that were lost are not in the manifest, which is a table in the shared folder.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     return materialize(dealt.mapInArrow(_encode_shards(folder, vocabulary, end_id, 2 if vocabulary == VOCABULARY else 4), MANIFEST), "manifest")
 
 
-def _read_blocks(batches):
-    """For each (path, low, high, base): the documents [low, high) of a shard; base is the number of ids before it."""
+def _read_parts(batches):
+    """For each (path, low, high, base): the documents of a shard whose keys stand at [low, high), found by their keys; base is the number of ids before it.
+
+    The shard's index is read once for a part. A document is where the hash of its key says; those that repeat a key follow its first.
+    """
     for batch in batches:
         for r in batch.to_pylist():
             shard = Shard(r["path"])
-            low, high = r["low"], r["high"]
-            ends = shard.part("ends", max(0, low - 1), high).astype(np.int64)
-            start = np.concatenate(([0] if low == 0 else [], ends)).astype(np.int64)[:-1]
-            end = ends if low == 0 else ends[1:]
-            keys, flags = shard.part("keys", low, high), shard.part("flags", low, high)
-            named = flags == 0
-            found = shard.find(keys[named])
-            if (found < 0).any() or (found > low + np.flatnonzero(named)).any():
-                raise ValueError(f"the index of {r['path']} misses keys of its own")
-            ids = shard.part("ids", int(start[0]), int(end[-1]))
-            crc = [crc32(ids[a - start[0] : b - start[0]]) for a, b in zip(start, end, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, mask=~named), pa.array(start + r["base"]), pa.array(end - start), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
-def read_token_files(manifest: DataFrame, block: int = 4096) -> DataFrame:
-    """Every document of the files: doc_id, start, n_tokens, ids_crc32. Read in blocks of `block` documents by range."""
-    spark = manifest.sparkSession
-    shards = manifest.orderBy("shard").collect()  # a row per shard file
-    rows, base = [], 0
-    for s in shards:
-        rows += [(s.path, low, min(low + block, s.n_docs), base) for low in range(0, s.n_docs, block)]
-        base += s.n_ids
-    plan = spark.createDataFrame(rows, "path string, low long, high long, base long")
-    return plan.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)), "path", "low").mapInArrow(_read_blocks, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            keys, null = shard.part("keys", r["low"], r["high"]), shard.part("flags", r["low"], r["high"]) == 1
+            place = np.arange(r["low"], r["high"])  # documents without a key
+            if not null.all():
+                named = keys[~null]
+                first = shard.find(named)
+                new = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
+                run = np.diff(np.append(new, len(named)))
+                begun = place[~null][new]  # a run of one key may begin in the part before
+                begun[0] = first[0] if first[0] < begun[0] else begun[0]
+                place[~null] = first + place[~null] - np.repeat(begun, run)
+                if (first < 0).any() or (shard.part("keys", r["low"], r["high"])[place - r["low"]] != keys).any():
+                    raise ValueError(f"the index of {r['path']} misses keys of its own")
+            for at in range(0, len(place), BLOCK):
+                now, none = place[at : at + BLOCK], null[at : at + BLOCK]
+                low, high = int(now.min()), int(now.max()) + 1
+                ends = shard.part("ends", max(0, low - 1), high).astype(np.int64)
+                ends = ends if low else np.concatenate(([0], ends))
+                start, end = ends[now - low], ends[now - low + 1]
+                ids = shard.part("ids", int(ends[0]), int(ends[-1]))
+                crc = [crc32(ids[a - ends[0] : b - ends[0]]) for a, b in zip(start, end, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + BLOCK], mask=none), pa.array(start + r["base"]), pa.array(end - start), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+def read_token_files(manifest: DataFrame, part: int = PART) -> DataFrame:
+    """Every document of the files, through the index: doc_id, start, n_tokens, ids_crc32. A task reads parts of `part` documents."""
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    plan = manifest.select("path", "n_docs", before.alias("base"))  # a row per file
+    plan = plan.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(part).cast("long"))))
+    plan = plan.select("path", "low", F.least(F.col("low") + part, "n_docs").alias("high"), "base")
+    tasks = manifest.select(F.sum(F.ceil(F.col("n_docs") / part))).first()[0] or 1
+    return plan.repartition(int(tasks), "path", "low").mapInArrow(_read_parts, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, keys: list[int]) -> dict[int, np.ndarray | None]:
@@ -253,8 +290,8 @@ def lookup(manifest: DataFrame, keys: list[int]) -> dict[int, np.ndarray | None]
         for s in shards:
             if s.first_key <= k <= s.last_key:
                 shard = Shard(s.path)
-                at = int(shard.find(np.array([k], np.int64))[0])
-                if at >= 0 and int(shard.part("keys", at, at + 1)[0]) == k:
+                at = shard.find_one(k)
+                if at >= 0:
                     out[k] = shard.ids(at)
                     break
     return out

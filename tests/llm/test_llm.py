@@ -197,7 +197,7 @@ def test_packing_is_tight(spark, sf):
 
 def test_token_files(spark, odd, none):
     manifest = token_files.write_token_files(odd, scratch(spark, "tids"), shards=3)
-    got = token_files.read_token_files(manifest, block=2).orderBy("start").collect()
+    got = token_files.read_token_files(manifest, part=2).orderBy("start").collect()
     rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     at = 0
     for r, (d, ids) in zip(got, encoded(rows), strict=True):
@@ -209,6 +209,36 @@ def test_token_files(spark, odd, none):
     assert token_files.read_token_files(token_files.write_token_files(none, scratch(spark, "tids"))).count() == 0
 
 
+def test_lookups_read_as_much_in_any_shard(tmp_path):
+    def read(n):
+        path = f"{tmp_path}/{n}.tids"
+        keys = np.arange(n, dtype=np.int64) * 3
+        token_files._write_shard(path, 2, iter([(keys, np.zeros(n, bool), np.arange(n, dtype=np.uint32) % 60_000, np.ones(n, np.int64))]))
+        shard = token_files.Shard(path)
+        some = np.random.default_rng(1).integers(0, n, 300)
+        assert [shard.find_one(int(keys[i])) for i in some] == some.tolist() == shard.find(keys[some]).tolist()
+        shard.read = 0
+        for i in some:
+            shard.ids(shard.find_one(int(keys[i])))
+        most, shard.read = shard.read, 0
+        assert shard.find_one(1) == -1
+        return most / len(some)
+
+    small, large = read(1_000), read(1_000_000)
+    assert large < 1.2 * small and large < 300, (small, large)
+
+
+def test_token_files_repeat_a_key(spark):
+    rows = [(5, f"text {i}") for i in range(500)] + [(i, f"other {i}") for i in range(10)] + [(None, "x"), (None, "y")]
+    manifest = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), scratch(spark, "tids"), shards=4)
+    assert manifest.count() > 2  # one key doesn't fill one file
+    got = token_files.read_token_files(manifest, part=64).orderBy("start").collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(d), len(x) + 1, zlib.crc32(np.array([*x, 1], "<u4").tobytes())) for d, x in encoded(rows))
+    assert [r.start for r in got] == np.concatenate(([0], np.cumsum([r.n_tokens for r in got])[:-1])).tolist()
+    ids = [r.doc_id if r.doc_id is not None else -1 for r in got]
+    assert ids == sorted(ids)
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).permutation(np.arange(50_000, dtype=np.int64) * 977 - 10**6)
     h = token_files.PerfectHash(token_files.PerfectHash.build(keys))

@@ -2,9 +2,12 @@
 
 A k-mer of a text's UTF-8 bytes is an anchor if the least hash among its s-byte substrings is that of the first or the last of
 them (ties count for the edge). Whether a k-mer is an anchor depends on its own bytes alone, so an edit moves no anchor elsewhere. With K = 16
-and S = 8, two in nine k-mers are anchors. A fingerprint is a sketch of fixed size of a text's anchors: in each of BUCKETS
-classes of anchor hashes, 16 bits of the least one. The likeness of two fingerprints is the share of equal entries among those
-that either has: an estimate of the Jaccard likeness of their anchor sets. The entries' own places are kept by anchors().
+and S = 8, two in nine k-mers are anchors. A fingerprint is a sketch of fixed size of a text's anchors with their places: in each
+of BUCKETS classes of anchor hashes, 16 bits of the least one and 16 bits of where in the text (of 65,536 parts) it first
+stands. Two fingerprints are matched by position: of the entries with equal hashes the longest chain that stands in the
+same order in both texts counts, and the likeness is its share of the entries that either has. For texts whose common passages
+keep their order it estimates the Jaccard likeness of their anchor sets; equal anchors that stand elsewhere don't count.
+matches() aligns two texts by all their anchors.
 
 Each text is led by S zero bytes, so that its beginning gives anchors too, however short it is.
 A text of 1 to K - S - 1 bytes has one anchor, all of it. Null and empty texts have no anchors, an
@@ -15,6 +18,7 @@ their texts; a null doc_id comes first. In a table of one row the row is its own
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -60,31 +64,74 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def sketches(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of BUCKETS least anchor hashes per text (EMPTY where there is none)."""
-    h, _, text = anchors(data, off)
+def sketches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of BUCKETS least anchor hashes per text (EMPTY where there is none), and of where each first stands, in 65,536ths of the text."""
+    h, pos, text = anchors(data, off)
+    at = text * BUCKETS + (h >> np.uint64(57)).astype(np.int64)
     out = np.full((len(off) - 1) * BUCKETS, EMPTY, np.uint64)
-    np.minimum.at(out, text * BUCKETS + (h >> np.uint64(57)).astype(np.int64), h)
-    return out.reshape(-1, BUCKETS)
+    np.minimum.at(out, at, h)
+    least = out[at] == h
+    at, where = at[least], pos[least] + S
+    place = np.full(len(out), np.iinfo(np.int64).max)
+    np.minimum.at(place, at, where)
+    size = np.repeat(np.diff(off) + S, BUCKETS)
+    place = np.where(out == EMPTY, 0, place) * 65536 // np.maximum(size, 1)
+    return out.reshape(-1, BUCKETS), place.reshape(-1, BUCKETS)
 
 
-def _coded(sketch: np.ndarray) -> np.ndarray:
-    """16 bits per entry; 0 where there is none."""
-    return np.where(sketch == EMPTY, 0, (sketch & np.uint64(0xFFFF)) % np.uint64(65535) + np.uint64(1)).astype(">u2")
+def _coded(sketch: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """32 bits per entry: 16 of the hash (0 where there is none), then 16 of the place."""
+    code = np.where(sketch == EMPTY, 0, (sketch & np.uint64(0xFFFF)) % np.uint64(65535) + np.uint64(1))
+    return (code.astype(np.uint32) << np.uint32(16) | place.astype(np.uint32)).astype(">u4")
 
 
 def fingerprint(codes: np.ndarray) -> str:
     return codes.tobytes().hex() if codes.any() else ""
 
 
+def chain(a: np.ndarray, b: np.ndarray) -> int:
+    """The longest run of pairs (a, b) in which neither falls."""
+    order = np.lexsort((b, a))
+    tops: list[int] = []
+    for y in b[order].tolist():
+        k = bisect_right(tops, y)
+        tops[k : k + 1] = [y]
+    return len(tops)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of each row of codes with the same row of others."""
-    some = ((a != 0) | (b != 0)).sum(1)
-    return np.where(some == 0, 1.0, ((a == b) & (a != 0)).sum(1) / np.maximum(some, 1))
+    """Of each row of codes with the same row of others: the share of entries that match in order."""
+    x, y = a >> 16, b >> 16
+    some, same = ((x != 0) | (y != 0)).sum(1), (x == y) & (x != 0)
+    longest = [chain(p[m] & 0xFFFF, q[m] & 0xFFFF) if m.any() else 0 for p, q, m in zip(a, b, same, strict=True)]
+    return np.where(some == 0, 1.0, np.array(longest, float).reshape(len(some)) / np.maximum(some, 1))
 
 
 def decode(text: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(text), ">u2") if text else np.zeros(BUCKETS, ">u2")
+    return np.frombuffer(bytes.fromhex(text), ">u4") if text else np.zeros(BUCKETS, ">u4")
+
+
+def matches(one: str, other: str, least: int = 2) -> list[tuple[int, int, int, int]]:
+    """Where the same passages stand in two texts: runs of equal anchors at one offset, as (start in one, start in other, bytes, anchors).
+
+    All anchors are compared; a run ends where more than four lengths K hold no common anchor. Longest first.
+    """
+    (h, p, _), (g, q, _) = (anchors(*_flat([t])) for t in (one, other))
+    at: dict[int, list[int]] = {}
+    for x, i in zip(g.tolist(), q.tolist(), strict=True):
+        at.setdefault(x, []).append(i)
+    by: dict[int, list[int]] = {}
+    for x, i in sorted(zip(h.tolist(), p.tolist(), strict=True), key=lambda r: r[1]):
+        for j in at.get(x, ()):
+            by.setdefault(j - i, []).append(i)
+    out = []
+    for shift, starts in by.items():
+        cut = [0, *(k for k in range(1, len(starts)) if starts[k] - starts[k - 1] > 4 * K), len(starts)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            if b - a >= least:
+                low = max(0, starts[a])
+                out.append((low, low + shift, starts[b - 1] + K - low, b - a))
+    return sorted(out, key=lambda r: (-r[2], r))
 
 
 def edited(text: str, following: str) -> str:
@@ -109,7 +156,7 @@ def _compare(batches):
         ids, part, at, texts = zip(*rows, strict=True)
         keep = [i for i in range(len(rows) - 1) if part[i] == part[i + 1] and at[i] == 0]
         new = [edited(texts[i], texts[i + 1]) for i in keep]
-        codes, other = _coded(sketches(*_flat(texts))), _coded(sketches(*_flat(new)))
+        codes, other = _coded(*sketches(*_flat(texts))), _coded(*sketches(*_flat(new)))
         own, following = codes[keep], codes[[i + 1 for i in keep]]
         return pa.RecordBatch.from_arrays(
             [

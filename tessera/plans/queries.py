@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as fn
 from tessera.operators import catalog as cat
 from tessera.operators import folds, joins
+from tessera.operators import library as lib
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -195,14 +196,14 @@ def album_totals(t):
 
 @query()
 def manifest_dedup(t):
-    c = t("conversations").select("conv_id", "turn", "role", F.substring("text", 1, 6).alias("head"))
-    return cat.keep_first(c, ["conv_id"], "turn", ["turn", "head"])
+    c = t("conversations").select("conv_id", "turn", "role", F.sha2("text", 256).alias("hash"))
+    return cat.keep_first(c, ["conv_id"], "turn", ["turn", "hash"])
 
 
-@query("SELECT min(doc_id) AS doc_id, source, n_chars FROM documents GROUP BY source, n_chars")
+@query("SELECT doc_id, source, n_chars FROM documents WHERE source = 'web' UNION ALL SELECT min(doc_id), source, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.source = 'web' AND o.source = d.source AND o.n_chars = d.n_chars) GROUP BY source, n_chars")
 def queue_merge(t):
     d = t("documents").select("doc_id", "source", "n_chars")
-    return cat.merge_queue(d.limit(0), d, ["source", "n_chars"], "doc_id")
+    return cat.merge_queue(d.where("source = 'web'"), d, ["source", "n_chars"], "doc_id")
 
 
 @query("SELECT conv_id, role, arg_max(text, turn) AS text FROM conversations GROUP BY 1, 2")
@@ -283,10 +284,18 @@ def hf_error(t):
     return d.where("x IS NOT NULL").groupBy("user_id").agg(F.round(folds.rms(F.col("x")), 4).alias("hf_rms"))
 
 
-@query("SELECT label, round(corr(embedding[1]::DOUBLE, embedding[2]::DOUBLE), 4) AS correlation, round(sqrt(avg(((embedding[1]::DOUBLE + embedding[2]::DOUBLE) / 2) ** 2)), 5) AS mid_rms, round(sqrt(avg(((embedding[1]::DOUBLE - embedding[2]::DOUBLE) / 2) ** 2)), 5) AS side_rms FROM embeddings GROUP BY 1")
+@query(
+    "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS l, unnest(embedding[2:] || embedding[1:1])::DOUBLE AS r FROM embeddings), "
+    "g AS (SELECT label, sum(l * r) / (sqrt(sum(l * l) * sum(r * r)) + 1e-12) AS c, sqrt(avg(((l + r) / 2) ** 2)) AS m, sqrt(avg(((l - r) / 2) ** 2)) AS s FROM x GROUP BY 1) "
+    "SELECT label, round(c, 4) AS cosine, round(m, 5) AS mid_rms, round(s, 5) AS side_rms, c > 0.87 AND s < m * 0.42 AND m > 1e-5 AS safe FROM g"
+)
 def mid_side(t):
-    a, b = (F.get("embedding", F.lit(k)).cast("double") for k in (0, 1))
-    return t("embeddings").groupBy("label").agg(F.round(F.corr(a, b), 4).alias("correlation"), F.round(folds.rms((a + b) / 2), 5).alias("mid_rms"), F.round(folds.rms((a - b) / 2), 5).alias("side_rms"))
+    # each entry of a vector with the next, around the end, as left and right
+    turned = F.concat(F.slice("embedding", F.lit(2), F.size("embedding")), F.slice("embedding", 1, 1))
+    x = t("embeddings").select("label", F.explode(F.arrays_zip(F.col("embedding").alias("l"), turned.alias("r"))).alias("x")).select("label", F.col("x.l").cast("double").alias("l"), F.col("x.r").cast("double").alias("r"))
+    g = x.groupBy("label").agg(*lib.likeness(F.col("l"), F.col("r")))
+    return g.select("label", F.round("cosine", 4).alias("cosine"), F.round("mid_rms", 5).alias("mid_rms"), F.round("side_rms", 5).alias("side_rms"), lib.mid_side_safe(F.col("cosine"), F.col("mid_rms"), F.col("side_rms")).alias("safe"))
+
 
 
 # ---------------------------------------------------------------- windows
@@ -334,19 +343,27 @@ def quietest_window(t):
     return s.where("c = 4").groupBy("user_id").agg(F.min_by("d", F.struct("r", "d")).alias("quietest"), F.round(F.min("r"), 4).alias("rms"))
 
 
-@query("SELECT name, count(*) AS n, round(avg(value), 4) AS mean, max(value) AS peak FROM events JOIN (VALUES ('open', 0, 400), ('quiet', 200, 900), ('end', 800, 100000)) s(name, low, high) ON event_id >= low AND event_id < high GROUP BY 1")
+@query("SELECT name, count(*) AS n, round(avg(value), 4) AS mean, max(value) AS peak FROM events JOIN (VALUES ('open', 0, 400), ('quiet', 200, 900), ('end', 800, 1000000000000)) s(name, low, high) ON event_id >= low AND event_id < high GROUP BY 1")
 def named_sections(t):
     e = t("events")
-    s = e.sparkSession.createDataFrame([("open", 0, 400), ("quiet", 200, 900), ("end", 800, 100000)], "name string, low long, high long")
+    s = e.sparkSession.createDataFrame([("open", 0, 400), ("quiet", 200, 900), ("end", 800, 10**12)], "name string, low long, high long")
     j = e.join(F.broadcast(s), (F.col("event_id") >= F.col("low")) & (F.col("event_id") < F.col("high")))  # as many rows as named sections
     return j.groupBy("name").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("peak"))
 
 
-@query("WITH h AS (SELECT user_id, date_trunc('day', ts) AS d, avg(value) AS m FROM events GROUP BY 1, 2), s AS (SELECT user_id, d, avg(m) OVER (PARTITION BY user_id ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS a FROM h) SELECT user_id, round(min(a), 4) AS worst FROM s GROUP BY 1")
+@query(
+    "WITH x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value AS v, round(value) AS d, count(*) OVER (PARTITION BY user_id) AS n FROM events), "
+    "s AS (SELECT DISTINCT user_id, i AS start, n FROM x WHERE i % 4 = 0 AND (i + 16 <= n OR n < 16 AND i = 0)), "
+    "w AS (SELECT s.user_id, s.start, sum(v * v) AS p, sum((v - d) ** 2) AS e FROM s JOIN x ON x.user_id = s.user_id AND x.i >= s.start AND (x.i < s.start + 16) GROUP BY 1, 2), "
+    "r AS (SELECT user_id, start, CASE WHEN e <= 0 THEN 120.0 ELSE least(120.0, 10 * log10(greatest(p, 1e-20) / e)) END AS snr FROM w) "
+    "SELECT user_id, round(min(snr), 4) AS worst_snr, arg_min(start, (snr, start))::BIGINT AS start FROM r GROUP BY 1"
+)
 def sliding_worst(t):
-    h = t("events").groupBy("user_id", F.date_trunc("day", "ts").alias("d")).agg(F.avg("value").alias("m"))
-    s = h.select("user_id", F.avg("m").over(Window.partitionBy("user_id").orderBy("d").rowsBetween(-2, 0)).alias("a"))
-    return s.groupBy("user_id").agg(F.round(F.min("a"), 4).alias("worst"))
+    # values as samples, rounded ones as decoded, windows of 16 at every fourth
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    x = t("events").select("user_id", (F.row_number().over(w) - 1).alias("i"), "value", F.round("value").alias("decoded"))
+    return lib.worst_window(x, "user_id", "i", "value", "decoded", 16).select("user_id", F.round("worst_snr", 4).alias("worst_snr"), "start")
+
 
 
 # ---------------------------------------------------------------- functions
@@ -379,9 +396,11 @@ def clock_format(t):
     return t("orders").select("o_orderkey", fn.clock(F.col("o_totalprice")).alias("clock"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', floor(n_chars / 1024.0 * 10 + 0.5) / 10) END AS size FROM documents WHERE n_chars < 1048576")
+@query("SELECT doc_id, CASE WHEN n_chars * n < 1024 THEN (n_chars * n) || ' B' WHEN n_chars * n < 1048576 THEN printf('%.1f KB', floor(n_chars * n / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars * n / 1048576.0 * 10 + 0.5) / 10) END AS size, n FROM documents, (VALUES (1), (1000)) s(n)")
 def byte_format(t):
-    return t("documents").where("n_chars < 1048576").select("doc_id", fn.byte_size(F.col("n_chars")).alias("size"))
+    d = t("documents").select("doc_id", "n_chars", F.explode(F.array(F.lit(1), F.lit(1000))).alias("n"))
+    return d.select("doc_id", fn.byte_size(F.col("n_chars") * F.col("n")).alias("size"), "n")
+
 
 
 @query("SELECT doc_id, sha256(text) AS fingerprint, substr(sha256(text), 1, 12) || '…' AS preview, lower(sha256(text)) = upper(sha256(text)) OR sha256(text) = lower(upper(sha256(text))) AS same FROM documents")
@@ -395,11 +414,6 @@ def json_normalize(t):
     return t("events").select("event_id", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.session").alias("session"))
 
 
-@query("SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'promo|vocal') THEN 'vocals' WHEN regexp_matches(lower(p_type), 'standard|drum') THEN 'drums' WHEN regexp_matches(lower(p_type), 'small|bass') THEN 'bass' ELSE 'other' END AS stem FROM part")
-def stem_guess(t):
-    x = F.lower("p_type")
-    return t("part").select("p_partkey", F.when(x.rlike("promo|vocal"), "vocals").when(x.rlike("standard|drum"), "drums").when(x.rlike("small|bass"), "bass").otherwise("other").alias("stem"))
-
 
 @query("SELECT p_partkey, p_partkey % 100 AS n FROM part")
 def track_from_name(t):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import hash_or_null, hex_color, sanitize
+from tessera.functions.names import barcode, fourcc, identifier, people
+from tessera.functions.text import hash_or_null, hex_color, isrc, sanitize, web_url
 
 
 def _text(c: Column, most: int) -> Column:
@@ -18,6 +19,11 @@ def _get(j: Column, path: str) -> Column:
     return F.get_json_object(j, f"$.{path}")
 
 
+def is_object(j: Column, most: int = 64 * 1024) -> Column:
+    """Whether a record is a JSON object of at most `most` bytes."""
+    return F.coalesce((F.octet_length(j) <= most) & F.trim(j).startswith("{") & F.get_json_object(j, "$").isNotNull(), F.lit(False))
+
+
 def _array(j: Column, path: str, kind: str) -> Column:
     return F.from_json(_get(j, path), f"array<{kind}>")
 
@@ -45,7 +51,7 @@ def mood(j: Column) -> Column:
 
 def guidance(j: Column, *flags: str) -> Column:
     """Flags (strictly true), warnings and their source."""
-    return F.when(F.get_json_object(j, "$").isNotNull(), F.struct(*[flag(j, f).alias(f) for f in flags], tags(j, "warnings").alias("warnings"), F.coalesce(_text(_get(j, "warningSource"), 64), F.lit("unknown")).alias("warningSource")))
+    return F.when(is_object(j), F.struct(*[flag(j, f).alias(f) for f in flags], tags(j, "warnings").alias("warnings"), F.coalesce(_text(_get(j, "warningSource"), 64), F.lit("unknown")).alias("warningSource")))
 
 
 def lyrics(j: Column) -> Column:
@@ -97,3 +103,100 @@ def fingerprint(j: Column) -> Column:
     names = ("pcmHash", "fingerprint", "audioHash", "fileHash")
     h = [hash_or_null(_get(j, n)) for n in names]
     return F.struct(*[c.alias(n) for c, n in zip(h, names, strict=True)], F.coalesce(*h).alias("identity"))
+
+
+def highlights(j: Column, most: int = 64) -> Column:
+    """Moments in their own order; startMs may be called start. Null where no moment has a start."""
+    raw = F.slice(_array(j, "highlights", "struct<startMs:double,start:double,endMs:double,end:double,label:string,useCase:string,sectionId:string>"), 1, most)
+    ms = lambda a, b: F.when(F.coalesce(a, b) >= 0, F.floor(F.coalesce(a, b)).cast("long"))
+    made = F.transform(raw, lambda x: F.struct(ms(x["startMs"], x["start"]).alias("startMs"), ms(x["endMs"], x["end"]).alias("endMs"), _text(x["label"], 128).alias("label"), _text(x["useCase"], 32).alias("useCase"), _text(x["sectionId"], 64).alias("sectionId")))
+    good = F.filter(made, lambda x: x["startMs"].isNotNull())
+    return F.when(F.size(good) > 0, F.struct(good.alias("highlights"), _text(_get(j, "source"), 64).alias("source")))
+
+
+# Fixed values of the format: the types that a stem may have; the roles of a credit record.
+STEM_TYPES = "full_mix lead_vocals background_vocals drums bass guitar piano synths strings percussion instrumental acapella effects custom".split()
+ROLES = "primaryArtist featuredArtists producer songwriter composer lyricist mixingEngineer masteringEngineer recordingEngineer label publisher copyrightHolder".split()
+
+
+def stems(j: Column, most: int = 32) -> Column:
+    """Stems that have an id and a name, with defaults for what is missing or out of range. Null without any."""
+    kind = "struct<stemId:string,stemName:string,stemType:string,codecId:double,sampleRate:double,channels:double,durationSamples:double,dataOffset:double,dataLength:double,byteLength:double,defaultVolume:double,requiredForPlayback:boolean,checksum:string>"
+    floor = lambda c, low: F.greatest(F.lit(low), F.floor(c)).cast("long")
+
+    def one(x: Column) -> Column:
+        length = F.coalesce(floor(x["dataLength"], 0), F.lit(0).cast("long"))
+        return F.struct(
+            _text(x["stemId"], 64).alias("stemId"),
+            _text(x["stemName"], 128).alias("stemName"),
+            F.when(x["stemType"].isin(*STEM_TYPES), x["stemType"]).otherwise("custom").alias("stemType"),
+            F.when(x["codecId"].between(0, 255), x["codecId"].cast("int")).alias("codecId"),
+            F.coalesce(floor(x["sampleRate"], 1), F.lit(44100).cast("long")).alias("sampleRate"),
+            F.coalesce(F.least(F.lit(8), floor(x["channels"], 1)), F.lit(2).cast("long")).alias("channels"),
+            F.coalesce(floor(x["durationSamples"], 0), F.lit(0).cast("long")).alias("durationSamples"),
+            F.coalesce(floor(x["dataOffset"], 0), F.lit(0).cast("long")).alias("dataOffset"),
+            length.alias("dataLength"),
+            F.coalesce(floor(x["byteLength"], 0), length).alias("byteLength"),
+            F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(2.0), x["defaultVolume"])), F.lit(1.0)).alias("defaultVolume"),
+            F.coalesce(x["requiredForPlayback"], F.lit(False)).alias("requiredForPlayback"),
+            _text(x["checksum"], 16).alias("checksum"),
+        )
+
+    good = F.filter(F.transform(F.slice(_array(j, "stems", kind), 1, most), one), lambda x: x["stemId"].isNotNull() & x["stemName"].isNotNull())
+    return F.when(F.size(good) > 0, good)
+
+
+def credits(j: Column) -> Column:
+    """Names by role, performers and further credits, without names that hold markup. Null without any."""
+    roles = [F.coalesce(people(_array(j, r, "string")), F.array().cast("array<string>")) for r in ROLES]
+    performers = F.filter(F.transform(_array(j, "performers", "struct<name:string,instrument:string>"), lambda x: F.struct(_text(x["name"], 128).alias("name"), _text(x["instrument"], 64).alias("instrument"))), lambda x: x["name"].isNotNull())
+    more = F.transform(F.slice(_array(j, "additionalCredits", "struct<role:string,names:array<string>>"), 1, 48), lambda x: F.struct(identifier(x["role"], 64).alias("role"), people(x["names"]).alias("names")))
+    more = F.coalesce(F.filter(more, lambda x: x["role"].isNotNull() & (F.size(x["names"]) > 0)), F.array().cast("array<struct<role:string,names:array<string>>>"))
+    performers = F.coalesce(F.slice(performers, 1, 32), F.array().cast("array<struct<name:string,instrument:string>>"))
+    notes = _text(_get(j, "notes"), 4096)
+    some = notes.isNotNull()
+    for c in (*roles, performers, more):
+        some = some | (F.size(c) > 0)
+    return F.when(is_object(j) & some, F.struct(*[c.alias(r) for c, r in zip(roles, ROLES, strict=True)], performers.alias("performers"), more.alias("additionalCredits"), notes.alias("notes")))
+
+
+def _tri(j: Column, name: str) -> Column:
+    v = _get(j, name)
+    return F.when(v.isin("true", "false"), v).when(v.isin("unknown", "unspecified"), "unknown")
+
+
+def rights(j: Column) -> Column:
+    """Notice, license and permissions (true, false, unknown or null). Null without any."""
+    texts = [_text(_get(j, n), 512).alias(n) for n in ("copyrightNotice", "licenseType")]
+    rest = [web_url(_get(j, "licenseUrl")).alias("licenseUrl"), _text(_get(j, "usageNotes"), 4096).alias("usageNotes"), *[_tri(j, n).alias(n) for n in ("remixAllowed", "commercialUseAllowed", "attributionRequired")]]
+    return F.when(is_object(j) & F.coalesce(*texts, *rest).isNotNull(), F.struct(*texts, *rest))
+
+
+def identifiers(j: Column) -> Column:
+    """Codes, catalogue numbers, links and dates of a release. Null without any."""
+    out = [isrc(_get(j, "isrc")).alias("isrc"), *[barcode(_get(j, n)).alias(n) for n in ("upc", "ean")], *[identifier(_get(j, n), 64).alias(n) for n in ("catalogNumber", "releaseId")]]
+    out += [*[web_url(_get(j, n)).alias(n) for n in ("artistUrl", "albumUrl", "sourceUrl")], _text(_get(j, "distributor"), 128).alias("distributor"), *[_text(_get(j, n), 32).alias(n) for n in ("releaseDate", "originalReleaseDate")]]
+    return F.when(is_object(j) & F.coalesce(*out).isNotNull(), F.struct(*out))
+
+
+def integrity_hashes(j: Column, most: int = 48) -> Column:
+    """The file's hash and those of known chunks. Null without any."""
+    raw = F.slice(_array(j, "chunks", "struct<fourcc:string,sha256:string,size:double>"), 1, most)
+    chunks = F.filter(F.transform(raw, lambda x: F.struct(fourcc(x["fourcc"]).alias("fourcc"), hash_or_null(x["sha256"]).alias("sha256"), F.when(x["size"] >= 0, F.floor(x["size"]).cast("long")).alias("size"))), lambda x: x["fourcc"].isNotNull() & x["sha256"].isNotNull())
+    chunks = F.when(F.size(chunks) > 0, chunks)
+    whole = hash_or_null(_get(j, "fileSha256"))
+    return F.when(is_object(j) & F.coalesce(whole.isNotNull() | chunks.isNotNull(), F.lit(False)), F.struct(F.lit("sha256").alias("algorithm"), whole.alias("fileSha256"), chunks.alias("chunks")))
+
+
+#: The records of the optional chunks that need no further names.
+RECORDS = {"LYRC": lyrics, "MOOD": mood, "VIBE": mood, "STEM": stems, "SECT": sections, "HOOK": hook, "HILT": highlights, "CRDT": credits, "LICN": rights, "IDEN": identifiers, "FING": fingerprint, "HASH": integrity_hashes}
+
+
+def all_records(chunks: Column) -> Column:
+    """All records of a map from FourCC to JSON text, as one struct."""
+    return F.struct(*[f(F.try_element_at(chunks, F.lit(k))).alias(k.lower()) for k, f in RECORDS.items()])
+
+
+def encode(record: Column) -> Column:
+    """A record as the JSON text that its reader takes; null fields are left out."""
+    return F.to_json(record)

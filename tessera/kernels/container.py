@@ -175,6 +175,8 @@ def cover(payload: bytes) -> tuple[str | None, bytes]:
         n = payload[4]
         return payload[5 : 5 + n].decode("ascii", "replace"), payload[5 + n :]
     kinds = ((b"\xff\xd8\xff", "image/jpeg"), (b"\x89PNG", "image/png"), (b"GIF8", "image/gif"))
+    if payload[:4] == b"RIFF" and payload[8:12] == b"WEBP":
+        return "image/webp", payload
     return next((m for p, m in kinds if payload.startswith(p)), None), payload
 
 

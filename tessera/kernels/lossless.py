@@ -181,7 +181,14 @@ def blocks(data: bytes):
 
 
 def decode(data: bytes) -> np.ndarray:
-    """Interleaved int16; raises ValueError where a block's CRC is wrong."""
+    """Interleaved int16; raises ValueError where a block is cut off or its CRC is wrong."""
+    try:
+        return _decode(data)
+    except (struct.error, IndexError) as e:
+        raise ValueError(f"a stream is cut off: {e}") from None
+
+
+def _decode(data: bytes) -> np.ndarray:
     channels = max(1, data[2]) if len(data) > 2 else 1
     lanes, joint = [[] for _ in range(channels)], set()
     for c, k, flag, n, crc, payload in blocks(data):

@@ -16,7 +16,9 @@ from tessera.kernels.signal import half_away, quantise
 # Fixed values of the stream.
 MARK, HYBRID_MARK, OLD_FRAME, FRAME = 0x43, 0x48, 1152, 2048
 SILENCE, DELTA, DENSE = range(3)
+# Steps by version and preset; of a frame's scale: its level, how far quiet and change fine it down, and its least value.
 STEPS = {2: (0.10, 0.028, 0.014, 0.012), 3: (0.10, 0.05, 0.025, 0.012), 4: (0.10, 0.028, 0.014, 0.012)}
+QUIET, QUIET_SHARE, CHANGE, CHANGE_SHARE, LEAST_SCALE = 0.14, 0.58, 0.5, 0.12, 0.32
 
 
 def step_scale(frame: np.ndarray) -> np.float32:
@@ -27,8 +29,8 @@ def step_scale(frame: np.ndarray) -> np.float32:
     d = np.diff(x)
     high, low = (d * d).sum(dtype=np.float32), (x[1:] * x[1:]).sum(dtype=np.float32)
     share = high / (low + high + f(1e-12)) if len(x) >= 4 else f(0)
-    quiet = max(f(0.14) - level, f(0)) / f(0.14)
-    return f(np.clip((1 - quiet * f(0.58)) * (1 - min(share, f(0.5)) * f(0.12)), 0.32, 1.0))
+    quiet = max(f(QUIET) - level, f(0)) / f(QUIET)
+    return f(np.clip((1 - quiet * f(QUIET_SHARE)) * (1 - min(share, f(CHANGE)) * f(CHANGE_SHARE)), LEAST_SCALE, 1.0))
 
 
 def scale_byte(scale: float) -> int:
@@ -97,7 +99,14 @@ def encode(samples: np.ndarray, channels: int = 1, preset: int = 1, version: int
 
 
 def decode(data: bytes) -> np.ndarray:
-    """Interleaved int16, padded to whole frames."""
+    """Interleaved int16, padded to whole frames; raises ValueError where the stream is cut off."""
+    try:
+        return _decode(data)
+    except (struct.error, IndexError) as e:
+        raise ValueError(f"a stream is cut off: {e}") from None
+
+
+def _decode(data: bytes) -> np.ndarray:
     if len(data) < 8 or data[0] != MARK or data[1] not in STEPS or data[3] > 3:
         raise ValueError("not a lossy stream of a known version")
     version, channels, count, at = data[1], max(1, data[2]), struct.unpack_from("<I", data, 4)[0], 8

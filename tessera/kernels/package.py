@@ -78,9 +78,16 @@ def write(manifest: dict, tracks: list[tuple[str, bytes]], most: int = DEFAULT_P
 
 
 def index(read) -> tuple[dict, list[tuple[str, int, int]]]:
-    """The manifest and the directory (track id, offset, length) of a package that read(offset, length) reads."""
+    """The manifest and the directory (track id, offset, length) of a package that read(offset, length) reads; ValueError where it is cut off."""
+    try:
+        return _index(read)
+    except struct.error as e:
+        raise ValueError(f"a package is cut off: {e}") from None
+
+
+def _index(read) -> tuple[dict, list[tuple[str, int, int]]]:
     head = read(0, HEADER)
-    if head[:4] != MAGIC or head[4] != VERSION:
+    if len(head) < HEADER or head[:4] != MAGIC or head[4] != VERSION:
         raise ValueError("not a package of a known version")
     size, at, directory = struct.unpack_from("<IQQ", head, 8)
     manifest = json.loads(read(at, size))
@@ -92,3 +99,28 @@ def index(read) -> tuple[dict, list[tuple[str, int, int]]]:
         out.append((track, *struct.unpack("<QQ", read(at + 2 + k, 16))))
         at += k + 18
     return manifest, out
+
+
+# ---------------------------------------------------------------- stem data
+
+STDA_VERSION, MOST_STEM = 1, 256 * 1024 * 1024
+
+
+def stda(stems: list[bytes]) -> bytes:
+    """Stem payloads in one chunk: version, count, then each with its length."""
+    return bytes([STDA_VERSION, len(stems)]) + b"".join(struct.pack("<I", len(s)) + s for s in stems)
+
+
+def read_stda(data: bytes | None) -> list[bytes]:
+    """The payloads up to one that is cut off or too long; none of another version."""
+    if not data or len(data) < 2 or data[0] != STDA_VERSION:
+        return []
+    out, at = [], 2
+    while len(out) < data[1] and at + 4 <= len(data):
+        n = struct.unpack_from("<I", data, at)[0]
+        at += 4
+        if n > min(len(data) - at, MOST_STEM):
+            break
+        out.append(data[at : at + n])
+        at += n
+    return out

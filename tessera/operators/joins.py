@@ -22,11 +22,11 @@ def as_of(left: DataFrame, right: DataFrame, key: Sequence[str], left_time: str,
     return found.select("_row.*", *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
-def first_key(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], take: str, out: str) -> DataFrame:
-    """left and the `take` of the right row that matches on the first pair of keys that matches any; the last by take of several."""
+def first_key(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], take: str, out: str, order: str | None = None) -> DataFrame:
+    """left and the `take` of the right row that matches on the first pair of keys that matches any; of several, the last by `order` (by take itself if not given)."""
     got, names = left, []
     for i, (a, b) in enumerate(pairs):
-        side = right.where(F.col(b).isNotNull()).groupBy(F.col(b).alias(f"_k{i}")).agg(F.max(take).alias(f"_v{i}"))
+        side = right.where(F.col(b).isNotNull()).groupBy(F.col(b).alias(f"_k{i}")).agg(F.max_by(take, order or take).alias(f"_v{i}"))
         got = got.join(side, F.col(a) == F.col(f"_k{i}"), "left")
         names.append(f"_v{i}")
     return got.withColumn(out, F.coalesce(*names)).select(*left.columns, out)

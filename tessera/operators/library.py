@@ -245,3 +245,23 @@ def neighbours(rows: DataFrame, group: str, order: str, item: str, readable: Col
     if wrap:
         nxt, prev = F.coalesce(nxt, F.first(good, ignorenulls=True).over(whole)), F.coalesce(prev, F.last(good, ignorenulls=True).over(whole))
     return rows.withColumn("next_item", nxt).withColumn("prev_item", prev)
+
+
+# Fixed values of the format: bytes of a file and of a chunk, chunks of a file.
+MOST_FILE, MOST_CHUNK, MOST_CHUNKS = 2 * 1024 * MB, 64 * MB, 256
+
+
+def limits(chunks: DataFrame, path: str, fourcc: str, size: str, file_size: str) -> DataFrame:
+    """Per file of chunk rows: problems, in the order in which a reader meets them; empty for a file within all limits.
+
+    A file, a chunk or their number too large; no header, no audio.
+    """
+    g = chunks.groupBy(path).agg(F.max(file_size).alias("f"), F.max(size).alias("c"), F.count(fourcc).alias("n"), F.count_if(F.col(fourcc) == "HEAD").alias("h"), F.count_if(F.col(fourcc) == "AUDI").alias("a"))
+    cases = [("file-size", F.col("f") > MOST_FILE), ("chunk-size", F.col("c") > MOST_CHUNK), ("chunk-count", F.col("n") > MOST_CHUNKS), ("no-head", F.col("h") == 0), ("no-audio", F.col("a") == 0)]
+    return g.select(path, F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in cases])).alias("problems"))
+
+
+def known_optional(present: Column, known: Sequence[str]) -> tuple[Column, Column]:
+    """Which of an array of chunk names a reader knows, and which not, each sorted."""
+    names = F.array(*map(F.lit, known))
+    return F.array_sort(F.array_intersect(present, names)), F.array_sort(F.array_except(present, names))

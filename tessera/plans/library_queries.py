@@ -324,3 +324,72 @@ def highlights_parse(t):
     first = F.concat(F.lit("["), stamp(u * 1000), F.when(F.col("event_type") == "click", "").otherwise(F.concat(F.lit("-"), stamp(u * 1000 + 1500))), F.when(F.col("event_type") == "view", "|Preview] ").otherwise("] "), F.col("event_type"))
     got = timeline.parse_highlights(t("events").select("event_id", F.concat(first, F.lit("\n[00:09-00:08] x")).alias("h")), "event_id", "h")
     return got.drop("n")
+
+
+# ---------------------------------------------------------------- records and limits
+
+
+@query(
+    "SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN p_partkey * 10 END AS start_ms, CASE WHEN p_size % 7 > 0 THEN p_name END AS label, [p_brand] AS producer, CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'unknown' END AS remix, "
+    "'https://x.org/' || p_partkey AS url, CASE WHEN p_partkey >= 10 THEN '00123456' || p_partkey END AS upc, sha256(p_name) AS file_hash, CASE WHEN p_size % 3 = 0 THEN 'HEAD' END AS chunk, p_size % 5 = 0 AS no_stem, CASE WHEN p_size % 5 > 0 THEN least(p_size / 10.0, 2.0) END AS volume FROM part"
+)
+def json_records(t):
+    from tessera.functions import records
+
+    p = t("part")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    pack = lambda **c: F.to_json(F.struct(*[x.alias(n) for n, x in c.items()]))
+    moments = F.array(F.struct(F.when(s % 7 > 0, k * 10).alias("start"), F.col("p_name").alias("label")))
+    chunk = F.array(F.struct(F.when(s % 3 == 0, " head").otherwise("nope").alias("fourcc"), F.upper(F.sha2("p_type", 256)).alias("sha256")))
+    stem = F.array(F.struct(F.when(s % 5 > 0, "s1").alias("stemId"), F.lit(" name ").alias("stemName"), (s / 10).alias("defaultVolume")))
+    chunks = F.create_map(
+        F.lit("HILT"), pack(highlights=moments), F.lit("CRDT"), pack(producer=F.array(F.col("p_brand"), F.concat("p_name", F.lit("&")))),
+        F.lit("LICN"), pack(remixAllowed=F.when(s % 2 == 0, "true").otherwise("unspecified"), licenseUrl=F.concat(F.lit(" https://x.org/"), k.cast("string"))),
+        F.lit("IDEN"), pack(upc=F.concat(F.lit("00-12 3456"), k.cast("string")), catalogNumber=F.lit("<b>"), distributor=F.lit("d")),
+        F.lit("HASH"), pack(fileSha256=F.upper(F.sha2("p_name", 256)), chunks=chunk), F.lit("STEM"), pack(stems=stem),
+    )
+    # written and read once more, as a writer and a reader would
+    r = p.select("p_partkey", records.all_records(chunks).alias("r")).select("p_partkey", "r", records.identifiers(records.encode(F.col("r.iden"))).alias("iden"))
+    first = lambda c: F.get(c, F.lit(0))
+    return r.select(
+        "p_partkey", first(F.col("r.hilt.highlights"))["startMs"].alias("start_ms"), first(F.col("r.hilt.highlights"))["label"].alias("label"), F.col("r.crdt.producer").alias("producer"), F.col("r.licn.remixAllowed").alias("remix"), F.col("r.licn.licenseUrl").alias("url"),
+        F.when(k >= 10, F.col("iden.upc")).alias("upc"), F.col("r.hash.fileSha256").alias("file_hash"), first(F.col("r.hash.chunks"))["fourcc"].alias("chunk"), F.col("r.stem").isNull().alias("no_stem"), first(F.col("r.stem"))["defaultVolume"].alias("volume"),
+    )
+
+
+@query(
+    ITEMS
+    + "c AS (SELECT l_orderkey, CASE WHEN l_shipmode = 'AIR' THEN 'HEAD' WHEN l_shipmode = 'SHIP' THEN 'AUDI' ELSE 'META' END AS k, l_quantity * 2000000 AS size, l_extendedprice * 40000 AS f FROM items), "
+    "g AS (SELECT l_orderkey, max(f) > 2147483648 AS a, max(size) > 67108864 AS b, count(*) FILTER (k = 'HEAD') = 0 AS h, count(*) FILTER (k = 'AUDI') = 0 AS d FROM c GROUP BY 1) "
+    "SELECT l_orderkey, concat_ws(',', CASE WHEN a THEN 'file-size' END, CASE WHEN b THEN 'chunk-size' END, CASE WHEN h THEN 'no-head' END, CASE WHEN d THEN 'no-audio' END) AS problems FROM g"
+)
+def format_limits(t):
+    m = F.col("l_shipmode")
+    c = _items(t).select("l_orderkey", F.when(m == "AIR", "HEAD").when(m == "SHIP", "AUDI").otherwise("META").alias("k"), (F.col("l_quantity") * 2000000).alias("size"), (F.col("l_extendedprice") * 40000).alias("f"))
+    return lib.limits(c, "l_orderkey", "k", "size", "f").select("l_orderkey", F.array_join("problems", ",").alias("problems"))
+
+
+@query("SELECT user_id, list_sort(list_filter(list(DISTINCT event_type), lambda x: x IN ('click', 'view', 'other'))) AS known, list_sort(list_filter(list(DISTINCT event_type), lambda x: x NOT IN ('click', 'view', 'other'))) AS unknown FROM events GROUP BY 1")
+def known_optional(t):
+    g = t("events").groupBy("user_id").agg(F.collect_set("event_type").alias("names"))
+    known, unknown = lib.known_optional(F.col("names"), ["click", "view", "other"])
+    return g.select("user_id", known.alias("known"), unknown.alias("unknown"))
+
+
+@query("SELECT doc_id, sha256(text) AS whole, true AS same, ceil(greatest(strlen(text), 1) / 1024.0)::BIGINT AS fragments FROM documents WHERE strlen(text) > 0")
+def registered_functions(t):
+    """Texts as sample streams and fragments, through the registered SQL functions."""
+    from tessera.functions import udfs
+
+    d = t("documents").where("octet_length(text) > 0")
+    udfs.register(d.sparkSession)
+    even = d.select("doc_id", F.encode("text", "utf-8").alias("raw"))
+    coded = even.select("doc_id", "raw", F.expr("decode_lossless(encode_lossless(raw))").alias("back"))
+    name = f"texts_{id(coded)}"
+    coded.createOrReplaceTempView(name)
+    parts = d.sparkSession.sql(f"SELECT doc_id, f.part, f.fragment FROM {name}, LATERAL split_fragments('t', raw, 1024) f")
+    joined = parts.groupBy("doc_id").agg(F.expr("reassemble_fragments(fragment)").alias("joined"))
+    count = parts.groupBy("doc_id").agg(F.count("*").alias("fragments"))
+    same = F.substring("raw", F.lit(1), F.octet_length("back")) == F.col("back")
+    out = coded.join(joined, "doc_id").join(count, "doc_id")
+    return out.select("doc_id", F.sha2("joined", 256).alias("whole"), (same & (F.octet_length("raw") - F.octet_length("back") <= 1)).alias("same"), "fragments")

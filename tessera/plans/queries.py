@@ -194,10 +194,16 @@ def album_totals(t):
     return g.select("o_orderkey", "resolved", "duration", F.when(F.col("resolved") == 0, "empty").when(F.col("r") > 0, "partial").otherwise("complete").alias("verdict"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE i AS (SELECT l_orderkey, (l_linenumber::BIGINT * 1000000000000 + l_partkey * 1000000 + l_suppkey) AS k, (l_partkey % 3)::INT AS a, (l_suppkey % 4)::INT AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem), "
+    "s AS (SELECT l_orderkey, k, n, [a] AS sa, [b] AS sb, NULL::VARCHAR AS reject FROM i WHERE n = 1 UNION ALL "
+    "SELECT i.l_orderkey, i.k, i.n, CASE WHEN list_contains(sa, a) OR list_contains(sb, b) THEN sa ELSE list_append(sa, a) END, CASE WHEN list_contains(sa, a) OR list_contains(sb, b) THEN sb ELSE list_append(sb, b) END, "
+    "CASE WHEN list_contains(sa, a) THEN 'a' WHEN list_contains(sb, b) THEN 'b' END FROM s JOIN i ON i.l_orderkey = s.l_orderkey AND i.n = s.n + 1) SELECT l_orderkey, k, reject FROM s"
+)
 def manifest_dedup(t):
-    c = t("conversations").select("conv_id", "turn", "role", F.sha2("text", 256).alias("hash"))
-    return cat.keep_first(c, ["conv_id"], "turn", ["turn", "hash"])
+    # lines of an order as entries of a manifest, with two keys that repeat
+    c = t("lineitem").select("l_orderkey", (F.col("l_linenumber").cast("long") * 10**12 + F.col("l_partkey") * 10**6 + F.col("l_suppkey")).alias("k"), (F.col("l_partkey") % 3).cast("int").alias("a"), (F.col("l_suppkey") % 4).cast("int").alias("b"))
+    return cat.keep_first(c, ["l_orderkey"], "k", ["a", "b"]).select("l_orderkey", "k", "reject")
 
 
 @query("SELECT doc_id, source, n_chars FROM documents WHERE source = 'web' UNION ALL SELECT min(doc_id), source, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.source = 'web' AND o.source = d.source AND o.n_chars = d.n_chars) GROUP BY source, n_chars")

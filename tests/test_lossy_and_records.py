@@ -81,6 +81,6 @@ def test_timeline(spark):
     rows = timeline.parse_sections(df, "id", "t")
     good = rows.where("error IS NULL")
     assert [(r.start_ms, r.end_ms, r.type, r.title) for r in good.orderBy("n").collect()] == [(0, 10000, "intro", "a"), (10000, None, "chorus", None), (30000, None, "custom", "d")]
-    assert rows.where("error LIKE '%end time must be after start'").count() == 1
+    assert rows.where("error LIKE '%ends before it begins'").count() == 1
     assert timeline.hooks(good, "id").first().start_ms == 10000
     assert [r.next_ms for r in timeline.steps(good, "id").orderBy("start_ms").collect()] == [10000, 30000, 30000]

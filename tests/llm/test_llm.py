@@ -588,3 +588,28 @@ def test_features_by_hand():
     upper = sum(65 <= b <= 90 for b in raw)
     want = {"log_words": np.log1p(len(w)), "word_bytes": np.mean([len(x.encode()) for x in w]), "upper": upper / letters, "digits": 2 / filled, "bangs": 4 / filled, "pipes": 2 / len(w), "distinct_words": len({x.lower() for x in w}) / len(w), "repeated_lines": 1 - 2 / 3, "sentence_ends": 1 / len(w), "shouted": 2 / len(w), "capitals": 4 / len(w), "line_words": np.log1p(len(w) / 3)}
     assert all(np.isclose(got[k], v) for k, v in want.items()), {k: (got[k], v) for k, v in want.items() if not np.isclose(got[k], v)}
+
+
+def test_scratch_scope(spark):
+    import os
+
+    from tessera.llm.common import materialize, scratch_scope
+
+    with scratch_scope(spark) as path:
+        kept = materialize(spark.range(5), "numbers")
+        assert kept.scratch_path.startswith(path) and kept.count() == 5
+        assert os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_benchmark_of_several_blocks(spark):
+    """More items than a block holds: each copy is found, whatever the order of the items."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijkl"), 6))
+    items = [(i, " ".join(word() for _ in range(20))) for i in range(450)]
+    docs = [(i, " ".join(word() for _ in range(60)) + " " + items[i][1] + " " + " ".join(word() for _ in range(60))) for i in range(0, 450, 9)]
+    docs += [(1000 + i, " ".join(word() for _ in range(140))) for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for order in (items, items[::-1]):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, spark.createDataFrame(order, "item_id long, text string")).collect()}
+        assert got == {(i, i) for i in range(0, 450, 9)}

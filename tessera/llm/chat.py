@@ -42,7 +42,8 @@ def numbered(messages: DataFrame) -> DataFrame:
 def rotate(messages: DataFrame, turns: int = TURNS) -> DataFrame:
     """messages (conv_id, turn, role, text): conv_id, speaker, block, n_messages, start, text, mask (spans "start-end", joined by commas)."""
     messages = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    blocks = numbered(messages).withColumn("block", F.floor(F.col("n") / turns).cast("int")).groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("n", "role", "text"))).alias("m"))  # turns messages at most
+    placed = materialize(numbered(messages).withColumn("block", F.floor(F.col("n") / turns).cast("int")), "numbered")
+    blocks = placed.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("n", "role", "text"))).alias("m"))  # turns messages at most
     views = messages.where("role <> 'system'").select(F.col("conv_id").alias("_c"), F.col("role").alias("speaker")).distinct()
     both = blocks.join(views, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
 
@@ -59,7 +60,7 @@ def rotate(messages: DataFrame, turns: int = TURNS) -> DataFrame:
 
     out = both.withColumn("parts", parts)
     # a row per dialogue and block: how long its texts are in a view, but for the heads, which differ by view
-    lengths = blocks.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.explode(F.transform("m", lambda x: F.struct(x.role.alias("role"), F.length(x.text).alias("size")))).alias("x")).groupBy("_c", "_b", "x.role").agg(F.count("*").alias("k"), F.sum("x.size").alias("size"))
+    lengths = placed.groupBy(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), "role").agg(F.count("*").alias("k"), F.sum(F.length("text")).alias("size"))
     lengths = lengths.join(views.select(F.col("_c").alias("_v"), "speaker"), F.col("_c").eqNullSafe(F.col("_v")))
     marks = len(OPEN) + 1 + len(CLOSE)
     named = F.when(F.col("role") == F.col("speaker"), len("assistant")).when(F.col("role") == "system", len("system")).otherwise(F.length("role") + len("user name="))

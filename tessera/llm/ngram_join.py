@@ -41,6 +41,8 @@ CELL_BITS, BLOCK, FRAGMENTS = 20, 1 << 16, 4
 LIMIT, LEAST = 1 << 19, 256
 #: Bits of the longest bitmap; longer sets get a weaker bound from it, and are told apart by their n-grams.
 MOST_BITS = 1 << 17
+#: Vertices of clusters up to which their ids (two numbers each) are broadcast to find their texts; more are joined by shuffle.
+BROADCAST = 500_000
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -472,6 +474,7 @@ def _linked(docs: DataFrame, k: int, num: int, seed: int = 0) -> tuple[DataFrame
     near = components(_spanning(buckets, "bucket", Bitmaps, num, "near"), "near")
 
     ids = sets.join(near, "v", "left_semi").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    ids = F.broadcast(ids) if near.count() <= BROADCAST else ids.hint("merge")
     some = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi").select("text")
     seg = some.mapInArrow(_segments(k, shared_cells, bounds, seed), "v long, seg array<long>, cut array<int>").groupBy("v").agg(F.first("seg").alias("seg"), F.first("cut").alias("cut"))
     clusters = materialize(seg.join(near, "v").join(sets.select("v", "n", "copies"), "v").select("c", "v", "n", "copies", "seg", "cut"), "clusters")

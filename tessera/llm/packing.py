@@ -110,13 +110,21 @@ def _pack(capacity: int, most: int):
     return run
 
 
-def best_fit(pieces: DataFrame, capacity: int = CAPACITY, most: int = OPEN, per_task: int = PER_TASK) -> DataFrame:
-    """pieces (with a column length) and sequence_id, offset. per_task: how many tasks of a round hand their open bins to one of the next."""
+def best_fit(pieces: DataFrame, capacity: int = CAPACITY, most: int = OPEN, per_task: int = PER_TASK, make=None, columns: str = "") -> DataFrame:
+    """pieces (with a column length) and sequence_id, offset. per_task: how many tasks of a round hand their open bins to one of the next.
+
+    make: what turns batches of `pieces` into those of the pieces proper, with these columns, in the worker that packs them.
+    """
     added = [T.StructField("bin", T.LongType()), T.StructField("place", T.LongType()), T.StructField("open", T.BooleanType())]
-    schema = T.StructType([*pieces.schema.fields, *added])
-    columns, level, tasks, last, out = pieces.columns, 0, 0, False, None
+    fields = T._parse_datatype_string(columns).fields if make else pieces.schema.fields
+    schema = T.StructType([*fields, *added])
+    columns, level, tasks, last, out = [f.name for f in fields], 0, 0, False, None
+    run = pack = _pack(capacity, most)
+    if make:
+        run = lambda batches: pack(make(batches))
     while True:
-        packed = materialize(pieces.mapInArrow(_pack(capacity, most), schema), "packed")
+        packed = materialize(pieces.mapInArrow(run, schema), "packed")
+        run = pack
         left = packed.where("open")
         bins = left.select("bin").distinct().count()
         last = last or not bins
@@ -130,7 +138,8 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, most: int = OPEN, per_
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    return best_fit(token_pieces(docs, vocabulary, end_id, capacity), capacity)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return best_fit(docs, capacity, make=_pieces(vocabulary, end_id, capacity), columns=PIECES)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from tessera.llm.common import SLICE_BYTES, lowered, slices
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces, and bytes of them, kept by a Python worker before the table is emptied (about 150 bytes each and their own).
-KEPT, KEPT_BYTES = 600_000, 16_000_000
+KEPT, KEPT_BYTES = 400_000, 16_000_000
 SPECIAL = b"<|"
 
 

@@ -1,8 +1,10 @@
 """The pipeline's stages on a small table."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tessera.llm import ngram_join
 
 
 def test_pipeline(spark):
@@ -22,8 +24,10 @@ def test_pipeline(spark):
     assert packed.select("doc_id").distinct().count() == left[-1]
 
 
-def test_stages_decide_by_row(spark, tmp_path):
-    """Null and repeated ids: one row of each group stays, leaking rows go, other rows with the same id stay."""
+@pytest.mark.parametrize("broadcast", [500_000, 1])
+def test_stages_decide_by_row(spark, tmp_path, monkeypatch, broadcast):
+    """Null and repeated ids: one row of each group stays, leaking rows go, other rows with the same id stay, with either kind of join."""
+    monkeypatch.setattr(ngram_join, "BROADCAST", broadcast)
     words = [f"w{i}" for i in range(60)]
     text, near, lone = " ".join(words), " ".join(["x", *words]), " ".join(f"y{i}" for i in range(60))
     pair, same = " ".join(f"z{i}" for i in range(60)), " ".join(f"s{i}" for i in range(60))

@@ -38,6 +38,8 @@ HEAVY = 30.0
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 #: Passages of items per block, and entries of the sparse matrix that are multiplied at once.
 ITEMS, CHUNK = 200, 40_000
+#: Numbers of a summed array that one row holds.
+PIECE = 1 << 16
 HITS = "doc_id long, h long, item_id long, cosine double, lcs double, answer double, word long"
 
 
@@ -166,7 +168,19 @@ def _times(term: np.ndarray, stripe: np.ndarray, n: int, weighted: np.ndarray) -
 
 
 def _sums(sparse: DataFrame, make, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum of make(batch slices) over all rows: an array of a fixed shape per task, added up in two steps."""
+    """The sum of make(batch slices) over all rows: an array of a fixed shape per task, added up piece by piece in two steps.
+
+    The driver gets each piece once, whatever the number of tasks and partitions.
+    """
+    size = int(np.prod(shape))
+    schema = "piece int, salt int, x binary"
+
+    def rows(pieces: dict[int, np.ndarray], salt: int) -> pa.RecordBatch:
+        x = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in pieces.values()]
+        return pa.RecordBatch.from_pydict({"piece": pa.array(list(pieces), pa.int32()), "salt": pa.array([salt] * len(x), pa.int32()), "x": pa.array(x, pa.binary())})
+
+    def piece(number: int, blob: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(blob, min(PIECE, size - number * PIECE) * 8, codec="zstd", asbytes=True), "<f8")
 
     def partial(batches):
         total = np.zeros(shape)
@@ -174,23 +188,22 @@ def _sums(sparse: DataFrame, make, shape: tuple[int, ...]) -> np.ndarray:
             for item in _stripes(batch):
                 make(total, *item)
         if total.any():
-            yield pa.RecordBatch.from_pydict({"salt": pa.array([zlib.crc32(total.tobytes()) % 32], pa.int32()), "x": pa.array([pa.compress(total.astype("<f8").tobytes(), codec="zstd", asbytes=True)], pa.binary())})
-
-    size = int(np.prod(shape)) * 8
+            flat = total.ravel().astype("<f8")
+            yield rows({i // PIECE: flat[i : i + PIECE] for i in range(0, size, PIECE)}, zlib.crc32(flat) % 16)
 
     def add(batches):
-        total = None
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for blob in batch.column("x").to_pylist():
-                x = np.frombuffer(pa.decompress(blob, size, codec="zstd", asbytes=True), "<f8")
-                total = x if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"salt": pa.array([0], pa.int32()), "x": pa.array([pa.compress(total.tobytes(), codec="zstd", asbytes=True)], pa.binary())})
-
-    schema = "salt int, x binary"
-    out = np.zeros(size // 8)
-    for r in sparse.mapInArrow(partial, schema).repartition(8, "salt").mapInArrow(add, schema).collect():  # 8 rows at most
-        out += np.frombuffer(pa.decompress(r.x, size, codec="zstd", asbytes=True), "<f8")
+            for number, blob in zip(batch.column("piece").to_pylist(), batch.column("x"), strict=True):
+                x = piece(number, blob.as_py())
+                total[number] = total[number] + x if number in total else x
+        if total:
+            yield rows(total, 0)
+
+    some = sparse.mapInArrow(partial, schema).repartition(64, "piece", "salt").mapInArrow(add, schema)
+    out = np.zeros(size)
+    for r in some.repartition(16, "piece").mapInArrow(add, schema).collect():
+        out[r.piece * PIECE : (r.piece + 1) * PIECE] = piece(r.piece, bytes(r.x))
     return out.reshape(shape)
 
 

@@ -232,9 +232,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     some = known.where(F.col("h") <= min(least + int(share * 2.0**64), (1 << 63) - 1)).select("doc_id", "y")
     some = docs.join(F.broadcast(some), "doc_id")  # at most `sample` rows of two numbers
     described = some.withColumn("h", F.xxhash64("text")).mapInArrow(_describe, "doc_id long, y int, h long, x array<double>")
-    got = described.groupBy("doc_id").agg(F.min(F.struct("h", "x", "y")).alias("r")).orderBy("doc_id").select("r.x", "r.y").toPandas()
-    x = np.array(got.x.tolist(), float).reshape(-1, len(NAMES))
-    return fit(x, got.y.to_numpy(float))
+    got = described.groupBy("doc_id").agg(F.min(F.struct("h", "x", "y")).alias("r")).orderBy("doc_id").select("r.x", "r.y").toArrow().combine_chunks()
+    # Arrow columns, so that the driver holds numbers and not an object for each of them
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES))
+    return fit(x, got.column("y").to_numpy().astype(float))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

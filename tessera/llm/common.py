@@ -8,10 +8,8 @@ bytes per byte is done in windows of WINDOW bytes.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -19,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.scratch import materialize, remove, scratch, scratch_scope, shared_dir  # noqa: F401
+
 SLICE_BYTES, WINDOW = 1_000_000, 1 << 20
 #: Fixed seeds of the hash functions below; any odd 64-bit numbers do.
 BASE = 0x9E3779B97F4A7C15
@@ -29,59 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Where a session on one machine names none (tests), a temporary one is set for it; elsewhere that is an error."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-_scopes: list[str] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, under the scope that is open."""
-    return f"{_scopes[-1] if _scopes else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def scratch_scope(spark: SparkSession):
-    """Deletes at its end what operators wrote inside it; write or collect their results before.
-
-    Without a scope the written tables stay, since results read them, until whoever owns the folder clears it.
-    """
-    path = scratch(spark, "scope")
-    _scopes.append(path)
-    try:
-        yield path
-    finally:
-        _scopes.remove(path)
-        remove(spark, path)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and rereads it: this cuts lineage, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def remove(spark: SparkSession, df_or_path: DataFrame | str) -> None:
-    """Deletes a path, or what a materialized DataFrame reads, from the shared folder."""
-    path = df_or_path if isinstance(df_or_path, str) else df_or_path.scratch_path
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def filesystem(uri: str):
     """The pyarrow filesystem and path of a URI; a plain path or file:// is local to what is mounted on all nodes."""
     from pyarrow import fs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, lm_scoring, ngram_join, packing, quality, sharding, syncmers, token_files, warc
+from tessera.llm import chat, decontaminate, importance, lm_scoring, ngram_join, packing, quality, sharding, syncmers, token_files, url_filter, vector_codes, warc
 
 QUERIES = {
     "op1_consistent_hash_sharding": sharding.op1,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_token_id_files": token_files.op8,
     "op9_additive_quality_classifier": quality.op9,
     "op10_cross_entropy_difference": lm_scoring.op10,
+    "op11_url_filters": url_filter.op11,
+    "op12_importance_resampling": importance.op12,
+    "op13_vector_codes": vector_codes.op13,
 }
 
 ORACLE_SQL = {
     "op2_warc_archives": warc.ORACLE,
     "op4_perspective_rotation": chat.ORACLE,
     "op6_ngram_jaccard_join": ngram_join.ORACLE,
+    "op11_url_filters": url_filter.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }

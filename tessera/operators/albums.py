@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import basename, hash_or_null, same_hash, unsafe_path
+from tessera.operators import skew
 
 MANIFEST = "struct<format:string,version:int,album:struct<title:string,artist:string,year:int>,tracks:array<struct<trackId:string,file:string,trackNumber:int,discNumber:int,title:string,artist:string,durationMs:double>>>"
 
@@ -49,10 +50,12 @@ def playing(rows: DataFrame, album: str, order: str, keys: Sequence[str], now: D
     return hit.groupBy(*now.columns).agg(F.min(order).alias(order))
 
 
-def gain(group: str, level: Column, muted: Column, solo: Column) -> Column:
-    """0 where muted, or where another stem of the group is solo and this is not."""
-    any_solo = F.bool_or(solo).over(Window.partitionBy(group))
-    return F.when(muted, 0.0).when(any_solo & ~solo, 0.0).otherwise(level)
+def gain(stems: DataFrame, group: str, level: Column, muted: Column, solo: Column) -> DataFrame:
+    """stems and gain: 0 where muted, or where another stem of the group is solo and this is not."""
+    rows = stems.withColumns({"_level": level, "_muted": muted, "_solo": solo})
+    groups = rows.groupBy(group).agg(F.bool_or("_solo").alias("_any"), F.count("*").alias("_n"))
+    out = skew.lookup(rows, groups, [group], ["_any"], "_n")
+    return out.select(*stems.columns, F.when(F.col("_muted"), 0.0).when(F.col("_any") & ~F.col("_solo"), 0.0).otherwise(F.col("_level")).alias("gain"))
 
 
 def karaoke(stems: DataFrame, group: str, kind: str) -> DataFrame:

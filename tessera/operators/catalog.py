@@ -71,9 +71,10 @@ def top_per_group(df: DataFrame, group: str, order: Sequence[Column], n: int) ->
 
 
 def natural_key(column: Column) -> Column:
-    """A sort key by which digit runs compare as numbers and letters without case."""
+    """A sort key by which digit runs compare as numbers, and letters without case and accents (by their base letters)."""
     parts = F.regexp_extract_all(F.lower(column), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(F.regexp_replace(x, r"^0+(?=\d)", ""), 20, "0")).otherwise(x)), "")
+    padded = F.transform(parts, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(F.regexp_replace(x, r"^0+(?=\d)", ""), 20, "0")).otherwise(x))
+    return F.collate(F.array_join(padded, ""), "UNICODE_CI_AI")
 
 
 def probe_duplicates(df: DataFrame, store: DataFrame, key: str, second: Sequence[str], out: str, store_id: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import scans, skew
+
 
 def fold(df: DataFrame, group: Sequence[str], key: str, value: str, order: str, last: bool = True) -> DataFrame:
     """Per group and key the value that comes last (or first) by order."""
@@ -50,6 +52,15 @@ def peaks(df: DataFrame, index: str, value: str, frames: int, buckets: int = 512
     return df.where(F.col(index) < width * n).groupBy(F.floor(F.col(index) / width).cast("long").alias("bucket")).agg(F.max(F.abs(value)).alias("peak"))
 
 
+def peaks_of(df: DataFrame, group: str, order: Sequence[str], value: str, buckets: int = 512) -> DataFrame:
+    """The same for each group of rows in their order: group, bucket, peak."""
+    rows = scans.running(df.select(group, *order, value), [group], order, {"_i": F.lit(1)}, before=True)
+    sizes = df.groupBy(group).agg(F.count("*").alias("_c"))
+    rows = skew.lookup(rows, sizes, [group], ["_c"], "_c")
+    width, k = F.greatest(F.lit(1), F.floor(F.col("_c") / buckets)), F.least(F.lit(buckets), F.col("_c"))
+    return rows.where(F.col("_i") < width * k).groupBy(group, F.floor(F.col("_i") / width).cast("long").alias("bucket")).agg(F.max(F.abs(value)).alias("peak"))
+
+
 def rms(value: Column) -> Column:
     return F.sqrt(F.avg(value * value))
 
@@ -62,33 +73,47 @@ def snr(signal: Column, error: Column) -> Column:
 
 def repeat_index(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """How many earlier rows have the same key."""
-    return df.withColumn("repeat_index", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
+    return scans.running(df, key, order, {"repeat_index": F.lit(1)}, before=True).withColumn("repeat_index", F.col("repeat_index").cast("int"))
 
 
 def running_offset(df: DataFrame, group: str, order: Sequence[str], length: str) -> DataFrame:
     """Where each row begins if a group's rows lie end to end."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("start_offset", F.coalesce(F.sum(length).over(w), F.lit(0)).cast("long"))
+    return scans.running(df, [group], order, {"start_offset": F.col(length)}, before=True).withColumn("start_offset", F.col("start_offset").cast("long"))
+
+
+def rebuilt(df: DataFrame, group: str, order: Sequence[str], difference: str, name: str) -> DataFrame:
+    """The values whose first differences these are."""
+    return scans.running(df, [group], order, {name: F.col(difference)})
 
 
 def not_rising(df: DataFrame, group: str, order: Sequence[str], value: str) -> DataFrame:
     """Rows whose value is less than the one before."""
-    return df.withColumn("before", F.lag(value).over(Window.partitionBy(group).orderBy(*order))).where(F.col(value) < F.col("before"))
+    return scans.lagged(df, [group], order, value, ["before"]).where(F.col(value) < F.col("before"))
+
 
+def neighbours(df: DataFrame, group: str, order: str, item: str, readable: Column | None = None, wrap: bool = True) -> DataFrame:
+    """Each row's next and previous item (only those that are readable), around the ends if wrap is set.
 
-def neighbours(df: DataFrame, group: str, order: str, item: str) -> DataFrame:
-    """Each row's next and previous item, around the ends."""
-    w = Window.partitionBy(group).orderBy(order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.withColumn("next_item", F.coalesce(F.lead(item).over(w), F.first(item).over(whole))).withColumn("prev_item", F.coalesce(F.lag(item).over(w), F.last(item).over(whole)))
+    Both are last values along the order, up and down; the ends are one row per group, and come back by a lookup.
+    """
+    good = F.when(F.lit(True) if readable is None else readable, F.struct(F.col(item).alias("i")))
+    rows = df.withColumn("_good", good)
+    up = scans.running(rows, [group], [order], lasts={"_prev": F.col("_good")}, before=True)
+    both = scans.running(up, [group], [order], lasts={"_next": F.col("_good")}, before=True, back=True)
+    nxt, prev = F.col("_next"), F.col("_prev")
+    if wrap:
+        ends = rows.groupBy(group).agg(F.count("*").alias("_n"), F.min_by("_good", F.when(F.col("_good").isNotNull(), F.col(order))).alias("_first"), F.max_by("_good", F.when(F.col("_good").isNotNull(), F.col(order))).alias("_end"))
+        both = skew.lookup(both, ends, [group], ["_first", "_end"], "_n")
+        nxt, prev = F.coalesce(nxt, F.col("_first")), F.coalesce(prev, F.col("_end"))
+    return both.select(*df.columns, nxt["i"].alias("next_item"), prev["i"].alias("prev_item"))
 
 
 def residuals(df: DataFrame, group: str, order: Sequence[str], value: str) -> DataFrame:
     """Differences of order 0 to 4 to the values before; a row with fewer before it takes the order that it can."""
-    w = Window.partitionBy(group).orderBy(*order)
-    x = [F.col(value), *[F.lag(value, k).over(w) for k in range(1, 5)]]
+    names = [f"_before_{k}" for k in range(1, 5)]
+    x = [F.col(value), *map(F.col, names)]
     out, rows = [], [[1], [1, -1], [1, -2, 1], [1, -3, 3, -1], [1, -4, 6, -4, 1]]
     for c in rows:
         full = sum((k * v for k, v in zip(c[1:], x[1:], strict=False)), x[0] * c[0])
         out.append(F.coalesce(full, out[-1]) if out else full)
-    return df.select("*", *[o.cast("long").alias(f"r{k}") for k, o in enumerate(out)])
+    return scans.lagged(df, [group], order, value, names).select(*df.columns, *[o.cast("long").alias(f"r{k}") for k, o in enumerate(out)])

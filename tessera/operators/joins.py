@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import scans
+
 
 def as_of(left: DataFrame, right: DataFrame, key: Sequence[str], left_time: str, right_time: str, values: Sequence[str]) -> DataFrame:
     """left with the values of the last right row of its key whose time is at most left's.
 
-    One shuffle: both sides are united and the last right row is carried forward in time; at equal times right rows come
-    first. Of right rows at the same time the one with the greatest values counts.
+    One shuffle: both sides are united and the last right row is carried forward in time, from slice to slice where a key is hot; at equal times
+    right rows come first. Of right rows at the same time the one with the greatest values counts.
     """
     one = right.where(F.col(right_time).isNotNull()).groupBy(*key, right_time).agg(F.max(F.struct(*values)).alias("_v"))
     tagged = one.select(*key, F.col(right_time).alias("_t"), "_v", F.lit(0).alias("_side"), F.lit(None).cast(left.schema.simpleString()).alias("_row"))
     rows = left.select(*key, F.col(left_time).alias("_t"), F.lit(None).cast(one.schema["_v"].dataType).alias("_v"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
-    w = Window.partitionBy(*key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = tagged.unionByName(rows).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
-    return found.select("_row.*", *[F.col(f"_v.{v}").alias(v) for v in values])
+    found = scans.running(tagged.unionByName(rows), key, ["_t", "_side"], lasts={"_found": F.col("_v")}).where("_side = 1")
+    return found.select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
 def first_key(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], take: str, out: str, order: str | None = None) -> DataFrame:
@@ -41,11 +42,11 @@ def audit(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
 
 def by_position(entries: DataFrame, parts: DataFrame, group: str, entry_order: str, part_order: str, value: str, out: str) -> DataFrame:
     """parts and, as out, the value of the entry with the same number in the group; the last entry serves the parts beyond it."""
-    e = entries.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(entry_order))).select(F.col(group).alias("_g"), F.col("_n").alias("_e"), F.col(value).alias(out), F.count("*").over(Window.partitionBy(group)).alias("_c"))
-    n = e.groupBy("_g").agg(F.max("_c").alias("_c"))
-    p = parts.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(part_order)))
+    e = scans.row_number(entries.select(F.col(group).alias("_g"), F.col(entry_order).alias("_o"), F.col(value).alias(out)), ["_g"], ["_o"], "_e")
+    p = scans.row_number(parts, [group], [part_order], "_n")
+    n = e.groupBy("_g").agg(F.max("_e").alias("_c"))
     p = p.join(n.withColumnRenamed("_g", "_h"), F.col(group) == F.col("_h"), "left").withColumn("_at", F.least("_n", "_c"))
-    return p.join(e.drop("_c"), (F.col(group) == F.col("_g")) & (F.col("_at") == F.col("_e")), "left").select(*parts.columns, out)
+    return p.join(e.drop("_o"), (F.col(group) == F.col("_g")) & (F.col("_at") == F.col("_e")), "left").select(*parts.columns, out)
 
 
 def in_range(points: DataFrame, ranges: DataFrame, at: str, early: float = 0.05) -> DataFrame:

@@ -235,18 +235,6 @@ def worst_window(samples: DataFrame, group: str, index: str, signal: str, decode
     return q.withColumn("snr", snr).groupBy(group).agg(F.min("snr").alias("worst_snr"), (F.min_by("_q", F.struct("snr", "_q")) * (window // 4)).alias("start"))
 
 
-def neighbours(rows: DataFrame, group: str, order: str, item: str, readable: Column, wrap: bool = True) -> DataFrame:
-    """rows, and the next and previous readable item of each, around the ends if wrap is set."""
-    good = F.when(readable, F.col(item))
-    w = Window.partitionBy(group).orderBy(order)
-    after, before = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nxt, prev = F.first(good, ignorenulls=True).over(after), F.last(good, ignorenulls=True).over(before)
-    if wrap:
-        nxt, prev = F.coalesce(nxt, F.first(good, ignorenulls=True).over(whole)), F.coalesce(prev, F.last(good, ignorenulls=True).over(whole))
-    return rows.withColumn("next_item", nxt).withColumn("prev_item", prev)
-
-
 # Fixed values of the format: bytes of a file and of a chunk, chunks of a file.
 MOST_FILE, MOST_CHUNK, MOST_CHUNKS = 2 * 1024 * MB, 64 * MB, 256
 

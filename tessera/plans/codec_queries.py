@@ -175,7 +175,8 @@ def manifest_tracks(t):
 def effective_gain(t):
     from tessera.operators.albums import gain
 
-    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", gain("l_orderkey", F.col("l_discount"), F.col("l_returnflag") == "R", F.col("l_quantity") > 45).alias("gain"))
+    out = gain(t("lineitem"), "l_orderkey", F.col("l_discount"), F.col("l_returnflag") == "R", F.col("l_quantity") > 45)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "gain")
 
 
 @query("SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'A') THEN 'instrumental' WHEN bool_or(l_returnflag = 'N') THEN 'stems' ELSE 'lyrics' END AS choice FROM lineitem GROUP BY 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import names
 from tessera.operators import library as lib
-from tessera.operators import timeline
+from tessera.operators import folds, ranking, timeline
 from tessera.plans.queries import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -173,7 +173,7 @@ def gate_suite(t):
 )
 def hiss_ranking(t):
     g = t("events").groupBy("user_id").agg(F.round(lib.hiss_score(-F.avg("value"), F.stddev_pop("value") / 1000, F.min("value")), 4).alias("score"))
-    return g.withColumn("place", F.rank().over(Window.orderBy("score", "user_id")))  # a row per codec
+    return ranking.row_numbers(g, [F.col("score"), F.col("user_id")], "place").withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT event_type, count(*) FILTER (abs(v) >= 32767) AS clipped, max(abs(v - d))::BIGINT AS max_diff, bool_and(v = d) AS bit_exact FROM (SELECT event_type, least(round(value * 200), 32767)::BIGINT AS v, least(floor(value * 200), 32767)::BIGINT AS d FROM events) GROUP BY 1")
@@ -188,7 +188,7 @@ def clipping(t):
     "coalesce((SELECT max(b.turn) FROM c b WHERE b.conv_id = c.conv_id AND b.ok AND b.turn < c.turn), (SELECT max(b.turn) FROM c b WHERE b.conv_id = c.conv_id AND b.ok)) AS prev_item FROM c"
 )
 def queue_skip_unreadable(t):
-    return lib.neighbours(t("conversations"), "conv_id", "turn", "turn", F.col("role") == "user").select("conv_id", "turn", "next_item", "prev_item")
+    return folds.neighbours(t("conversations"), "conv_id", "turn", "turn", F.col("role") == "user").select("conv_id", "turn", "next_item", "prev_item")
 
 
 @query("SELECT user_id, event_id, ts FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")

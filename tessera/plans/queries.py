@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
 from tessera.operators import catalog as cat
-from tessera.operators import folds, joins
+from tessera.operators import folds, joins, ranking, scans
 from tessera.operators import library as lib
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,9 +98,8 @@ def topk_per_group(t):
 
 @query("SELECT s_suppkey, row_number() OVER (ORDER BY CAST(regexp_extract(s_name, '(\\d+)', 1) AS BIGINT), s_suppkey)::INT AS place FROM supplier")
 def natural_order(t):
-    # places in a list that a person sorts: as many rows as a manifest has
     s = t("supplier").select("s_suppkey", cat.natural_key(F.col("s_name")).alias("k"))
-    return s.select("s_suppkey", F.row_number().over(Window.orderBy("k", "s_suppkey")).alias("place"))
+    return ranking.row_numbers(s, [F.col("k"), F.col("s_suppkey")], "place").select("s_suppkey", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT conv_id, list_aggregate(list_slice(list(role ORDER BY turn), 1, 3), 'string_agg', ',') AS first_roles FROM conversations GROUP BY conv_id")
@@ -265,10 +264,7 @@ def compat_ladder(t):
 
 @query("WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS c FROM events), w AS (SELECT *, greatest(1, c // 8) AS width, least(8, c) AS k FROM n) SELECT user_id, (i // width)::BIGINT AS bucket, max(abs(value)) AS peak FROM w WHERE i < width * k GROUP BY 1, 2")
 def waveform_peaks(t):
-    w = Window.partitionBy("user_id")
-    e = t("events").select("user_id", "value", (F.row_number().over(w.orderBy("ts", "event_id")) - 1).alias("i"), F.count("*").over(w).alias("c"))
-    width, k = F.greatest(F.lit(1), F.floor(F.col("c") / 8)), F.least(F.lit(8), F.col("c"))
-    return e.where(F.col("i") < width * k).groupBy("user_id", F.floor(F.col("i") / width).cast("long").alias("bucket")).agg(F.max(F.abs("value")).alias("peak"))
+    return folds.peaks_of(t("events"), "user_id", ["ts", "event_id"], "value", 8).select("user_id", "bucket", "peak")
 
 
 @query("SELECT event_type, max(abs(value)) AS peak, round(sqrt(avg(value * value)), 4) AS rms FROM events GROUP BY 1")
@@ -286,7 +282,7 @@ def snr_quantized(t):
 
 @query("WITH d AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x FROM events) SELECT user_id, round(sqrt(avg(x * x)), 4) AS hf_rms FROM d WHERE x IS NOT NULL GROUP BY 1")
 def hf_error(t):
-    d = t("events").withColumn("x", F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    d = scans.lagged(t("events"), ["user_id"], ["ts", "event_id"], "value", ["before"]).withColumn("x", F.col("value") - F.col("before"))
     return d.where("x IS NOT NULL").groupBy("user_id").agg(F.round(folds.rms(F.col("x")), 4).alias("hf_rms"))
 
 
@@ -317,7 +313,7 @@ def predictor_residuals(t):
 def delta_prefix_sum(t):
     e = t("events").withColumn("x", F.floor(F.col("value") * 100).cast("long"))
     r = folds.residuals(e, "user_id", ["ts", "event_id"], "x")
-    return r.select("event_id", F.sum("r1").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("rebuilt"))
+    return folds.rebuilt(r.select("event_id", "user_id", "ts", "r1"), "user_id", ["ts", "event_id"], "r1", "rebuilt").select("event_id", "rebuilt")
 
 
 @query("SELECT l_orderkey, l_linenumber, coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_offset FROM lineitem")
@@ -366,8 +362,7 @@ def named_sections(t):
 )
 def sliding_worst(t):
     # values as samples, rounded ones as decoded, windows of 16 at every fourth
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    x = t("events").select("user_id", (F.row_number().over(w) - 1).alias("i"), "value", F.round("value").alias("decoded"))
+    x = scans.row_number(t("events"), ["user_id"], ["event_id"], "n").select("user_id", (F.col("n") - 1).alias("i"), "value", F.round("value").alias("decoded"))
     return lib.worst_window(x, "user_id", "i", "value", "decoded", 16).select("user_id", F.round("worst_snr", 4).alias("worst_snr"), "start")
 
 

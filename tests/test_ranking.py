@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import scratch
 from tessera.operators import ranking
+from tessera.operators.catalog import natural_key
 
 
 def test_row_numbers(spark):
@@ -16,6 +17,13 @@ def test_row_numbers(spark):
     assert ranking.row_numbers(df.limit(0), [F.col("k")], "place").count() == 0
 
 
+def test_natural_order_by_base_letters(spark):
+    names = ["Émile 10", "emile 9", "EMILE 2", "zoë 1", "Zoe 02", "Übung 1", "ubung 11", "über", "a", "Á1", "10 a", "9 b"]
+    df = spark.createDataFrame(list(enumerate(names)), "i long, name string").withColumn("k", natural_key(F.col("name")))
+    got = [r.name for r in ranking.row_numbers(df, [F.col("k"), F.col("i")], "place").orderBy("place").collect()]
+    assert got == ["9 b", "10 a", "a", "Á1", "EMILE 2", "emile 9", "Émile 10", "über", "Übung 1", "ubung 11", "zoë 1", "Zoe 02"]
+
+
 def test_sums_before(spark):
     rows = [(i, i % 5, None if i % 7 == 0 else i) for i in range(300)]
     got = ranking.sums_before(spark.createDataFrame(rows, "i long, g long, v long"), [F.col("g"), F.col("i").desc()], F.col("v"), "s").collect()

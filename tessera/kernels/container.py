@@ -83,6 +83,10 @@ def cover_bytes(mime: str, image: bytes) -> bytes:
     return COVER_MAGIC + bytes([len(mime)]) + mime.encode() + image
 
 
+def file_header(flags: int = 0) -> bytes:
+    return MAGIC + bytes([VERSION, 0, 0, 0]) + struct.pack("<I", flags)
+
+
 def write(head: bytes, meta=(), cover: bytes | None = None, frames=(), seek=None, wave=None, info=(), corr=(), optional=(), extra=(), file_flags: int = 0) -> bytes:
     """A whole file, chunks in the format's order, with a CRC on every chunk."""
     parts = [chunk("HEAD", head)]
@@ -100,7 +104,7 @@ def write(head: bytes, meta=(), cover: bytes | None = None, frames=(), seek=None
     if corr:
         parts.append(chunk("CORR", corr_bytes(corr)))
     parts += [chunk(k, v) for k, v in (*optional, *extra)]
-    return MAGIC + bytes([VERSION, 0, 0, 0]) + struct.pack("<I", file_flags) + b"".join(parts)
+    return file_header(file_flags) + b"".join(parts)
 
 
 # ---------------------------------------------------------------- decoders
@@ -212,7 +216,7 @@ def index(read, size: int, load=wanted, prefix: bool = False):
         seen[fourcc] = c.repeat + 1
         if load(fourcc, length):
             c.payload = bytes(read(begin, length))
-            c.crc_ok = zlib.crc32(c.payload) == stored if flags & CRC_FLAG else None
+            c.crc_ok = crc_ok(c, c.payload)
         yield c
         number, at = number + 1, begin + length
     if at < size and not prefix:
@@ -255,11 +259,16 @@ def parse(data: bytes) -> Parsed:
     return out
 
 
-def metadata(data: bytes) -> tuple[dict | None, list[tuple[str, str]], tuple[str | None, bytes] | None]:
-    """HEAD, META and COVR from the beginning of a file, however short; bad CRCs are skipped. Never raises."""
+def crc_ok(c: Chunk, payload: bytes) -> bool | None:
+    """Whether a payload has the CRC of its header; None where the header has none."""
+    return zlib.crc32(payload) == c.stored_crc if c.flags & CRC_FLAG else None
+
+
+def metadata_of(read, size: int) -> tuple[dict | None, list[tuple[str, str]], tuple[str | None, bytes] | None]:
+    """HEAD, META and COVR among the first `size` bytes of what read(offset, length) reads; bad CRCs are skipped. Never raises."""
     h, m, c = None, [], None
     try:
-        for x in index(lambda at, n: data[at : at + n], len(data), lambda f, _: f in ("HEAD", "META", "COVR"), prefix=True):
+        for x in index(read, size, lambda f, _: f in ("HEAD", "META", "COVR"), prefix=True):
             if x.payload is None or x.crc_ok is False:
                 continue
             if x.fourcc == "HEAD":
@@ -271,3 +280,8 @@ def metadata(data: bytes) -> tuple[dict | None, list[tuple[str, str]], tuple[str
     except ContainerError:
         pass
     return h, m, c
+
+
+def metadata(data: bytes) -> tuple[dict | None, list[tuple[str, str]], tuple[str | None, bytes] | None]:
+    """The same from the beginning of a file, however short."""
+    return metadata_of(lambda at, n: data[at : at + n], len(data))

@@ -5,13 +5,14 @@ Offsets are 64-bit throughout, and the fragment offset in the header is not reli
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import struct
 import zlib
 
 # Fixed values of the format.
-MAGIC, VERSION, FRAGMENT_VERSION, HEADER, TRACK_ID_LIMIT = b"MP5P", 1, 1, 40, 128
+MAGIC, VERSION, FRAGMENT_VERSION, HEADER, FRAGMENT_HEADER, TRACK_ID_LIMIT = b"MP5P", 1, 1, 40, 14, 128
 DEFAULT_PAYLOAD, MOST_PAYLOAD = 12 << 20, 16 << 20
 
 
@@ -29,21 +30,44 @@ def fragment(track: str, part: int, parts: int, payload: bytes) -> bytes:
     return bytes([FRAGMENT_VERSION, len(name)]) + name + struct.pack("<HHII", part, parts, len(payload), zlib.crc32(payload)) + payload
 
 
-def read_fragment(data: bytes) -> dict | None:
-    """A fragment's fields, or None where its header is wrong."""
+def _header(data: bytes) -> tuple | None:
+    """Name, part, parts, payload's size and CRC, and where the payload begins."""
     if len(data) < 14 or data[0] != FRAGMENT_VERSION or data[1] > TRACK_ID_LIMIT or 14 + data[1] > len(data):
         return None
     at = 2 + data[1]
-    track = data[2:at].decode("utf-8", "replace")
-    part, parts, size, crc = struct.unpack_from("<HHII", data, at)
+    return data[2:at].decode("utf-8", "replace"), *struct.unpack_from("<HHII", data, at), at
+
+
+def fragment_header(data: bytes) -> dict | None:
+    """The name and place of a fragment of a stem, from its first bytes."""
+    found = _header(data)
+    return found and {"stem_id": found[0], "part_index": found[1], "part_count": found[2]}
+
+
+def fragment_prefix(data: bytes) -> bytes:
+    """What there is of a fragment's payload; empty where its header is wrong."""
+    found = _header(data)
+    return data[found[5] + 12 :][: found[3]] if found else b""
+
+
+def read_fragment(data: bytes) -> dict | None:
+    """A fragment's fields, or None where its header is wrong."""
+    found = _header(data)
+    if not found:
+        return None
+    track, part, parts, size, crc, at = found
     payload = data[at + 12 : at + 12 + size]
     if size > MOST_PAYLOAD or len(payload) < size or not re.fullmatch(r"[A-Za-z0-9_-]+", track):
         return None
     return {"track_id": track, "part_index": part, "part_count": parts, "payload_crc": crc, "crc_ok": zlib.crc32(payload) == crc, "payload": payload}
 
 
+def payload_limit(most: int) -> int:
+    return max(1024, min(most, MOST_PAYLOAD))
+
+
 def split(track: str, data: bytes, most: int = DEFAULT_PAYLOAD) -> list[bytes]:
-    most = max(1024, min(most, MOST_PAYLOAD))
+    most = payload_limit(most)
     parts = -(-len(data) // most)
     return [fragment(track, k, parts, data[k * most : (k + 1) * most]) for k in range(parts)]
 
@@ -63,18 +87,24 @@ def joined(fragments: list[dict]) -> tuple[bytes | None, list[str]]:
     return (None, issues) if issues else (b"".join(by[k]["payload"] for k in range(n)), [])
 
 
+def head(manifest: dict, entries: list[tuple[str, int, int]], segments: list[int] = ()) -> bytes:
+    """Header, manifest and directory. entries: track, start and length of each fragment in the fragments laid end to end. segments: where each further file begins in them, if there are any."""
+    text = json.dumps(manifest | ({"segments": list(segments)} if segments else {}), ensure_ascii=False).encode()
+    names = [t.encode() for t, _, _ in entries]
+    directory_at = HEADER + len(text)
+    at = directory_at + 4 + sum(len(n) + 18 for n in names)
+    rows = [struct.pack("<H", len(n)) + n + struct.pack("<QQ", at + start, size) for n, (_, start, size) in zip(names, entries, strict=True)]
+    first = MAGIC + struct.pack("<BBHIQQQ", VERSION, 0, 0, len(text), HEADER, directory_at, 0)
+    return first.ljust(HEADER, b"\0") + text + struct.pack("<I", len(entries)) + b"".join(rows)
+
+
 def write(manifest: dict, tracks: list[tuple[str, bytes]], most: int = DEFAULT_PAYLOAD) -> bytes:
-    text = json.dumps(manifest, ensure_ascii=False).encode()
     records = [(t, f) for t, data in tracks for f in split(t, data, most)]
-    directory_at = HEADER + len(text)
-    entry = [len(t.encode()) + 2 + 16 for t, _ in records]
-    at = directory_at + 4 + sum(entry)
-    rows = [struct.pack("<I", len(records))]
+    entries, at = [], 0
     for t, f in records:
-        rows.append(struct.pack("<H", len(t.encode())) + t.encode() + struct.pack("<QQ", at, len(f)))
+        entries.append((t, at, len(f)))
         at += len(f)
-    head = MAGIC + struct.pack("<BBHIQQQ", VERSION, 0, 0, len(text), HEADER, directory_at, 0)
-    return head.ljust(HEADER, b"\0") + text + b"".join(rows) + b"".join(f for _, f in records)
+    return head(manifest, entries) + b"".join(f for _, f in records)
 
 
 def index(read) -> tuple[dict, list[tuple[str, int, int]]]:
@@ -101,6 +131,16 @@ def _index(read) -> tuple[dict, list[tuple[str, int, int]]]:
     return manifest, out
 
 
+def place(manifest: dict, entries: list[tuple[str, int, int]], at: int) -> tuple[int | None, int]:
+    """The segment file (None: the package itself) and the offset in it of a directory entry that begins at `at`."""
+    starts = manifest.get("segments") or []
+    if not starts:
+        return None, at
+    inside = at - min(e[1] for e in entries[:1])  # the first entry is where fragments begin
+    k = bisect.bisect_right(starts, inside) - 1
+    return k, inside - starts[k]
+
+
 # ---------------------------------------------------------------- stem data
 
 STDA_VERSION, MOST_STEM = 1, 256 * 1024 * 1024

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tessera.kernels import container as ct
 from tessera.kernels import lossless, package, signal
 from tessera.plans import queries as plans
+from tessera.scratch import scratch
+from tessera.sources import chunk_source, packages, sink
 from tessera.sources.containers import chunk_rows, pack_text, parse_files
 
 QUERIES = plans.QUERIES
@@ -56,6 +58,61 @@ def _pcm(text: str) -> np.ndarray:
     return np.frombuffer(raw[: len(raw) // 2 * 2], "<i2").astype(np.int16)
 
 
+def _at(df, name: str) -> str:
+    """A new folder for files that a query writes and reads back."""
+    return scratch(df.sparkSession, name)
+
+
+@query("SELECT 'doc-' || doc_id AS name, (10 + strlen(text))::BIGINT AS audio_bytes, sha256(text) AS sha256 FROM documents")
+def written_containers(t):
+    # chunk rows go through the sink; only audio chunks are read back
+    chunks = chunk_rows(pack_text(t("documents"))).select("path", "chunk_no", "fourcc", "payload")
+    at = _at(chunks, "containers")
+    sink.write_containers(chunks, at)
+    read = chunk_source.read_chunks(chunks.sparkSession, at, ["path", "fourcc", "repeat_index", "payload_length", "crc_ok", "payload"], "all").where("fourcc = 'AUDI' AND repeat_index = 0 AND crc_ok")
+    return read.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("payload_length").alias("audio_bytes"), F.sha2(F.expr("substring(payload, 11)"), 256).alias("sha256"))
+
+
+@query("SELECT 'doc-' || doc_id AS name, 'Document ' || doc_id AS title, source AS album, lang AS language, (strlen(text) // 2)::BIGINT AS total_samples FROM documents")
+def written_metadata(t):
+    # what files begin with, audio passed over
+    from tessera.operators.catalog import meta_value
+
+    files = pack_text(t("documents"))
+    at = _at(files, "heads")
+    sink.write_files(files, at)
+    listed = files.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(at)
+    heads = chunk_source.read_metadata(listed)
+    return heads.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), *[meta_value(F.col("meta"), k).alias(k) for k in ("title", "album", "language")], "total_samples")
+
+
+@query("SELECT source AS album, doc_id, ceil(strlen(text) / 1024.0)::BIGINT AS parts, sha256(text) AS sha256, true AS hash_ok, true AS length_ok FROM documents WHERE strlen(text) > 0")
+def written_packages(t):
+    # documents as tracks of their source's album, in segments of a megabyte; a text without bytes has no fragments
+    d = t("documents")
+    tracks = d.select(F.col("source").alias("album"), F.concat(F.lit("d"), "doc_id").alias("track_id"), F.col("doc_id").alias("pos"), F.col("text").cast("binary").alias("content"))
+    at = _at(d, "packages")
+    sink.write_packages(tracks, at, 1024, 1 << 20)
+    parts = packages.fragments(packages.index_folder(d.sparkSession, at))
+    known = parts.select("path").distinct().withColumn("album", F.regexp_extract("path", "([^/]*)$", 1))
+    expected = tracks.join(known, "album").select("path", "track_id", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
+    whole = packages.load_tracks(parts, expected).join(packages.report(parts).select("path", "track_id", "fragments"), ["path", "track_id"])
+    return whole.select(F.regexp_extract("path", "([^/]*)$", 1).alias("album"), F.expr("CAST(substring(track_id, 2) AS BIGINT)").alias("doc_id"), F.col("fragments").alias("parts"), "sha256", "hash_ok", "length_ok")
+
+
+@query("SELECT source AS album, doc_id, 'Document ' || doc_id AS title, (strlen(text) // 2)::BIGINT AS total_samples FROM documents")
+def packaged_metadata(t):
+    # container files as tracks of packages, of which only the first kilobytes are read
+    from tessera.operators.catalog import meta_value
+
+    d = t("documents")
+    files = pack_text(d).join(d.select(F.concat(F.lit("doc-"), "doc_id").alias("path"), "doc_id", F.col("source").alias("album")), "path")
+    at = _at(d, "tracks")
+    sink.write_packages(files.select("album", F.concat(F.lit("d"), "doc_id").alias("track_id"), F.col("doc_id").alias("pos"), "content"), at, 4096)
+    heads = packages.track_metadata(packages.index_folder(d.sparkSession, at), 2048)
+    return heads.select(F.regexp_extract("package", "([^/]*)$", 1).alias("album"), F.expr("CAST(substring(track_id, 2) AS BIGINT)").alias("doc_id"), meta_value(F.col("meta"), "title").alias("title"), "total_samples")
+
+
 @query("SELECT doc_id, (strlen(text) // 2)::BIGINT AS samples, true AS mono_exact, true AS stereo_exact, true AS raw_exact FROM documents")
 def lossless_roundtrip(t):
     def make(doc_id, text):

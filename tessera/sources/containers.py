@@ -1,13 +1,13 @@
-"""Container files as DataFrames: an eager scan, and a data source that seeks past the payloads it isn't asked for."""
+"""Container files as DataFrames: an eager scan, chunk rows of files in memory, and texts as files. The source that reads by seeks is chunk_source."""
 
 from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.kernels import container as ct
+from tessera.sources.chunk_source import register  # noqa: F401
 
 FILES = "path string, size long, parse_error string, warnings array<string>, codec_id int, channels int, bits int, preset int, sample_rate long, total_samples long, encoder int, meta array<struct<key:string,value:string>>, cover_mime string, n_frames long, n_seek long, n_peaks long, n_corr long, optional array<string>, n_fragments long"
 CHUNKS = "path string, chunk_no int, fourcc string, chunk_offset long, payload_offset long, payload_length long, flags int, stored_crc long, repeat_index int, crc_ok boolean, payload binary"
@@ -63,61 +63,6 @@ def chunk_rows(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, CHUNKS)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.root, self.all = options["path"], options.get("payloads", "small").lower() == "all"
-
-    def partitions(self):
-        from pyarrow import fs
-
-        local = "://" not in self.root
-        system, base = (fs.LocalFileSystem(), self.root) if local else fs.FileSystem.from_uri(self.root)
-        found = system.get_file_info(fs.FileSelector(base, recursive=True)) if system.get_file_info(base).type == fs.FileType.Directory else [system.get_file_info(base)]
-        head = "" if local else self.root[: self.root.index("://") + 3]
-        return [_File(head + f.path if local or head != "file://" else "file://" + f.path) for f in found if f.type == fs.FileType.File]
-
-    def read(self, part):
-        from pyarrow import fs
-
-        system, name = (fs.LocalFileSystem(), part.path) if "://" not in part.path else fs.FileSystem.from_uri(part.path)
-        with system.open_input_file(name) as f:
-            size = f.size()
-
-            def read(at, n):
-                f.seek(at)
-                return f.read(n)
-
-            try:
-                for c in ct.index(read, size, (lambda *_: True) if self.all else ct.wanted):
-                    yield (part.path, c.number, c.fourcc, c.offset, c.payload_offset, c.length, c.flags, c.stored_crc, c.repeat, c.crc_ok, c.payload)
-            except ct.ContainerError:
-                return
-
-
-class ContainerSource(DataSource):
-    """spark.read.format("tessera_chunks").load(path): chunk rows; large payloads stay null unless payloads=all."""
-
-    @classmethod
-    def name(cls):
-        return "tessera_chunks"
-
-    def schema(self):
-        return CHUNKS
-
-    def reader(self, schema):
-        return _Reader(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(ContainerSource)
-
-
 def pack_text(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, source, lang) as container files: path, content. The text's bytes are one audio frame."""
 

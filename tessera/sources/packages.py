@@ -1,12 +1,16 @@
-"""Album packages as DataFrames: directory rows, fragments by range, tracks put together and checked, and the writer."""
+"""Album packages as DataFrames: directory rows, fragments by range, tracks put together and checked, and what packaged tracks begin with. The sink writes them."""
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from tessera.functions.text import hash_or_null, same_hash
 from tessera.kernels import package
+from tessera.operators import scans
+from tessera.sources import chunk_source
 
 
 def _open(uri: str):
@@ -51,11 +55,14 @@ def load_payloads(chunks: DataFrame, keys: DataFrame) -> DataFrame:
     return got.select("path", "fourcc", "repeat_index", "payload", (F.crc32("payload") == F.col("stored_crc")).alias("crc_ok"))
 
 
-DIRECTORY = "path string, pos int, track_id string, at long, length long, problem string"
+DIRECTORY = "package string, path string, pos int, track_id string, at long, length long, problem string"
 
 
 def index_packages(paths: DataFrame) -> DataFrame:
-    """A row per directory entry of the packages (path): header, manifest and directory are read, nothing else. A bad file is one row with a problem."""
+    """A row per directory entry of the packages (path): header, manifest and directory are read, nothing else. A bad file is one row with a problem.
+
+    path is the file that has the fragment: the package, or one of its segments.
+    """
 
     def run(batches):
         for b in batches:
@@ -63,32 +70,47 @@ def index_packages(paths: DataFrame) -> DataFrame:
             for path in b.column("path").to_pylist():
                 try:
                     with _open(path) as f:
-                        _, entries = package.index(_reader(f))
-                    rows += [(path, k, t, at, n, None) for k, (t, at, n) in enumerate(entries)]
+                        manifest, entries = package.index(_reader(f))
+                    for k, (t, at, n) in enumerate(entries):
+                        segment, offset = package.place(manifest, entries, at)
+                        rows.append((path, path if segment is None else f"{path}.{segment:05d}", k, t, offset, n, None))
                 except (ValueError, OSError) as e:
-                    rows.append((path, None, None, None, None, str(e)))
+                    rows.append((path, path, None, None, None, None, str(e)))
             c = list(zip(*rows, strict=True))
             if c:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["path", "pos", "track_id", "at", "length", "problem"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["package", "path", "pos", "track_id", "at", "length", "problem"])
 
     return paths.select("path").mapInArrow(run, DIRECTORY)
 
 
+def index_folder(spark: SparkSession, root: str) -> DataFrame:
+    """The same for the packages that the sink wrote under root; a package's segments may lie in other folders of it than the package."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    name = F.regexp_extract("path", r"/part-[0-9a-f]{32}/(.*)$", 1)
+    files = files.select("path", name.alias("name")).where("name <> ''")
+    rows = index_packages(files.where(r"NOT name RLIKE '[.][0-9]{5}$'"))
+    segments = files.where(r"name RLIKE '[.][0-9]{5}$'").select(F.col("path").alias("_found"), F.col("name").alias("_name"))
+    alone, cut = rows.where("path = package"), rows.where("path <> package")
+    cut = cut.withColumn("_name", F.regexp_extract("path", r"/part-[0-9a-f]{32}/(.*)$", 1)).join(segments, "_name", "left")
+    missing = F.coalesce("problem", F.when(F.col("_found").isNull(), "a segment is missing"))
+    return alone.unionByName(cut.select("package", F.coalesce("_found", "path").alias("path"), "pos", "track_id", "at", "length", missing.alias("problem")))
+
+
 def fragments(directory: DataFrame) -> DataFrame:
-    """The directory's records read and decoded: path, track_id, part_index, part_count, crc_ok, payload. A record that is none has a null part."""
+    """The directory's records read and decoded: path (of the package), track_id, part_index, part_count, crc_ok, payload. A record that is none has a null part."""
 
     def run(batches):
         kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
         names = ["path", "track_id", "part_index", "part_count", "crc_ok", "payload"]
         for b in batches:
             rows = []
-            for path, track, raw in zip(*(b.column(c).to_pylist() for c in ("path", "track_id", "payload")), strict=True):
+            for path, track, raw in zip(*(b.column(c).to_pylist() for c in ("package", "track_id", "payload")), strict=True):
                 f = package.read_fragment(raw)
                 rows.append((path, track, f["part_index"], f["part_count"], f["crc_ok"], f["payload"]) if f and f["track_id"] == track else (path, track, None, None, False, None))
             c = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names)
 
-    some = directory.where("problem IS NULL").select("path", "at", "length", "track_id")
+    some = directory.where("problem IS NULL").select("path", "at", "length", "track_id", "package")
     return read_ranges(some).mapInArrow(run, "path string, track_id string, part_index int, part_count int, crc_ok boolean, payload binary")
 
 
@@ -100,20 +122,43 @@ def report(parts: DataFrame) -> DataFrame:
     return g.select("path", "track_id", "fragments", missing.alias("missing"), "bad_crc", F.coalesce(ok, F.lit(False)).alias("complete"))
 
 
-def load_tracks(parts: DataFrame) -> DataFrame:
-    """Per complete track its bytes and SHA-256. A track is one row, as a file is."""
+def load_tracks(parts: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """Per complete track its bytes and SHA-256. A track is one row, as a file is.
+
+    expected (path, track_id, sha256, bytes): also hash_ok and length_ok, null where nothing is expected.
+    """
     whole = report(parts).where("complete").select("path", "track_id")
     got = parts.join(whole, ["path", "track_id"]).groupBy("path", "track_id").agg(F.array_sort(F.collect_list(F.struct("part_index", "payload"))).alias("a"))
     data = F.aggregate("a", F.lit(b""), lambda acc, x: F.concat(acc, x["payload"]))
-    return got.select("path", "track_id", data.alias("content")).withColumn("sha256", F.sha2("content", 256))
-
+    out = got.select("path", "track_id", data.alias("content")).withColumn("sha256", F.sha2("content", 256))
+    if expected is None:
+        return out
+    want = expected.select("path", "track_id", hash_or_null(F.col("sha256")).alias("_hash"), F.col("bytes").alias("_bytes"))
+    out = out.join(want, ["path", "track_id"], "left")
+    return out.select("path", "track_id", "content", "sha256", same_hash(F.col("_hash"), F.col("sha256")).alias("hash_ok"), (F.octet_length("content") == F.col("_bytes")).alias("length_ok"))
+
+
+def track_metadata(directory: DataFrame, prefix: int = chunk_source.PREFIX) -> DataFrame:
+    """HEAD, META and COVR of packaged container files, from the first `prefix` bytes of each: chunk_source.HEADS without path and length, by package and track_id.
+
+    Only fragments that begin before that are read, and of them only what lies before it.
+    """
+    header = package.FRAGMENT_HEADER + F.octet_length("track_id")
+    some = directory.where("problem IS NULL").withColumn("header", header)
+    some = scans.running(some, ["package", "track_id"], ["pos"], {"before": F.col("length") - F.col("header")}, before=True).where(F.col("before") < prefix)
+    some = some.withColumn("length", F.least("length", F.lit(prefix) - F.col("before") + F.col("header")).cast("long"))
+    names = [c for c in chunk_source.HEADS.split(", ") if c.split()[0] not in ("path", "length")]
+    schema = directory.sparkSession.createDataFrame([], "package string, track_id string, " + ", ".join(names)).schema
+    arrow = to_arrow_schema(schema)
 
-def build_packages(files: DataFrame, most: int = package.DEFAULT_PAYLOAD) -> DataFrame:
-    """files (album, track_id, pos, content) as one package per album: album, content. The format keeps an album in one file."""
-
-    def make(pdf):
-        pdf = pdf.sort_values("pos")
-        manifest = {"format": "embedded", "version": 1, "tracks": [{"trackId": t} for t in pdf.track_id]}
-        return pdf.head(1)[["album"]].assign(content=[package.write(manifest, list(zip(pdf.track_id, map(bytes, pdf.content), strict=True)), most)])
-
-    return files.groupBy("album").applyInPandas(make, "album string, content binary")
+    def run(batches):
+        for b in batches:
+            rows = []
+            for name, track, pieces in zip(*(b.column(c).to_pylist() for c in ("package", "track_id", "pieces")), strict=True):
+                data = b"".join(package.fragment_prefix(x["payload"]) for x in pieces)
+                rows.append({"package": name, "track_id": track} | chunk_source.metadata_row(lambda at, n, data=data: data[at : at + n], len(data), prefix))
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    read = read_ranges(some.select("path", "at", "length", "track_id", "package", "pos"))
+    whole = read.groupBy("package", "track_id").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("pieces"))  # `prefix` bytes at most
+    return whole.mapInArrow(run, schema)

@@ -5,14 +5,15 @@ import hashlib
 from pyspark.sql import functions as F
 
 from tessera.kernels import container as ct
+from tessera.kernels import package
 from tessera.operators.store import Store
 from tessera.sources import containers, packages
 
 
 def test_packages(spark, tmp_path):
     tracks = [("alb", "t1", 2, b"a" * 3000), ("alb", "t2", 1, b"b" * 10)]
-    made = packages.build_packages(spark.createDataFrame(tracks, "album string, track_id string, pos int, content binary"), 1024).collect()
-    (tmp_path / "alb.bin").write_bytes(made[0].content)
+    by_pos = sorted(tracks, key=lambda t: t[2])
+    (tmp_path / "alb.bin").write_bytes(package.write({"format": "embedded", "tracks": []}, [(t, c) for _, t, _, c in by_pos], 1024))
     (tmp_path / "bad.bin").write_bytes(b"??")
     paths = spark.createDataFrame([(str(tmp_path / n),) for n in ("alb.bin", "bad.bin")], "path string")
     directory = packages.index_packages(paths)

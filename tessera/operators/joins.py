@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import scans
+from tessera.operators import intervals, scans
 
 
 def as_of(left: DataFrame, right: DataFrame, key: Sequence[str], left_time: str, right_time: str, values: Sequence[str]) -> DataFrame:
@@ -52,11 +52,11 @@ def by_position(entries: DataFrame, parts: DataFrame, group: str, entry_order: s
 def in_range(points: DataFrame, ranges: DataFrame, at: str, early: float = 0.05) -> DataFrame:
     """points with the names of the ranges (name, low, high, looped) that hold them, and loop or stop from high - early on.
 
-    ranges is a table of a person's marks, so it is sent to all tasks; a caller with many ranges buckets both sides first.
+    An equi-join on bins, so there may be any number of ranges.
     """
-    hit = (F.col(at) >= F.col("low")) & (F.col(at) < F.col("high"))
     late = F.col(at) >= F.col("high") - early
-    return points.join(F.broadcast(ranges), hit).withColumn("action", F.when(late & F.col("looped"), "loop").when(late, "stop").otherwise("play"))
+    held = intervals.holding(points, ranges.select("name", "low", "high", "looped"), at)
+    return held.withColumn("action", F.when(late & F.col("looped"), "loop").when(late, "stop").otherwise("play"))
 
 
 def append_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

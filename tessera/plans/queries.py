@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
 from tessera.operators import catalog as cat
-from tessera.operators import folds, joins, ranking, scans
+from tessera.operators import folds, intervals, joins, ranking, scans
 from tessera.operators import library as lib
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +161,17 @@ def range_tick(t):
     return joins.in_range(e, r, "value").select("event_id", "name", "action")
 
 
+@query(
+    "WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / 200 AS low, l_extendedprice / 200 + l_tax * l_quantity / 100 + 0.001 AS high FROM lineitem) "
+    "SELECT l_orderkey, l_linenumber, l_partkey, event_id FROM events JOIN r ON value >= low AND value < high"
+)
+def many_ranges(t):
+    # a range for each line item, from a thousandth to four wide
+    low = F.col("l_extendedprice") / 200
+    r = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", low.alias("low"), (low + F.col("l_tax") * F.col("l_quantity") / 100 + 0.001).alias("high"))
+    return intervals.holding(t("events").select("event_id", "value"), r, "value").select("l_orderkey", "l_linenumber", "l_partkey", "event_id")
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0")
 def append_without_repeats(t):
     c = t("customer").select("c_custkey", "c_name")
@@ -349,8 +360,9 @@ def quietest_window(t):
 def named_sections(t):
     e = t("events")
     s = e.sparkSession.createDataFrame([("open", 0, 400), ("quiet", 200, 900), ("end", 800, 10**12)], "name string, low long, high long")
-    j = e.join(F.broadcast(s), (F.col("event_id") >= F.col("low")) & (F.col("event_id") < F.col("high")))  # as many rows as named sections
-    return j.groupBy("name").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("peak"))
+    j = intervals.holding(e, s, "event_id")
+    mean = F.avg(F.col("value").cast("decimal(18,4)")).cast("double")  # exact, in whatever order rows come
+    return j.groupBy("name").agg(F.count("*").alias("n"), F.round(mean, 4).alias("mean"), F.max("value").alias("peak"))
 
 
 @query(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.kernels import container as ct
 from tessera.sources.chunk_source import register  # noqa: F401
@@ -22,17 +25,17 @@ def _row(path: str, data: bytes) -> dict:
     return out | p.head | {"warnings": p.warnings, "meta": [{"key": k, "value": v} for k, v in p.meta], "cover_mime": p.cover[0] if p.cover else None, "n_frames": len(p.frames), "n_seek": len(p.seek), "n_peaks": len(p.wave), "n_corr": len(p.corr), "optional": list(p.optional), "n_fragments": len(p.fragments)}
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """files (path, content) as one row each, FILES; a bad file has a parse_error and no rows are lost."""
-    spark = files.sparkSession
-    schema = spark.createDataFrame([], FILES).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+def parse_files(files: DataFrame, fingerprint: bool = False) -> DataFrame:
+    """files (path, content) as one row each, FILES (and fingerprint, the SHA-256 of the bytes); a bad file has a parse_error and no rows are lost."""
+    schema = files.sparkSession.createDataFrame([], FILES + (", fingerprint string" if fingerprint else "")).schema
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for b in batches:
-            rows = [_row(p, c) for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True)]
+            rows = []
+            for p, c in zip(b.column("path"), b.column("content"), strict=True):
+                data = c.as_py() or b""  # one file at a time; rows hold no payloads
+                rows.append(_row(p.as_py(), data) | ({"fingerprint": hashlib.sha256(data).hexdigest()} if fingerprint else {}))
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
     return files.select("path", "content").mapInArrow(run, schema)

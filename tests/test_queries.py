@@ -3,7 +3,7 @@
 import pytest
 
 from tessera.plans import codec_queries as plans
-from tessera.plans import library_queries  # noqa: F401  (registers its queries with the others)
+from tessera.plans import ingest_queries, library_queries  # noqa: F401  (they register their queries with the others)
 from tests.oracle import database, same
 
 

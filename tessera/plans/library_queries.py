@@ -329,6 +329,49 @@ def highlights_parse(t):
 # ---------------------------------------------------------------- records and limits
 
 
+@query(
+    "SELECT p_partkey, p_size % 10 <> 0 AS kept, CASE WHEN p_size % 10 <> 0 AND p_size % 4 <> 0 THEN [p_type, p_brand] END AS moods, CASE WHEN p_size % 10 <> 0 THEN p_name END AS hook, CASE WHEN p_size % 10 <> 0 THEN p_size % 3 = 0 END AS explicit, "
+    "CASE WHEN p_size % 10 <> 0 THEN least(p_size / 20.0, 1.0) END AS confidence, CASE WHEN p_size % 10 <> 0 THEN CASE WHEN p_size % 2 = 0 THEN sha256(p_name) ELSE sha256(p_type) END END AS identity FROM part"
+)
+def faulty_records(t):
+    # a quarter of the mood records is no JSON; a tenth of the parts has one record that is too long, which nulls all of theirs
+    from tessera.functions import records
+
+    p, s = t("part"), F.col("p_size")
+    pack = lambda **c: F.to_json(F.struct(*[x.alias(n) for n, x in c.items()]))
+    chunks = F.create_map(
+        F.lit("MOOD"), F.when(s % 4 == 0, F.concat(F.lit('{"tags": ["'), "p_type")).otherwise(pack(tags=F.array("p_type", "p_brand", F.lit(" ")), energy=F.lit("high"))),
+        F.lit("HOOK"), pack(startMs=F.col("p_partkey"), label=F.col("p_name"), sectionId=s),
+        F.lit("EXPL"), pack(explicit=s % 3 == 0, violence=F.lit("true"), confidence=s / 20), F.lit("VIBE"), F.when(s % 10 == 0, F.concat(F.lit('{"tags": ["'), F.repeat(F.lit("x"), 70_000), F.lit('"]}'))).otherwise(F.lit("[]")),
+        F.lit("FING"), pack(audiHash=F.sha2("p_type", 256), fileHash=F.upper(F.sha2("p_name", 256)), audioFingerprintType=F.when(s % 2 == 0, "sha256-file").otherwise("sha256-audi")),
+    )
+    r = records.read_all(p.select("p_partkey", chunks.alias("c")), "c", "r")
+    return r.select("p_partkey", F.col("r").isNotNull().alias("kept"), F.col("r.mood.tags").alias("moods"), F.col("r.hook.label").alias("hook"), F.col("r.expl.explicit").alias("explicit"), F.col("r.expl.confidence").alias("confidence"), F.col("r.fing.identity").alias("identity"))
+
+
+@query(
+    "SELECT 'doc-' || doc_id AS path, 'Document ' || doc_id AS title, '' AS artist, source AS album, lang AS genre, (10 * n_chars + 1) / 44100.0 AS duration_sec, CASE n_chars % 3 WHEN 0 THEN 'PCM (reference / debug)' WHEN 1 THEN 'MP5-C (experimental / lab)' ELSE 'MP5-L v3 (lossless · default)' END AS codec_label, "
+    "CASE WHEN n_chars % 2 = 0 THEN [lang, 'calm'] ELSE [] END AS mood_tags, []::VARCHAR[] AS vibe_tags, n_chars % 5 = 0 AS has_guidance, CASE WHEN n_chars % 5 = 0 THEN 'Explicit · ' || source || ' · Listener comfort' ELSE '' END AS guidance, strlen(text) > 0 AS has_cover, n_chars % 7 = 0 AS has_lyrics, false AS has_stems, 0 AS stem_count, "
+    "CASE WHEN n_chars % 3 = 1 THEN ['Lab/research codec. May add audible hiss on all presets. Not recommended for normal listening.', 'Not the default MP5-L v3 listening mode.'] ELSE [] END AS format_warnings, NULL::VARCHAR AS parse_error, "
+    "sha256(text) AS fingerprint_key, true AS has_fingerprint, CASE WHEN strlen(text) BETWEEN 1 AND 49152 THEN sha256(text) END AS thumbnail, CASE WHEN strlen(text) BETWEEN 1 AND 49152 THEN 'text/plain' END AS thumbnail_mime FROM documents"
+)
+def metadata_summary(t):
+    # documents as files, their texts as covers
+    from tessera.operators import summary
+
+    d, n = t("documents"), F.col("n_chars")
+    pack = lambda **c: F.to_json(F.struct(*[x.alias(k) for k, x in c.items()]))
+    texts = {
+        "MOOD": F.when(n % 2 == 0, pack(tags=F.array(F.col("lang"), F.lit(" calm ")))).otherwise("{broken"), "EXPL": pack(explicit=n % 5 == 0, contentWarnings=F.when(n % 5 == 0, F.array("source"))), "FING": pack(pcmHash=F.sha2("text", 256), fileHash=F.lit("x")),
+        "SAFE": F.when(n % 5 == 0, F.lit("{}")), "LYRC": F.when(n % 7 == 0, F.lit("la")),
+    }
+    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in texts.items()]), lambda x: x["v"].isNotNull())
+    meta = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("Title", F.concat(F.lit("Document "), "doc_id")), ("ALBUM", F.col("source")), ("genre", F.col("lang")))])
+    files = d.select(F.concat(F.lit("doc-"), "doc_id").alias("path"), F.lit(None).cast("string").alias("parse_error"), meta.alias("meta"), (n % 3).cast("int").alias("codec_id"), F.lit(44100).alias("sample_rate"), (n * 10 + 1).alias("total_samples"), F.lit(0).alias("n_corr"), F.col("text").cast("binary").alias("cover"), F.lit("text/plain").alias("cover_mime"), F.map_from_entries(entries).alias("texts"))
+    out = summary.summary(files)
+    return out.withColumns({"thumbnail": F.sha2("thumbnail", 256), "duration_sec": F.col("duration_sec").cast("double")})
+
+
 @query(
     "SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN p_partkey * 10 END AS start_ms, CASE WHEN p_size % 7 > 0 THEN p_name END AS label, [p_brand] AS producer, CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'unknown' END AS remix, "
     "'https://x.org/' || p_partkey AS url, CASE WHEN p_partkey >= 10 THEN '00123456' || p_partkey END AS upc, sha256(p_name) AS file_hash, CASE WHEN p_size % 3 = 0 THEN 'HEAD' END AS chunk, p_size % 5 = 0 AS no_stem, CASE WHEN p_size % 5 > 0 THEN least(p_size / 10.0, 2.0) END AS volume FROM part"

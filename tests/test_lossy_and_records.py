@@ -68,7 +68,7 @@ def test_records(spark):
     s = spark.createDataFrame([(json.dumps({"sections": [{"start": 9, "type": "Chorus", "confidence": 7}, {"startMs": 1, "type": "odd"}, {"type": "verse"}]}),)], "j string").select(records.sections(F.col("j")).alias("s")).first().s
     assert [(x.startMs, x.type, x.confidence) for x in s] == [(1, "custom", None), (9, "chorus", 1.0)]
     assert first(spark, lambda j: records.theme(j, "a", "b"), {"a": "#FFF", "b": "red"}) == {"a": "#ffffff", "b": None}
-    f = first(spark, records.fingerprint, {"audioHash": "A" * 64, "fileHash": "b" * 64, "pcmHash": "short"})
+    f = first(spark, records.fingerprint, {"audiHash": "A" * 64, "fileHash": "b" * 64, "pcmHash": "short"})
     assert f["identity"] == "a" * 64 and f["pcmHash"] is None
 
 

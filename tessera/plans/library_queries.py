@@ -326,6 +326,27 @@ def highlights_parse(t):
     return got.drop("n")
 
 
+@query(
+    "WITH x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, least(32767, floor(value * 50))::BIGINT AS o, (least(32767, floor(value * 50))::BIGINT // 8) * 8 AS d FROM events), "
+    "f AS (SELECT user_id, i, o, d, o / 32768.0 AS s, (o - d) / 32768.0 AS e, (o - d) / 32768.0 - lag((o - d) / 32768.0) OVER (PARTITION BY user_id ORDER BY i) AS h FROM x), "
+    "g AS (SELECT user_id, count(*) AS n, sum(s * s) AS p, sum(e * e) AS q, sum(s * s) FILTER (s < 10 ** (-2.1)) AS qp, sum(e * e) FILTER (s < 10 ** (-2.1)) AS qq, count(*) FILTER (s < 10 ** (-2.1)) AS qn, sum(h * h) AS hf, sum(e * e) FILTER (i > 0) AS lf, max(e) AS peak, max(d) AS largest, count(*) FILTER (d > 0) AS nz FROM f GROUP BY 1), "
+    "w AS (SELECT a.user_id, a.i, sum(b.s * b.s) AS p, sum(b.e * b.e) AS q, count(*) AS n FROM f a JOIN f b ON a.user_id = b.user_id AND b.i >= a.i AND b.i < a.i + 23 WHERE a.i % 5 = 0 GROUP BY 1, 2), "
+    "v AS (SELECT user_id, i, CASE WHEN q < 1e-20 THEN 120.0 ELSE 10 * log10(greatest(p, 1e-30) / q) END AS snr FROM w WHERE n = 23), m AS (SELECT user_id, min(snr) AS worst, arg_min(i, (snr, i)) AS start FROM v GROUP BY 1) "
+    "SELECT g.user_id, n AS samples, round(CASE WHEN q < 1e-20 THEN 120.0 ELSE 10 * log10(greatest(p, 1e-30) / q) END, 5) AS full_snr_db, round(CASE WHEN qn = 0 OR qp < 1e-20 OR qq < 1e-20 THEN 120.0 ELSE 10 * log10(qp / qq) END, 5) AS quiet_snr_db, "
+    "round(CASE WHEN n < 4 THEN 0 ELSE sqrt(hf / (n - 1)) END, 8) AS hf_err_rms, round(CASE WHEN n < 4 THEN 0 ELSE sqrt(lf / n) END, 8) AS lf_err_rms, round(coalesce(worst, CASE WHEN q < 1e-20 THEN 120.0 ELSE 10 * log10(greatest(p, 1e-30) / q) END), 5) AS worst_snr_db, round(coalesce(start, 0) / 23.0, 6) AS worst_start_sec, "
+    "peak AS peak_error, largest::INT AS max_abs_decoded, nz AS non_zero_samples FROM g LEFT JOIN m USING (user_id)"
+)
+def artifact_row(t):
+    # values as samples, decoded in steps of eight; windows of 23 samples, of which a quarter is no whole number
+    from tessera.operators import artifact, scans
+
+    o = F.least(F.lit(32767), F.floor(F.col("value") * 50)).cast("int")
+    x = scans.row_number(t("events").select("user_id", "ts", "event_id", o.alias("o")), ["user_id"], ["ts", "event_id"], "n").withColumns({"i": F.col("n") - 1, "d": (F.floor(F.col("o") / 8) * 8).cast("int")})
+    out = artifact.artifacts(x, "user_id", "i", "o", "d", 23, tile=1024)
+    places = {"full_snr_db": 5, "quiet_snr_db": 5, "hf_err_rms": 8, "lf_err_rms": 8, "worst_snr_db": 5, "worst_start_sec": 6}
+    return out.select("user_id", "samples", *[F.round(c, n).alias(c) for c, n in places.items()], "peak_error", "max_abs_decoded", "non_zero_samples")
+
+
 # ---------------------------------------------------------------- records and limits
 
 

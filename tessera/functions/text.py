@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.urls import href
+
 
 def sanitize(c: Column, most: int = 8192) -> Column:
     """Without control characters (tab and line breaks stay), cut to `most` characters."""
     return F.substring(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), 1, most)
 
 
-def web_url(c: Column) -> Column:
-    """The URL if it is http or https without credentials, else null."""
-    t = F.trim(c)
-    return F.when(t.rlike(r"^(?i)https?://[^/?#@\s]+([/?#]\S*)?$"), t)
+def web_url(c: Column, most: int = 2048) -> Column:
+    """The URL in the standard's form if it is http or https without credentials, else null."""
+    return href(sanitize(c, most), most)
 
 
 def hash_or_null(c: Column) -> Column:

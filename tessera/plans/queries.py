@@ -392,6 +392,19 @@ def url_scheme(t):
     return t("pages").select("page_id", fn.web_url(F.col("url")).alias("web_url"))
 
 
+@query(
+    "WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages) "
+    "SELECT page_id, 'http://' || lower(host) || path AS plain, 'https://' || lower(host) || ':8080/a%20b' || path || '?q=%22x%22&k=%C3%A9#%3Ctop%3E' AS odd, NULL::VARCHAR AS with_name FROM p"
+)
+def url_canonical(t):
+    # hosts in capitals, default ports, dot segments, backslashes and signs that are encoded
+    host, path = F.regexp_extract("url", "://([^/?#]*)", 1), F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    p = t("pages").select("page_id", F.upper(host).alias("h"), path.alias("p"))
+    plain = F.concat(F.lit(" HTTP:\\\\"), "h", F.lit(":080/x/%2E%2e/."), "p", F.lit("\n"))
+    odd = F.concat(F.lit("https:/"), "h", F.lit(":08080/a b"), "p", F.lit('?q="x"&k=é#<top>'))
+    return p.select("page_id", fn.web_url(plain).alias("plain"), fn.web_url(odd).alias("odd"), fn.web_url(F.concat(F.lit("http://me:pw@"), "h", "p")).alias("with_name"))
+
+
 @query("SELECT doc_id, '#' || substr(sha256(text), 1, 6) AS full_color, '#' || repeat(substr(sha256(text), 1, 1), 2) || repeat(substr(sha256(text), 2, 1), 2) || repeat(substr(sha256(text), 3, 1), 2) AS short_color FROM documents")
 def hex_color(t):
     d = t("documents").select("doc_id", F.sha2("text", 256).alias("h"))

@@ -1,10 +1,13 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, interpolated with unigrams, are counted over whole texts: the target model on documents labelled good
-(quality 1, not toxic), the background model on all documents. They are matched: they share one vocabulary, the lower-cased words of
-all documents, the same interpolation weights, and a smoothing in proportion to their sizes (a share EVEN of each model is spread
-evenly over the vocabulary), so that the difference doesn't measure which model is larger. A document's score is the mean over its
-tokens of target loss minus background loss, in bits: the lower, the more the document resembles the target.
+Two bigram models that back off to unigrams are counted over whole texts: the target model on documents labelled good
+(quality 1, not toxic), the background model on all documents. A document is scored by models that haven't seen it: its own counts are taken
+out of the background's, and out of the target's if it is one of the target's documents. So a good document scores alike whether or not its label was known.
+
+The models are matched: they share one vocabulary, the lower-cased words of all documents, and the background's counts are scaled to the
+target's number of tokens before both are smoothed alike (EVEN of the unigrams' mass is spread evenly over the words; a context's bigrams have the weight of
+their count against BACKOFF tokens of the unigram model). So the difference doesn't measure which model is larger, though the background is counted
+over every document. A document's score is the mean over its tokens of target loss minus background loss, in bits: the lower, the more it resembles the target.
 
 Each word, context and bigram has a count of its own, under its 64-bit hash; there are as many as the input has. Documents are
 written in chunks of CHUNK text bytes. A chunk sends its distinct hashes with their counts to ranges of the hash space (RANGE text
@@ -29,8 +32,8 @@ from tessera.llm.common import materialize, mix, slices, table, words
 
 #: Text bytes of a chunk, and of the documents per range of the hash space.
 CHUNK, RANGE = 8_000_000, 24_000_000
-#: Weight of the bigram estimate, and the share of each unigram model that is spread evenly over the words.
-LAMBDA, EVEN = 0.7, 0.01
+#: The share of each unigram model that is spread evenly over the words, and the tokens that the unigrams count for in each context.
+EVEN, BACKOFF = 0.01, 4.0
 START = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -143,27 +146,40 @@ def _total(batches):
         yield _rows([(None, kind, part, len(at), *sums, None, None), *out], TOTALS)
 
 
-def losses(one, seen, pairs, total: float, size: float) -> np.ndarray:
-    """Bits of tokens with these counts of the word, its context and the bigram, in a model of `total` tokens over `size` words."""
-    p = (1 - EVEN) * one / total + EVEN / size if total else np.full(len(one), 1 / max(size, 1))
-    q = np.where(seen > 0, np.minimum(pairs / np.maximum(seen, 1), 1.0), p)
-    return -np.log2(LAMBDA * q + (1 - LAMBDA) * p)
+def losses(one, seen, pairs, total, scale, size: float) -> np.ndarray:
+    """Bits of tokens with these counts of the word, its context and the bigram, in models of `total` tokens over `size` words; scale: what a token of a context counts for."""
+    some = np.maximum(total, 1)
+    p = np.where(total > 0, (one / some + EVEN / max(size, 1)) / (1 + EVEN), 1 / max(size, 1))
+    return -np.log2((pairs * scale + BACKOFF * p) / (seen * scale + BACKOFF))
+
+
+def own_counts(x: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Of each token: how many tokens of its text have its hash."""
+    order = np.lexsort((x, text))
+    a, b = x[order], text[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(x) else np.zeros(0, np.int64)
+    times, out = np.diff(np.append(first, len(x))), np.empty(len(x), np.int64)
+    out[order] = np.repeat(times, times)
+    return out
 
 
 def _score(totals: tuple[float, float], size: float):
     def run(batches):
         for _, (docs, *answers) in _runs(batches, "chunk"):
             part, kinds, text = _tokens_of(docs["docs"])
+            m = part.num_rows
+            n = np.bincount(text, minlength=m)
+            inside = part.column("target").to_numpy(zero_copy_only=False).astype(bool)[text]
             sides = [[], []]
             for kind, x in enumerate(kinds):
                 got = [r for r in answers if r["kind"] == kind]
                 _, at = np.unique(x, return_inverse=True)
+                own = own_counts(x, text)
                 for counts, side in zip(sides, ("target", "background"), strict=True):
                     whole = np.concatenate([unpack(r[side], r["n"]) for r in got]) if got else np.zeros(0, np.uint64)
-                    counts.append(whole.astype(np.float64)[at])
-            m = part.num_rows
-            n = np.bincount(text, minlength=m)
-            each = [losses(*counts, total, size) for counts, total in zip(sides, totals, strict=True)]
+                    counts.append(whole.astype(np.float64)[at] - (own * inside if side == "target" else own))
+            target, background = totals[0] - n[text] * inside, totals[1] - n[text]
+            each = [losses(*sides[0], target, 1.0, size), losses(*sides[1], background, target / np.maximum(background, 1), size)]
             t, b, d = (np.bincount(text, x, m) / np.maximum(n, 1) for x in (*each, each[0] - each[1]))
             none = n == 0
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *(pa.array(x, mask=none) for x in (t, b, d))], ["doc_id", "n_tokens", "target_bits", "background_bits", "score"])

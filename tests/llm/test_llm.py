@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -418,6 +419,23 @@ def test_quality(spark, odd, none):
     assert quality.accepted(odd, labels).columns == odd.columns
 
 
+def plain_bits(counts, total, scale, size):
+    one, seen, pairs = counts
+    p = (one / total + lm_scoring.EVEN / size) / (1 + lm_scoring.EVEN) if total > 0 else 1 / size
+    return -np.log2((pairs * scale + lm_scoring.BACKOFF * p) / (seen * scale + lm_scoring.BACKOFF))
+
+
+def test_lm_scoring_of_known_and_unknown_labels(spark):
+    """Good documents score alike whether their labels were given or not: each good document in both roles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1 AND toxic = 0")
+    halves = [{r.doc_id: r.score for r in lm_scoring.cross_entropy_difference(docs, labels.where(f"doc_id % 2 = {k}")).collect()} for k in (0, 1)]
+    good = [r.doc_id for r in labels.collect() if halves[0].get(r.doc_id) is not None]
+    known, unknown = (np.array([halves[d % 2 if role else 1 - d % 2][d] for d in good]) for role in (True, False))
+    others = np.array([s for d, s in halves[0].items() if s is not None and d not in set(good)])
+    assert len(good) > 100 and abs(known.mean() - unknown.mean()) < 0.1 * unknown.std() and unknown.mean() < others.mean()
+
+
 def test_lm_scoring(spark, odd, none, sf):
     labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (4, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = sorted(lm_scoring.cross_entropy_difference(odd, labels).collect(), key=str)
@@ -432,12 +450,18 @@ def test_lm_scoring(spark, odd, none, sf):
                 for kind in range(3):
                     models[side][kind][at[kind]] = models[side][kind].get(at[kind], 0) + 1
 
-    def loss(m, u, c, b):
-        p = (1 - lm_scoring.EVEN) * m[0].get(u, 0) / sum(m[0].values()) + lm_scoring.EVEN / len(models[1][0])
-        q = m[2].get(b, 0) / m[1][c] if m[1].get(c) else p
-        return -np.log2(lm_scoring.LAMBDA * min(q, 1) + (1 - lm_scoring.LAMBDA) * p)
-
-    want = sorted(((d, len(s), *(np.mean([loss(m, *t) for t in s]) if s else None for m in models)) for d, s in seqs), key=lambda r: (str(r[0]), r[1]))
+    def row(d, s):
+        if not s:
+            return d, 0, None, None
+        out = []
+        for side in (0, 1):
+            own = [Counter(x[kind] for x in s) if side or d == 3 else {} for kind in range(3)]
+            left = [{h: n - own[kind].get(h, 0) for h, n in models[side][kind].items()} for kind in range(3)]
+            out.append((left, sum(left[0].values())))
+        bits = [np.mean([plain_bits([m[0].get(u, 0), m[1].get(c, 0), m[2].get(b, 0)], n, 1 if side == 0 else out[0][1] / max(n, 1), len(models[1][0])) for u, c, b in s]) for side, (m, n) in enumerate(out)]
+        return d, len(s), *bits
+
+    want = sorted((row(d, s) for d, s in seqs), key=lambda r: (str(r[0]), r[1]))
     for r, w in zip(sorted(got, key=lambda r: (str(r.doc_id), r.n_tokens)), want, strict=True):
         assert (r.doc_id, r.n_tokens) == w[:2]
         if w[1]:
@@ -464,17 +488,19 @@ def test_lm_scoring_counts_are_exact(spark, monkeypatch):
                     models[side][kind][key] = models[side][kind].get(key, 0) + 1
     size = len(models[1][0])
 
-    def bits(m, text):
-        w, total, out = text.split(), sum(m[0].values()), []
-        for b, a in zip([None, *w[:-1]], w, strict=True):
-            p = (1 - lm_scoring.EVEN) * m[0].get(a, 0) / total + lm_scoring.EVEN / size
-            q = m[2].get((b, a), 0) / m[1][b] if b in m[1] else p
-            out.append(-np.log2(lm_scoring.LAMBDA * q + (1 - lm_scoring.LAMBDA) * p))
-        return np.mean(out)
+    totals = [sum(m[0].values()) for m in models]
+
+    def bits(side, d):
+        w, m = rows[d][1].split(), models[side]
+        pairs = list(zip([None, *w[:-1]], w, strict=True))
+        taken = side == 1 or d % 3 == 0
+        own = [Counter(w), Counter(b for b, _ in pairs), Counter(pairs)] if taken else [{}, {}, {}]
+        n = [t - len(w) * out for t, out in zip(totals, (d % 3 == 0, True), strict=True)]
+        return np.mean([plain_bits([m[k].get(x, 0) - own[k].get(x, 0) for k, x in enumerate((a, b, (b, a)))], n[side], 1 if side == 0 else n[0] / n[1], size) for b, a in pairs])
 
     assert sorted(r.doc_id for r in got) == list(range(300))
     for r in got:
-        t, b = (bits(m, rows[r.doc_id][1]) for m in models)
+        t, b = bits(0, r.doc_id), bits(1, r.doc_id)
         assert r.n_tokens == 900 and abs(r.target_bits - t) < 1e-6 and abs(r.background_bits - b) < 1e-6 and abs(r.score - (t - b)) < 1e-6
 
 

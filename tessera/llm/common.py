@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.scratch import materialize, remove, scratch, scratch_scope, shared_dir  # noqa: F401
 
@@ -71,6 +72,24 @@ def count_up_to(column: Column, values: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda n, w: F.when((n + w <= len(values)) & (F.get(at, n + w - 1) <= column), n + w).otherwise(n))
 
 
+def plain_names(docs: DataFrame) -> DataFrame:
+    """docs with its further columns named x0, x1, ..., so that neither dots nor names of one's own clash; toDF(*docs.columns) undoes it."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"x{i}" for i, c in enumerate(docs.columns)])
+
+
+def orderable(kind: T.DataType) -> bool:
+    """Whether values of a type have an order."""
+    if isinstance(kind, T.StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    return orderable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType | T.CalendarIntervalType | T.NullType)
+
+
+def least_row(docs: DataFrame) -> Column:
+    """Aggregate: the least row of a group, as a struct; columns without an order are compared as JSON."""
+    whole = F.struct(*docs.columns)
+    return F.min_by(whole, F.struct(*[F.col(f.name) if orderable(f.dataType) else F.to_json(F.struct(f.name)) for f in docs.schema.fields]))
+
+
 # ---------------------------------------------------------------- bytes of a text column
 
 

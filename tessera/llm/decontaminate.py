@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_spans, lowered, materialize, runs, slices, table
+from tessera.llm.common import hash_spans, lowered, materialize, plain_names, runs, slices, table
 
 STRIDE, RANK, EXTRA, COSINE = 32, 208, 32, 0.07
 #: A short item in a long passage has a low cosine; cosine times passage length over item length, the share of the item's
@@ -356,7 +356,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, nameless: bool = False)
     """
     gone = leaks(docs, benchmark, by=("doc_id", "h")).select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct()
     gone = materialize(gone if nameless else gone.where("_gone IS NOT NULL"), "leaks")
-    return docs.join(gone, docs.doc_id.cast("long").eqNullSafe(gone._gone) & (F.xxhash64(docs.text.cast("string")) == gone._h), "left_anti")
+    d = plain_names(docs)
+    return d.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_h")), "left_anti").toDF(*docs.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import distinct_sets, materialize, mix, remove, shingles, shared_dir, signed, slices, table, words
+from tessera.llm.common import distinct_sets, least_row, materialize, mix, plain_names, remove, shingles, shared_dir, signed, slices, table, words
 
 #: log2 of the sketch's cells (4 bytes each; a fixed size at any input), rows of cells per block, ranges of the order.
 CELL_BITS, BLOCK, FRAGMENTS = 20, 1 << 16, 4
@@ -506,8 +506,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
     """docs without all but one row of each component: the row with the smallest doc_id (null comes last) stays.
 
     Rows are told apart by doc_id and text, not by doc_id alone: of an id with several texts, only the texts that link go; of rows with
-    equal ids and texts, the one whose other columns are least stays. Rows without words are kept.
+    equal ids and texts, the one whose other columns are least stays. Rows without words are kept. Other columns have any names and types.
     """
+    return _first_rows(plain_names(docs), k, num).toDF(*docs.columns)
+
+
+def _first_rows(docs: DataFrame, k: int, num: int) -> DataFrame:
     rows, _, comp, _ = _linked(docs, k, num)
     rows = rows.where("v IS NOT NULL").select("v", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h").alias("row"))
     first = rows.groupBy("v").agg(F.min("row").alias("row")).join(comp, "v", "left")
@@ -520,7 +524,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
     d = d.join(_sized(fate, fate.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left")
     kept = d.where("_one_stays IS NULL").select(*docs.columns)
     if not fate.where("_one_stays").isEmpty():
-        one = d.where("_one_stays").groupBy("_id", "_h").agg(F.min(F.struct(*docs.columns)).alias("row"))
+        one = d.where("_one_stays").groupBy("_id", "_h").agg(least_row(docs).alias("row"))
         kept = kept.unionByName(one.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
     return kept
 

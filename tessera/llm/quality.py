@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_spans, lowered, materialize, runs, slices, spaces, table
+from tessera.llm.common import hash_spans, lowered, materialize, plain_names, runs, slices, spaces, table
 
 SAMPLE, BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS, RATE = 40_000, 48, 12, 120, 60, 8, 0.15
 THRESHOLD = 0.7
@@ -253,15 +253,17 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the classifier rejects. Each row is scored by its own text, whatever its doc_id."""
-    model = train(docs, labels)
+    """docs without the rows that the classifier rejects. Each row is scored by its own text, whatever its doc_id. Without any label that counts no row is rejected."""
+    model, plain = train(docs, labels), plain_names(docs)
+    if not model.tables and model.base == 0:
+        return docs
 
     def run(batches):
         for batch in batches:
             for part, data, off in slices(batch):
                 yield part.filter(pa.array(model.score(features(data, off)) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

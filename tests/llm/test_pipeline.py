@@ -70,3 +70,25 @@ def test_run_on_odd_rows(spark, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{t}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_columns_of_any_name_and_type(spark, tmp_path):
+    """Names that the stages use themselves, names with dots, and a column without an order; and no labels at all."""
+    sf = "/root/testdata/sf0.01"
+    good = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(30)
+    some = good.unionByName(good.limit(3)).select("doc_id", "text", F.col("source").alias("_h"), F.col("lang").alias("_id"), F.lit(1).alias("_one_stays"), F.lit(2).alias("a.b"), F.create_map(F.lit("k"), "source").alias("m"), F.lit(3).alias("x0"), F.lit(None).cast("int").alias("row"))
+    some.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).count() == 33  # nothing is known, so all stay
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.schema.names == docs.schema.names, name
+    rows = kept.collect()
+    assert len({r.text for r in rows}) == len(rows) and all(r["a.b"] == 2 and r["m"] == {"k": r["_h"]} and r["x0"] == 3 for r in rows)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    labels.write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).schema.names == docs.schema.names
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {r.doc_id for r in good.collect()}

@@ -9,8 +9,7 @@ decided by its own text:
   their ids; a leaking text goes and takes no other text of its doc_id with it;
 - rows without a doc_id take part in every stage;
 - very long texts are read whole; further columns are carried along, whatever their names, and left out by the last stage;
-- an empty table gives no rows, without labels nothing is rejected by a model (the score is 0.5, under the threshold: all go), and
-  without benchmark items nothing leaks.
+- an empty table gives no rows, without labels the classifier rejects nothing, and without benchmark items nothing leaks.
 """
 
 from __future__ import annotations
@@ -26,11 +25,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(docs, k=5, num=80).select(*docs.columns)
+    return ngram_join.near_duplicates(docs, k=5, num=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"), nameless=True).select(*docs.columns)
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"), nameless=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,46 @@ def store_changes(t):
     store.put(d.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").withColumn("source", F.upper("source")))
     store.delete(labels.where("toxic = 1").select("doc_id"))
     return store.all()
+
+
+@query(
+    "SELECT p_partkey, p_name AS title, p_brand AS artist, CASE WHEN p_size % 2 = 0 THEN p_type END AS album, p_brand AS albumartist, (2000 + p_size) || '-01-02' AS date, (2000 + p_size)::VARCHAR AS year, 'a=b' AS comment FROM part"
+)
+def source_tags(t):
+    # tags as a decoder writes them, with remarks, empty values and a key that comes twice
+    from tessera.operators import forms
+
+    text = F.concat(F.lit(";FFMETADATA1\r\nTITLE=first\ntitle = "), "p_name", F.lit("\n# album=no\nalbum="), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("  "), F.lit("\n=x\nalbum_artist="), "p_brand", F.lit("\ndate="), (F.col("p_size") + 2000).cast("string"), F.lit("-01-02\ndescription=a=b\nno sign"))
+    return forms.source_tags(t("part").select("p_partkey", text.alias("tags")), "tags").select("p_partkey", "title", "artist", "album", "albumartist", "date", "year", "comment")
+
+
+@query(
+    "WITH c AS (SELECT conv_id, bool_or(length(text) % 17 = 0) AS bad, count(*) AS n, min(turn) AS first FROM conversations GROUP BY 1) "
+    "SELECT conv_id, CASE WHEN bad THEN 'keep' ELSE 'set' END AS sections_action, CASE WHEN NOT bad THEN n END AS n_sections, CASE WHEN NOT bad THEN first * 1000 END AS hook_ms, CASE WHEN conv_id % 2 = 0 THEN 'remove' ELSE 'set' END AS highlights_action, "
+    "CASE WHEN conv_id % 3 = 0 OR NOT bad THEN 'set' ELSE 'remove' END AS lyrics_action, CASE WHEN NOT bad THEN n END AS n_lines FROM c"
+)
+def form_overrides(t):
+    # dialogues as a form's texts; a turn whose length 17 divides gives a line that can't be read
+    from tessera.functions.text import timecode
+    from tessera.operators import forms
+
+    c, bad = t("conversations"), F.length("text") % 17 == 0
+    at = timecode(F.col("turn") * 1000)
+    line = F.when(bad, "oops").otherwise(F.concat(F.lit("["), at, F.lit("|chorus] x")))
+    g = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+    forms_of = g.select("conv_id", F.when(F.col("conv_id") % 3 == 0, " la ").otherwise(" ").alias("unsynced"), F.col("lines").alias("synced"), F.col("lines").alias("sections"), F.when(F.col("conv_id") % 2 == 0, "").otherwise("[00:01-00:02|share] x").alias("highlights"))
+    out = forms.timed_overrides(forms_of, "conv_id", "unsynced", "synced", "sections", "highlights")
+    n = lambda name: F.when(F.col(name).isNotNull(), F.size(name))
+    return out.select("conv_id", "sections_action", n("sections").alias("n_sections"), "hook_ms", "highlights_action", "lyrics_action", n("synced").alias("n_lines"))
+
+
+@query(
+    "SELECT 'doc-' || doc_id AS path, CASE n_chars % 4 WHEN 0 THEN 'PCM (reference / debug)' WHEN 1 THEN 'MP5-C (experimental / lab)' WHEN 2 THEN 'MP5-L v3 (lossless · default)' ELSE 'MP5-H (hybrid · not default)' END AS codec_label, CASE WHEN strlen(text) > 0 AND n_chars > 0 THEN round(strlen(text) / (n_chars * 4.0) * 100, 6) END AS vs_pcm_percent, "
+    "coalesce(source, '') <> '' AS has_tags, n_chars % 5 = 0 AS has_cover, n_chars % 2 = 0 AS has_lyrics, n_chars % 2 = 1 AS has_guidance FROM documents"
+)
+def export_summary(t):
+    from tessera.operators import forms
+
+    d, n = t("documents"), F.col("n_chars")
+    files = d.select(F.concat(F.lit("doc-"), "doc_id").alias("path"), F.octet_length("text").alias("output_bytes"), F.lit(None).cast("long").alias("source_bytes"), (n % 4).cast("int").alias("codec_id"), n.alias("total_samples"), F.lit(2).alias("channels"), F.lit(16).alias("bits"), F.array(F.struct(F.lit("album").alias("key"), F.col("source").alias("value"))).alias("meta"), F.when(n % 5 == 0, 9).alias("cover_bytes"), F.lit(None).cast("string").alias("unsynced"), F.when(n % 2 == 0, F.array(F.lit("LYRC"))).otherwise(F.array(F.lit("SENS"), F.lit("X"))).alias("optional"), F.lit(None).cast("int").alias("stem_count"))
+    return forms.export_summary(files).select("path", "codec_label", F.round("vs_pcm_percent", 6).alias("vs_pcm_percent"), "has_tags", "has_cover", "has_lyrics", "has_guidance")

@@ -290,11 +290,6 @@ RECORDS = {
 }
 
 
-def all_records(chunks: Column) -> Column:
-    """All records of a map from FourCC to JSON text, as one struct. (read_all parses each text once.)"""
-    return F.struct(*[f(F.try_element_at(chunks, F.lit(k))).alias(k.lower()) for k, f in RECORDS.items()])
-
-
 def read_all(df: DataFrame, chunks: str, name: str, strict: bool = True) -> DataFrame:
     """df and, as `name`, the struct of all records of its map from FourCC to JSON text.
 

@@ -72,7 +72,7 @@ def _carried(rows: DataFrame, keys: Sequence[str], carry: DataFrame) -> DataFram
     return rows.join(F.broadcast(carry), _same(keys) & (F.col("_slice") == F.col("_s")), "left").drop(*[f"_k{i}" for i in range(len(keys))], "_s")
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] | None = None, lasts: Mapping[str, Column] | None = None, before: bool = False, back: bool = False, part: int | None = None) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] | None = None, lasts: Mapping[str, Column] | None = None, before: bool = False, part: int | None = None, back: bool = False) -> DataFrame:
     """df and, within each key along the order (back: against it), running sums (0 at the start) and last values that aren't null, of the rows up to each row (before: without it)."""
     sums, lasts = dict(sums or {}), dict(lasts or {})
     rows, hot = sliced(df, keys, order, part)

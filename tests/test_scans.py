@@ -25,12 +25,14 @@ def in_order(rows):
 
 @pytest.mark.parametrize("part", [10**6, 40, 7])
 @pytest.mark.parametrize("before", [False, True])
-def test_running(spark, part, before):
+@pytest.mark.parametrize("back", [False, True])
+def test_running(spark, part, before, back):
     rows = data()
     df = spark.createDataFrame(rows, "id long, k string, t int, v int")
-    got = scans.running(df, ["k"], ["t", "id"], {"n": F.lit(1), "s": F.col("v")}, {"last": F.col("v")}, before, part).collect()
+    got = scans.running(df, ["k"], ["t", "id"], {"n": F.lit(1), "s": F.col("v")}, {"last": F.col("v")}, before, part=part, back=back).collect()
     want = {}
     for group in in_order(rows).values():
+        group = group[::-1] if back else group
         n = s = 0
         last = None
         for i, _, _, v in group:

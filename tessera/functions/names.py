@@ -136,19 +136,27 @@ def extract_name(number: Column, title: Column) -> Column:
     return F.when(F.lower(base).endswith(".mp5"), base).otherwise(F.concat(base, F.lit(".mp5")))
 
 
-_NUMBERED = r"(?i)^(?:track\s*)?(\d{1,2})(?:\s*[-._]\s*|\s+)(.+)$"
+def _numbered(name: Column) -> tuple[Column, Column]:
+    """The digits that a trimmed name begins with, after the word track if it is there, and what follows them; both null unless there are one or two digits, a gap and more."""
+    bare = F.when(name.rlike(r"^(?i)track\s*\d"), F.ltrim(F.regexp_replace(F.substring(name, 6, 10_000), r"^\s+", ""))).otherwise(name)
+    digits = F.regexp_extract(bare, r"^\d+", 0)
+    after = bare.substr(F.length(digits) + 1, F.length(bare))
+    found = F.length(digits).between(1, 2) & after.rlike(r"^[\s._-]") & (F.length(after) > 1)
+    gapless = F.regexp_replace(F.regexp_replace(after, r"^\s+", ""), r"^[._-]\s*", "")
+    rest = F.when(gapless == "", F.substring(after, 2, 10_000)).otherwise(gapless)
+    return F.when(found, digits.cast("int")), F.when(found, F.trim(rest))
 
 
 def number_in_name(name: Column) -> Column:
     """1 to 99 where a file name begins with a track number, else null."""
-    n = F.nullif(F.regexp_extract(F.trim(stem_of(name)), _NUMBERED, 1), F.lit("")).cast("int")
+    n = _numbered(F.trim(stem_of(name)))[0]
     return F.when(n.between(1, 99), n)
 
 
 def title_in_name(name: Column) -> Column:
     """What follows the track number of a file name, or the whole name, or "Untitled"."""
     base = F.trim(stem_of(name))
-    return F.coalesce(F.nullif(F.trim(F.regexp_extract(base, _NUMBERED, 2)), F.lit("")), F.nullif(base, F.lit("")), F.lit("Untitled"))
+    return F.coalesce(F.nullif(_numbered(base)[1], F.lit("")), F.nullif(base, F.lit("")), F.lit("Untitled"))
 
 
 def album_of_path(path: Column) -> Column:

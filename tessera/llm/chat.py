@@ -2,7 +2,8 @@
 
 A message is rendered as "<|im_start|>HEAD\\n", the text, "<|im_end|>\\n". HEAD is "assistant" for the speaker whose view it is, "user
 name=SPEAKER" for the others, and "system" for the role system, which is nobody's view. The mask has the character spans that the
-loss counts: the assistant's texts with their end marks.
+loss counts: the assistant's texts with their end marks. In texts and speakers' names "<|" becomes "< |", and a line break in a name a space, so that no message
+can open or close a turn.
 
 A row is a block of at most TURNS messages of one dialogue in one view; a dialogue of up to TURNS messages is one row per view, a longer one
 has more rows (block 0, 1, ...), so a dialogue that holds a third of all rows is no row or task of its own. start is where a block's
@@ -25,6 +26,11 @@ TURNS = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def _apart(c: Column) -> Column:
+    """A text in which no mark begins."""
+    return F.replace(c.cast("string"), F.lit("<|"), F.lit("< |"))
+
+
 def numbered(messages: DataFrame) -> DataFrame:
     """messages and n, each one's number in its dialogue, from 0."""
     spark = messages.sparkSession
@@ -41,7 +47,7 @@ def numbered(messages: DataFrame) -> DataFrame:
 
 def rotate(messages: DataFrame, turns: int = TURNS) -> DataFrame:
     """messages (conv_id, turn, role, text): conv_id, speaker, block, n_messages, start, text, mask (spans "start-end", joined by commas)."""
-    messages = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    messages = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.replace(_apart(F.col("role")), F.lit("\n"), F.lit(" ")), F.lit("unknown")).alias("role"), F.coalesce(_apart(F.col("text")), F.lit("")).alias("text"))
     placed = materialize(numbered(messages).withColumn("block", F.floor(F.col("n") / turns).cast("int")), "numbered")
     blocks = placed.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("n", "role", "text"))).alias("m"))  # turns messages at most
     views = messages.where("role <> 'system'").select(F.col("conv_id").alias("_c"), F.col("role").alias("speaker")).distinct()
@@ -76,7 +82,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+WITH m AS (SELECT conv_id, turn, coalesce(replace(replace(role, '<|', '< |'), chr(10), ' '), 'unknown') AS role, coalesce(replace(text, '<|', '< |'), '') AS text FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS n FROM m),
 v AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
 p AS (SELECT n.conv_id, speaker, (n // 256)::INT AS block, n, role = speaker AS own,

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 from contextlib import contextmanager
 from contextvars import ContextVar
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting (4.1) by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. Where a session on one machine names none (tests), a temporary one is set for it; elsewhere that is an error."""
@@ -46,11 +51,37 @@ def scratch_scope(spark: SparkSession):
         remove(spark, path)
 
 
+_lock, _writers, _was = Lock(), Counter(), {}
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession):
+    """Queries that begin inside leave no shuffle files; the session's own setting is back when its last writer, of any thread, ends."""
+    key = id(spark)
+    with _lock:
+        if not _writers[key]:
+            _was[key] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _writers[key] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers[key] -= 1
+            if not _writers[key]:
+                del _writers[key]
+                spark.conf.set(CLEANUP, _was.pop(key))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and rereads it: this cuts lineage, and lost executors lose nothing."""
+    """Writes df as Parquet to the shared folder and rereads it: this cuts lineage, and lost executors lose nothing.
+
+    What reads the table needs the shuffle files of its writing no more, so they go at once and not when the driver collects garbage.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with _shuffles_go(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -41,8 +41,6 @@ CELL_BITS, BLOCK, FRAGMENTS = 20, 1 << 16, 4
 LIMIT, LEAST = 1 << 19, 256
 #: Bits of the longest bitmap; longer sets get a weaker bound from it, and are told apart by their n-grams.
 MOST_BITS = 1 << 17
-#: Rows of names of texts (two numbers each) up to which they are broadcast to the texts; more are joined by shuffle.
-BROADCAST = 500_000
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -446,11 +444,6 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return e.select(F.col("u").alias("v"), F.col("w").alias("c")).unionByName(e.select(F.col("w").alias("v"), F.col("w").alias("c"))).distinct()
 
 
-def _sized(names: DataFrame, n: int) -> DataFrame:
-    """The side of a join that names texts, by n, its number of rows."""
-    return F.broadcast(names) if n <= BROADCAST else names.hint("merge")
-
-
 def _linked(docs: DataFrame, k: int, num: int, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """rows (doc_id, h: the text's hash, v, n), sets (v, n, copies and the least doc_id), components (v, c) of linked sets, clusters.
 
@@ -479,7 +472,8 @@ def _linked(docs: DataFrame, k: int, num: int, seed: int = 0) -> tuple[DataFrame
     near = components(_spanning(buckets, "bucket", Bitmaps, num, "near"), "near")
 
     ids = sets.join(near, "v", "left_semi").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    some = texts.join(_sized(ids, near.count()), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi").select("text")
+    # names of texts grow with the texts: at every size both are shuffled, and names are hashed, so that texts needn't be sorted
+    some = texts.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi").select("text")
     seg = some.mapInArrow(_segments(k, shared_cells, bounds, seed), "v long, seg array<long>, cut array<int>").groupBy("v").agg(F.first("seg").alias("seg"), F.first("cut").alias("cut"))
     clusters = materialize(seg.join(near, "v").join(sets.select("v", "n", "copies"), "v").select("c", "v", "n", "copies", "seg", "cut"), "clusters")
     comp = components(_spanning(clusters, "c", Sets, num, "links"))
@@ -521,7 +515,7 @@ def _first_rows(docs: DataFrame, k: int, num: int) -> DataFrame:
     fate = known.where("first IS NULL OR copies > 1").select(F.col("row.doc_id").alias("_id"), F.col("row.h").alias("_h"), F.col("first").isNotNull().alias("_one_stays"))
     fate = materialize(fate, "fate")
     d = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
-    d = d.join(_sized(fate, fate.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left")
+    d = d.join(fate.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left")
     kept = d.where("_one_stays IS NULL").select(*docs.columns)
     if not fate.where("_one_stays").isEmpty():
         one = d.where("_one_stays").groupBy("_id", "_h").agg(least_row(docs).alias("row"))

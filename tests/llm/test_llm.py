@@ -560,7 +560,6 @@ def near_copies(m, words, seed):
 def test_ngram_join_large_group(spark, monkeypatch, limit):
     """A group about the threshold, whole and in blocks: components and links as by brute force, and rows in proportion to its size."""
     monkeypatch.setattr(ngram_join, "LIMIT", limit)
-    monkeypatch.setattr(ngram_join, "BROADCAST", 500_000 if limit > 1 << 13 else 10)
     rows = near_copies(700, 90, 1) + [(1000 + i, t) for i, t in near_copies(60, 40, 2)] + [(2000, "w1x1 w1x2 w1x3 w1x4 w1x5")]
     made, plain = [], ngram_join.materialize
 

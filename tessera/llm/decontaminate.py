@@ -38,6 +38,8 @@ HEAVY = 30.0
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 #: Passages of items per block, and entries of the sparse matrix that are multiplied at once.
 ITEMS, CHUNK = 200, 40_000
+#: Bits of a hash that a word is looked up by, and the most rows of a stripe or term that are summed one after another.
+BITS, RUN = 16, 64
 #: Numbers of a summed array that one row holds.
 PIECE = 1 << 16
 HITS = "doc_id long, h long, item_id long, cosine double, lcs double, answer double, word long"
@@ -109,15 +111,32 @@ def lcs(pattern: np.ndarray, text: list[int]) -> int:
     return len(pattern) - v.bit_count()
 
 
+def _lookup(vocabulary: np.ndarray):
+    """A function from hashes to their numbers in the vocabulary and whether they are in it: by the first BITS bits, then by search."""
+    shift = np.uint64(64 - BITS)
+    first = np.searchsorted(vocabulary, np.arange(1 << BITS, dtype=np.uint64) << shift)
+    several = np.diff(first, append=len(vocabulary)) > 1
+    first = np.minimum(first, len(vocabulary) - 1).astype(np.int32)
+
+    def number(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = (h >> shift).astype(np.int32)
+        k = first[at]
+        more = np.flatnonzero(several[at])
+        k[more] = np.minimum(np.searchsorted(vocabulary, h[more]), len(vocabulary) - 1)
+        return k, vocabulary[k] == h
+
+    return number
+
+
 def _sparse(vocabulary: np.ndarray):
     def run(batches):
+        number = _lookup(vocabulary)
         for batch in batches:
             for part, data, off in slices(batch):
                 h, text = terms(data, off)
                 n = np.bincount(text, minlength=part.num_rows)
                 pos = np.arange(len(h)) - (np.cumsum(n) - n)[text]
-                k = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-                hit = vocabulary[k] == h
+                k, hit = number(h)
                 cut = np.concatenate(([0], np.cumsum(np.bincount(text[hit], minlength=part.num_rows)))).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x[hit].astype(np.int32))) for x in (pos, k)]
                 out = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(n), *lists], ["doc_id", "h", "n", "pos", "term"])
@@ -143,27 +162,52 @@ def _stripes(batch: pa.RecordBatch, most: int = CHUNK):
         row = stop
 
 
+def _first(owner: np.ndarray) -> np.ndarray:
+    """The first stripe of each text but the first."""
+    return np.flatnonzero(owner[1:] != owner[:-1]) + 1
+
+
 def _windows(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Sums of neighbouring stripes of one text (a text's last stripe stands alone), one window per stripe."""
     out = x.copy()
-    same = owner[1:] == owner[:-1]
-    out[:-1][same] += x[1:][same]
+    out[:-1] += x[1:]
+    last = _first(owner) - 1
+    out[last] = x[last]
     return out
 
 
 def _unwindows(z: np.ndarray, owner: np.ndarray) -> np.ndarray:
     out = z.copy()
-    same = owner[1:] == owner[:-1]
-    out[1:][same] += z[:-1][same]
+    out[1:] += z[:-1]
+    first = _first(owner)
+    out[first] = z[first]
     return out
 
 
 def _times(term: np.ndarray, stripe: np.ndarray, n: int, weighted: np.ndarray) -> np.ndarray:
-    """Sparse stripes x dense: the rows of weighted at each entry's term, summed per stripe. Entries are in stripe order."""
+    """Sparse stripes x dense: the rows of weighted at each entry's term, summed per stripe. Entries are in stripe order.
+
+    The k-th entries of all stripes are added at once, longest stripes first; what is longer than RUN goes in runs that are summed after.
+    """
     out = np.zeros((n, weighted.shape[1]), weighted.dtype)
-    if len(term):
-        cut = np.flatnonzero(np.concatenate(([True], stripe[1:] != stripe[:-1])))
-        out[stripe[cut]] = np.add.reduceat(weighted[term], cut, axis=0)
+    if not len(term):
+        return out
+    cut = np.flatnonzero(np.concatenate(([True], stripe[1:] != stripe[:-1])))
+    length = np.diff(cut, append=len(term))
+    long = length.max() > RUN
+    if long:
+        cut = np.concatenate([np.arange(a, a + m, RUN) for a, m in zip(cut.tolist(), length.tolist(), strict=True)])
+        length = np.diff(cut, append=len(term))
+    order = np.argsort(-length, kind="stable")
+    begin = cut[order]
+    more = len(begin) - np.cumsum(np.bincount(length))  # how many have more than k entries
+    x = weighted[term[begin]]
+    for k in range(1, len(more) - 1):
+        x[: more[k]] += weighted[term[begin[: more[k]] + k]]
+    if long:
+        back = np.argsort(order)
+        return _times(back, stripe[cut], n, x)
+    out[stripe[begin]] = x
     return out
 
 
@@ -207,14 +251,25 @@ def _sums(sparse: DataFrame, make, shape: tuple[int, ...]) -> np.ndarray:
     return out.reshape(shape)
 
 
+def _by_term(term: np.ndarray, size: int) -> np.ndarray:
+    """The order of entries by term, and within a term as they are; numbers of 16 bits are sorted by radix."""
+    return np.argsort(term.astype(np.uint16) if size <= 1 << 16 else term, kind="stable")
+
+
 def latent_space(sparse: DataFrame, items: Items, rank: int = RANK, extra: int = EXTRA, most: float = MOST) -> tuple[np.ndarray, np.ndarray]:
     """idf of the terms (0: no weight), and the term vectors of the leading singular directions (terms x rank, times idf)."""
     size = len(items.vocabulary)
 
     def frequency(total, part, term, stripe, owner):
         total[size] += len(owner)
-        pair = np.unique(np.concatenate((stripe, np.where((stripe > 0) & (owner[np.maximum(stripe - 1, 0)] == owner[stripe]), stripe - 1, stripe))) * size + np.tile(term, 2))
-        total[:size] += np.bincount(pair % size, minlength=size)
+        order = _by_term(term, size)
+        t, s = term[order], stripe[order]
+        new = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (s[1:] != s[:-1]))))
+        t, s = t[new], s[new]
+        begins = np.concatenate(([True], owner[1:] != owner[:-1]))
+        windows = 2 - begins[s]  # a stripe's own window, and the one before it in its text, unless that counts already
+        windows[1:] -= (t[1:] == t[:-1]) & (s[1:] == s[:-1] + 1) & ~begins[s[1:]]
+        total[:size] += np.bincount(t, windows, size)
 
     df = _sums(sparse, frequency, (size + 1,))
     idf = np.log((df[size] + 1) / (df[:size] + 1)) + 1e-3
@@ -230,21 +285,20 @@ def latent_space(sparse: DataFrame, items: Items, rank: int = RANK, extra: int =
     omega = (np.random.default_rng(7).standard_normal((size, width)) * idf[:, None]).astype(np.float32)
 
     def power(total, part, term, stripe, owner):
-        term, stripe = term[rare[term]], stripe[rare[term]]
+        own = np.flatnonzero(rare[term])
+        term, stripe = term[own], stripe[own]
         u = _unwindows(_windows(_times(term, stripe, len(owner), omega), owner), owner)
-        order = np.argsort(term, kind="stable")
-        t = term[order]
-        if len(t):
-            cut = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-            total[t[cut]] += np.add.reduceat(u[stripe[order]], cut, axis=0)
+        order = _by_term(term, size)
+        t, there = np.unique(term[order], return_inverse=True)
+        total[t] += _times(stripe[order], there, len(t), u)
 
     y = _sums(sparse, power, (size, width)) * idf[:, None] + own.T @ (own @ np.where(idf[:, None] > 0, omega / np.maximum(idf, 1e-9)[:, None], 0))
     q, _ = np.linalg.qr(y)
     weighted = (q * idf[:, None]).astype(np.float32)
 
     def gram(total, part, term, stripe, owner):
-        term, stripe = term[rare[term]], stripe[rare[term]]
-        z = _windows(_times(term, stripe, len(owner), weighted), owner)
+        own = np.flatnonzero(rare[term])
+        z = _windows(_times(term[own], stripe[own], len(owner), weighted), owner)
         total += z.T @ z
 
     near = own @ q
@@ -255,40 +309,39 @@ def latent_space(sparse: DataFrame, items: Items, rank: int = RANK, extra: int =
 
 def _search(items: Items, idf: np.ndarray, space: np.ndarray, cosine: float):
     """Cosines divide by the length of the whole vectors: what the space loses of a passage, other words too, counts against it."""
-    square = (idf**2).astype(np.float32)[:, None]
+    square = idf**2
     other, rare = float(idf.max() ** 2) if len(idf) else 0.0, idf > 0
     sizes = np.array([max(1e-6, float(np.sqrt(square[w].sum()))) for w in items.passages], np.float32)
     vectors = np.stack([space[w].sum(0) for w in items.passages]) / sizes[:, None]
     lists = [w.tolist() for w in items.words]
     kept = np.maximum(np.linalg.norm(vectors, axis=1), 1e-6)  # the share of a passage's length that the space keeps
+    enough = (SHARE * sizes * kept**2).astype(np.float32)
+    vectors = np.ascontiguousarray(vectors.T, np.float32)
 
     def run(batches):
         for batch in batches:
             hits = []
             for part, term, stripe, owner in _stripes(batch):
-                own = rare[term]
-                z = _times(term[own], stripe[own], len(owner), space)
+                own = np.flatnonzero(rare[term])
                 known = np.bincount(stripe, minlength=len(owner))
                 place = np.arange(len(owner)) - np.searchsorted(owner, owner)
                 size = np.minimum(STRIDE, part.column("n").to_numpy()[owner] - place * STRIDE)
-                length = _times(term[own], stripe[own], len(owner), square)[:, 0] + other * (size - known)
-                length = np.sqrt(np.maximum(_windows(length, owner), 1e-9))
-                like = _windows(z, owner) @ vectors.T
-                share = like / (sizes * kept**2)
-                like /= length[:, None]
-                win, item = np.nonzero((like >= cosine) | (share >= SHARE))
-                if not len(win):
+                length = np.bincount(stripe[own], square[term[own]], len(owner)) + other * (size - known)
+                length = np.sqrt(np.maximum(_windows(length, owner), 1e-9)).astype(np.float32)
+                like = _windows(_times(term[own], stripe[own], len(owner), space), owner) @ vectors
+                at = np.flatnonzero(like >= np.minimum(np.float32(cosine) * length[:, None], enough))
+                if not len(at):
                     continue
+                win, passage = np.divmod(at, len(enough))
+                item = items.item[passage]
+                cut = np.flatnonzero(np.concatenate(([True], (win[1:] != win[:-1]) | (item[1:] != item[:-1]))))
+                win, item, cosines = win[cut], item[cut], np.maximum.reduceat(like[win, passage] / length[win], cut)
                 first = np.searchsorted(owner, np.arange(part.num_rows))
                 begin = np.searchsorted(stripe, np.arange(len(owner) + 1))
                 ids, texts = part.column("doc_id").to_pylist(), part.column("h").to_pylist()
                 best: dict[tuple[int, int], tuple] = {}
-                top: dict[tuple[int, int], float] = {}
-                for w, p in zip(win.tolist(), item.tolist(), strict=True):  # hits come window by window
-                    at = w, int(items.item[p])
-                    top[at] = max(top.get(at, -1.0), float(like[w, p]))
                 last, contexts, done = -1, {}, {}
-                for (w, k), cos in top.items():
+                for w, k, cos in zip(win.tolist(), item.tolist(), cosines.tolist(), strict=True):  # window by window
                     if w != last:
                         last, d, contexts = w, int(owner[w]), {}
                         end = int(first[d + 1]) if d + 1 < part.num_rows else len(owner)
@@ -301,7 +354,7 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray, cosine: float):
                         seen = term[begin[max(int(first[d]), w - wider - step)] : begin[min(end, w + 2 + wider + step)]].tolist()
                         contexts[wider] = seen, set(seen)
                     seen, held = contexts[wider]
-                    if sum(x in held for x in lists[k]) < PARAPHRASE * len(words):
+                    if sum(map(held.__contains__, lists[k])) < PARAPHRASE * len(words):
                         continue
                     common = lcs(words, seen) / len(words)
                     answer = items.answers[k]

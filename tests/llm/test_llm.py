@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -394,6 +395,60 @@ def test_decontaminate_recall(spark):
     assert len(want) > 300 and not want - got, (len(want), len(want - got))
 
 
+def test_sparse_sums():
+    """Rows summed per stripe, as by loops at any length, at well under the CPU time of np.add.reduceat, which took op7 over its limit."""
+    rng = np.random.default_rng(4)
+    dense = rng.integers(-9, 9, (3900, 240)).astype(np.float32)  # whole numbers, so that no order of sums rounds
+    for lengths in ([], [1], [64, 0, 65, 1], [3, 0, 0, 5000, 2, 129, 0]):
+        stripe = np.repeat(np.arange(len(lengths)), lengths)
+        term = rng.integers(0, len(dense), len(stripe))
+        want = np.array([dense[term[stripe == i]].sum(0) for i in range(len(lengths))]).reshape(-1, 240)
+        assert np.array_equal(decontaminate._times(term, stripe, len(lengths), dense), want)
+
+    stripe, term = np.sort(rng.integers(0, 2500, 6500)), rng.integers(0, len(dense), 6500)
+
+    def reduceat(term, stripe, n, dense):
+        out = np.zeros((n, dense.shape[1]), dense.dtype)
+        at = np.flatnonzero(np.diff(stripe, prepend=-1))
+        out[stripe[at]] = np.add.reduceat(dense[term], at, axis=0)
+        return out
+
+    def seconds(f):
+        took = []
+        for _ in range(7):
+            start = time.process_time()
+            f(term, stripe, 2500, dense)
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert seconds(decontaminate._times) < 0.7 * seconds(reduceat)
+
+
+def test_passage_frequencies(spark):
+    """Of passages of two stripes at every stripe, those that hold a term, by brute force: terms repeated within and across stripes and texts."""
+    rng = np.random.default_rng(6)
+    items = decontaminate.Items([(i, " ".join(f"w{j}" for j in rng.integers(0, 40, 30))) for i in range(3)])
+    texts = [" ".join(f"w{j}" if rng.random() < 0.1 else "other" for j in rng.integers(0, 60, n)) for n in (1, 31, 32, 33, 64, 65, 500, 1000)]
+    sparse = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, h long, text string").mapInArrow(
+        decontaminate._sparse(items.vocabulary), "doc_id long, h long, n long, pos array<int>, term array<int>"
+    )
+    windows = [set(decontaminate._of(t)[a : a + 64].tolist()) for t in texts if np.isin(decontaminate._of(t), items.vocabulary).any() for a in range(0, len(t.split()), 32)]
+    idf, _ = decontaminate.latent_space(sparse, items, most=1.0)
+    held = np.array([sum(w in x for x in windows) for w in items.vocabulary.tolist()])
+    assert held.max() > 5 and np.allclose(idf, np.log((len(windows) + 1) / (held + 1)) + 1e-3)
+
+
+def test_vocabulary_lookup():
+    """Numbers of hashes, also where several share their first bits, and at both ends."""
+    rng = np.random.default_rng(8)
+    some = rng.integers(0, 1 << 64, 3000, np.uint64)
+    vocabulary = np.unique(np.concatenate([some, some[:50] ^ np.uint64(1), np.arange(5, dtype=np.uint64), np.array([2**64 - 1], np.uint64)]))
+    h = rng.permutation(np.concatenate([vocabulary, vocabulary ^ np.uint64(2), rng.integers(0, 1 << 64, 3000, np.uint64)]))
+    for v in (vocabulary, vocabulary[:1], vocabulary[-1:]):
+        k, hit = decontaminate._lookup(v)(h)
+        assert np.array_equal(hit, np.isin(h, v)) and np.array_equal(v[k[hit]], h[hit])
+
+
 def test_lcs():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,27 +119,40 @@ def override(base: Column, edits: Column) -> Column:
     return F.map_filter(F.map_concat(kept, edits), lambda k, v: v != "")
 
 
-def keep_first(df: DataFrame, group: Sequence[str], order: str, keys: Sequence[str]) -> DataFrame:
+def keep_first(df: DataFrame, group: Sequence[str], order: str | Sequence[str], keys: Sequence[str]) -> DataFrame:
     """df and `reject` (null, or the key that an earlier kept row of the group has), as if scanned in order.
 
-    A row that is rejected for one key reserves none of its others. Groups are read as a whole by one task each: they are
-    entries of one manifest, whose number the format limits.
+    A row that is rejected for one key reserves none of its others; a null is no repeat. Rows of a group stream through one task in
+    order, nulls last: it holds the keys of the group's kept rows and no rows.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("reject", T.StringType())])
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def scan(pdf):
-        seen = {k: set() for k in keys}
-        out = []
-        pdf = pdf.sort_values(order, kind="stable")
-        for row in pdf[list(keys)].itertuples(index=False):
-            bad = next((k for k, v in zip(keys, row, strict=True) if v in seen[k]), None)
-            if bad is None:
-                for k, v in zip(keys, row, strict=True):
-                    seen[k].add(v)
-            out.append(bad)
-        return pdf.assign(reject=out)
-
-    return df.groupBy(*group).applyInPandas(scan, schema)
+    schema = T.StructType([*df.schema.fields, T.StructField("reject", T.StringType())])
+    arrow, keys, group = to_arrow_schema(schema), list(keys), list(group)
+
+    def values(column: pa.Array) -> list:
+        return [v if v == v else "NaN" for v in column.to_pylist()] if pa.types.is_floating(column.type) else column.to_pylist()
+
+    def scan(batches):
+        now, seen = None, []
+        for b in batches:
+            out = []
+            for at, row in zip(zip(*map(values, map(b.column, group)), strict=True), zip(*map(values, map(b.column, keys)), strict=True), strict=True):
+                if at != now:
+                    now, seen = at, [set() for _ in keys]
+                bad = None
+                for k, v, s in zip(keys, row, seen, strict=True):
+                    if v in s:
+                        bad = k
+                        break
+                else:
+                    for v, s in zip(row, seen, strict=True):
+                        if v is not None:
+                            s.add(v)
+                out.append(bad)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], schema=arrow)
+
+    return df.repartition(*group).sortWithinPartitions(*group, *[F.col(c).asc_nulls_last() for c in ([order] if isinstance(order, str) else order)]).mapInArrow(scan, schema)
 
 
 def swap(df: DataFrame, group: str, place: str, at: int) -> DataFrame:

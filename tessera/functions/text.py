@@ -61,9 +61,9 @@ def contrast(a: Column, b: Column) -> Column:
     return (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05)
 
 
-def timecode_ms(c: Column) -> Column:
-    """Milliseconds of mm:ss or mm:ss.f to mm:ss.fff, in brackets or not; null for anything else."""
-    p = r"^\s*\[?(\d{1,3}):([0-5]?\d)(?:\.(\d{1,3}))?\]?\s*$"
+def timecode_ms(c: Column, digits: int = 3) -> Column:
+    """Milliseconds of mm:ss or mm:ss.f to mm:ss.fff, with so many digits of minutes at most, in brackets or not; null for anything else."""
+    p = rf"^\s*\[?(\d{{1,{digits}}}):([0-5]?\d)(?:\.(\d{{1,3}}))?\]?\s*$"
     n = [F.regexp_extract(c, p, k) for k in (1, 2, 3)]
     return F.when(c.rlike(p), n[0].cast("long") * 60000 + n[1].cast("long") * 1000 + F.rpad(n[2], 3, "0").cast("long"))
 

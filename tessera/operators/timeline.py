@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import timecode, timecode_ms
 from tessera.functions.records import SECTION_TYPES
 
-TIME, TAG = r"^\d{1,2}:\d{2}(\.\d{1,3})?$", r"^[A-Za-z][A-Za-z0-9 _-]{0,31}$"
+TIME, LONG_TIME, TAG = r"^\d{1,2}:\d{2}(\.\d{1,3})?$", r"^\d{1,12}:\d{2}(\.\d{1,3})?$", r"^[A-Za-z][A-Za-z0-9 _-]{0,31}$"
 # Section names of lyrics that have a spelling of their own.
 LYRIC_SECTIONS = {"intro": "Intro", "verse": "Verse", "chorus": "Chorus", "bridge": "Bridge", "outro": "Outro", "pre-chorus": "Pre-Chorus", "prechorus": "Pre-Chorus", "hook": "Hook"}
 
@@ -63,29 +63,34 @@ def format_lyrics(rows: DataFrame, key: str) -> DataFrame:
     return g.select(key, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("lyrics"))
 
 
-def _spans(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n, start_ms, end_ms, tag, rest, error of lines "[start-end|tag] rest"; the end may be left out."""
+def _spans(df: DataFrame, key: str, text: str, long: bool = False) -> DataFrame:
+    """key, n, start_ms, end_ms, tag, rest, error of lines "[start-end|tag] rest"; the end may be left out.
+
+    The format's reader takes minutes of two digits, though its writer puts out more of them; long: they are taken too.
+    """
     stamp, tag, rest = bracketed(F.col("line"))
-    times = F.split(stamp, "-", 2)
-    first, last = F.get(times, F.lit(0)), F.get(times, F.lit(1))
-    start, end = timecode_ms(first), timecode_ms(last)
-    formed = F.coalesce(first.rlike(TIME) & (last.isNull() | last.rlike(TIME)), F.lit(False))
+    form, digits = (LONG_TIME, 12) if long else (TIME, 3)
+    rows = text_lines(df, key, text).withColumns({"_times": F.split(stamp, "-", 2), "_tag": tag, "_rest": rest})
+    first, last = F.get("_times", F.lit(0)), F.get("_times", F.lit(1))
+    rows = rows.withColumns({"_start": timecode_ms(first, digits), "_end": timecode_ms(last, digits)})  # each is used more than once
+    start, end = F.col("_start"), F.col("_end")
+    formed = F.coalesce(first.rlike(form) & (last.isNull() | last.rlike(form)), F.lit(False))
     error = _error((~formed, "not a range of times"), (start.isNull() | (last.isNotNull() & end.isNull()), "no such time"), (end <= start, "ends before it begins"))
-    rows = text_lines(df, key, text).withColumn("error", error)
+    rows = rows.withColumn("error", error)
     ok = F.col("error").isNull()
-    return rows.select(key, "n", *[F.when(ok, c).alias(x) for c, x in ((start, "start_ms"), (end, "end_ms"), (F.nullif(F.trim(tag), F.lit("")), "tag"), (F.nullif(rest, F.lit("")), "rest"))], "error")
+    return rows.select(key, "n", *[F.when(ok, c).alias(x) for c, x in ((start, "start_ms"), (end, "end_ms"), (F.nullif(F.trim("_tag"), F.lit("")), "tag"), (F.nullif(F.col("_rest"), F.lit("")), "rest"))], "error")
 
 
-def parse_sections(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n, start_ms, end_ms, type, title, error, of lines "[start-end|type] title"."""
+def parse_sections(df: DataFrame, key: str, text: str, long: bool = False) -> DataFrame:
+    """key, n, start_ms, end_ms, type, title, error, of lines "[start-end|type] title"; long: of 100 minutes and more too."""
     kind = F.lower("tag")
     kind = F.when(F.col("error").isNull(), F.when(kind.isin(*SECTION_TYPES), kind).otherwise("custom"))
-    return _spans(df, key, text).select(key, "n", "start_ms", "end_ms", kind.alias("type"), F.col("rest").alias("title"), "error")
+    return _spans(df, key, text, long).select(key, "n", "start_ms", "end_ms", kind.alias("type"), F.col("rest").alias("title"), "error")
 
 
-def parse_highlights(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n, start_ms, end_ms, use_case, label, error, of lines "[start-end|use] label"."""
-    return _spans(df, key, text).select(key, "n", "start_ms", "end_ms", F.lower("tag").alias("use_case"), F.col("rest").alias("label"), "error")
+def parse_highlights(df: DataFrame, key: str, text: str, long: bool = False) -> DataFrame:
+    """key, n, start_ms, end_ms, use_case, label, error, of lines "[start-end|use] label"; long: of 100 minutes and more too."""
+    return _spans(df, key, text, long).select(key, "n", "start_ms", "end_ms", F.lower("tag").alias("use_case"), F.col("rest").alias("label"), "error")
 
 
 def format_sections(rows: DataFrame, key: str) -> DataFrame:

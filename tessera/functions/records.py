@@ -260,10 +260,10 @@ def rights(j: Column | Record) -> Column:
     return F.when(F.coalesce(*texts, *rest).isNotNull(), F.struct(*texts, *rest))
 
 
-def identifiers(j: Column | Record) -> Column:
-    """Codes, catalogue numbers, links and dates of a release. Null without any."""
+def identifiers(j: Column | Record, digits: int = 14) -> Column:
+    """Codes (a barcode has so many digits at most), catalogue numbers, links and dates of a release. Null without any."""
     v = record(j).value
-    out = [isrc(string(v, "isrc")).alias("isrc"), *[barcode(string(v, n)).alias(n) for n in ("upc", "ean")], *[identifier(string(v, n), 64).alias(n) for n in ("catalogNumber", "releaseId")]]
+    out = [isrc(string(v, "isrc")).alias("isrc"), *[barcode(string(v, n), digits).alias(n) for n in ("upc", "ean")], *[identifier(string(v, n), 64).alias(n) for n in ("catalogNumber", "releaseId")]]
     out += [*[web_url(string(v, n)).alias(n) for n in ("artistUrl", "albumUrl", "sourceUrl")], _text(string(v, "distributor"), 128).alias("distributor"), *[_text(string(v, n), 32).alias(n) for n in ("releaseDate", "originalReleaseDate")]]
     return F.when(F.coalesce(*out).isNotNull(), F.struct(*out))
 
@@ -290,18 +290,19 @@ RECORDS = {
 }
 
 
-def read_all(df: DataFrame, chunks: str, name: str, strict: bool = True) -> DataFrame:
-    """df and, as `name`, the struct of all records of its map from FourCC to JSON text.
+def read_all(df: DataFrame, chunks: str, name: str, strict: bool = True, readers: dict[str, Callable[[Column | Record], Column]] | None = None) -> DataFrame:
+    """df and, as `name`, the struct of all records of its map from FourCC to JSON text; readers: others than those of RECORDS.
 
     strict: as the format's reader has it, one record of more than MOST bytes makes all records of its row null; text that is no JSON nulls its own record only.
     """
-    text = {k: F.try_element_at(F.col(chunks), F.lit(k)) for k in RECORDS}
-    parsed = df.withColumns({f"_v_{k}": parse(text[k]) for k in RECORDS})
-    read = F.struct(*[f(Record(F.col(f"_v_{k}"), text[k])).alias(k.lower()) for k, f in RECORDS.items()])
+    read_by = RECORDS | (readers or {})
+    text = {k: F.try_element_at(F.col(chunks), F.lit(k)) for k in read_by}
+    parsed = df.withColumns({f"_v_{k}": parse(text[k]) for k in read_by})
+    read = F.struct(*[f(Record(F.col(f"_v_{k}"), text[k])).alias(k.lower()) for k, f in read_by.items()])
     if strict:
         long = F.exists(F.array(*[F.coalesce(F.octet_length(t), F.lit(0)) for t in text.values()]), lambda n: n > MOST)
         read = F.when(~long, read)
-    return parsed.withColumn(name, read).drop(*[f"_v_{k}" for k in RECORDS])
+    return parsed.withColumn(name, read).drop(*[f"_v_{k}" for k in read_by])
 
 
 def encode(record: Column) -> Column:

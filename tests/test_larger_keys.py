@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions import records
 from tessera.operators import catalog, timeline
 from tessera.plans import library_queries as plans
 from tests.oracle import same
@@ -39,9 +41,20 @@ def test_highlights_parse_beyond_99_minutes(spark, shifted):
     same(plans.QUERIES["highlights_parse"](spark, at), con, plans.ORACLES["highlights_parse"])
 
 
+def test_json_records_beyond_a_million_parts(spark, shifted):
+    con, at = shifted("part", p_partkey="p_size % 3 * 1200000")
+    same(plans.QUERIES["json_records"](spark, at), con, plans.ORACLES["json_records"])
+
+
 def test_long_times_only_where_asked_for(spark):
     df = spark.createDataFrame([(1, "[99:59-100:00] a\n[100:00.5-12345:01.25|share] b\n[9999999999999:00] c\n[100:60] d\n[100:00-99:00] e")], "i int, h string")
     got = {r.n: r for r in timeline.parse_highlights(df, "i", "h", long=True).collect()}
     assert (got[1].start_ms, got[1].end_ms, got[2].start_ms, got[2].end_ms, got[2].use_case) == (5_999_000, 6_000_000, 6_000_500, 740_701_250, "share")
     assert [got[n].error for n in (3, 4, 5)] == ["Line 3: not a range of times", "Line 4: no such time", "Line 5: ends before it begins"]
     assert all(r.error for r in timeline.parse_highlights(df, "i", "h").collect())
+
+
+def test_barcodes_have_14_digits_unless_asked(spark):
+    df = spark.createDataFrame([('{"upc": "00-12 3456 1000000", "ean": "12345678"}',)], "j string")
+    r = df.select(records.identifiers(F.col("j")).alias("a"), records.identifiers(F.col("j"), 15).alias("b")).first()
+    assert (r.a.upc, r.a.ean, r.b.upc, r.b.ean) == (None, "12345678", "001234561000000", "12345678")

@@ -7,6 +7,7 @@
   its filters, but not the columns that a query drops later.)
 - Option payloads: small (default: as a lazy scan, audio and large payloads stay null), all, or none.
 - Option split (bytes, 128 MB): small files share a task; with payloads=all a larger file is cut into byte ranges, each with the chunks that begin in it.
+- The driver lists folder after folder until it has MOST_LISTED files; each folder that is left goes to a task, which lists it and reads its files whole.
 
 A file that breaks off, or is no container, gives the chunks before that. Names that begin with `_` or `.` are left out.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 import fnmatch
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,8 @@ TYPES = {c.split()[0]: KINDS[c.split()[1]] for c in CHUNKS.split(", ")}
 STEM, LOADED = ("stem_id", "part_index", "part_count"), ("crc_ok", "payload")
 #: Bytes of a fragment that hold its header; what a task opens a file for; rows are handed on at so many bytes.
 FRAGMENT_HEADER, OPEN_COST, BATCH_BYTES = 128, 1 << 20, 8 << 20
+#: Files after which the driver lists no further folder; rows of a batch of metadata.
+MOST_LISTED, BATCH_ROWS = 10_000, 500
 
 
 def _passes(f: ds.Filter, value) -> bool:
@@ -153,10 +157,51 @@ def _system(uri: str):
     return (fs.LocalFileSystem(), uri, "") if "://" not in uri else (*fs.FileSystem.from_uri(uri), uri[: uri.index("://") + 3])
 
 
+def _listed(system, folder: str) -> tuple[list, list]:
+    """Files and folders of a folder, hidden ones left out."""
+    from pyarrow import fs
+
+    found = [f for f in system.get_file_info(fs.FileSelector(folder)) if f.base_name[:1] not in ("_", ".")]
+    return [f for f in found if f.type == fs.FileType.File], [f.path for f in found if f.type == fs.FileType.Directory]
+
+
+def _tree(system, folders: list[str], most: float = float("inf")) -> Iterator[tuple[list, list]]:
+    """The files of each folder and of those below, one folder at a time; with the last ones the folders that are left once there are more than `most` files."""
+    n, left = 0, list(folders)
+    while left:
+        files, more = _listed(system, left.pop())
+        left += more
+        n += len(files)
+        if n > most or not left:
+            yield files, left
+            return
+        yield files, []
+
+
+def _found(root: str) -> tuple[list[tuple[str, int]], list[str]]:
+    """(path, size) of files under root, or of root itself, and the folders that were not listed. A folder's own files are listed at once, however many."""
+    from pyarrow import fs
+
+    system, base, head = _system(root)
+    if (own := system.get_file_info(base)).type != fs.FileType.Directory:
+        return [(head + own.path, own.size)] if own.type == fs.FileType.File else [], []
+    files, left = [], []
+    for some, left in _tree(system, [base], MOST_LISTED):
+        files += [(head + f.path, f.size) for f in some]
+    return files, [head + f for f in left]
+
+
+def _below(folder: str) -> Iterator[tuple[str, int]]:
+    """(path, size) of the files under a folder."""
+    system, base, head = _system(folder)
+    for files, _ in _tree(system, [base]):
+        yield from ((head + f.path, f.size) for f in files)
+
+
 class _Files(ds.InputPartition):
-    """Files, or ranges of files: (path, start, end)."""
+    """Files, or ranges of files: (path, start, end); folders that a task lists: (path, 0, None)."""
 
-    def __init__(self, parts: list[tuple[str, int, int]]):
+    def __init__(self, parts: list[tuple[str, int, int | None]]):
         super().__init__(len(parts))
         self.parts = parts
 
@@ -175,16 +220,14 @@ class _Reader(ds.DataSourceReader):
             else:
                 yield f
 
-    def partitions(self):
-        from pyarrow import fs
+    def _asked(self, path: str) -> bool:
+        return (not self.glob or fnmatch.fnmatch(path.rpartition("/")[2], self.glob)) and self.ask.passes("path", path)
 
-        system, base, head = _system(self.root)
-        found = system.get_file_info(fs.FileSelector(base, recursive=True)) if system.get_file_info(base).type == fs.FileType.Directory else [system.get_file_info(base)]
-        hidden = lambda p: any(x[:1] in "_." for x in p[len(base) :].split("/") if x)
-        files = [(head + f.path, f.size) for f in found if f.type == fs.FileType.File and not hidden(f.path) and (not self.glob or fnmatch.fnmatch(f.base_name, self.glob))]
+    def partitions(self):
+        files, folders = _found(self.root)
         whole = self.ask.payloads == "all" and "payload" in self.ask.columns
         parts, now, cost = [], [], 0
-        for path, size in sorted(((p, s) for p, s in files if self.ask.passes("path", p)), key=lambda x: -x[1]):
+        for path, size in sorted(((p, s) for p, s in files if self._asked(p)), key=lambda x: -x[1]):
             for start in range(0, max(size, 1), self.split) if whole else [0]:
                 end = min(start + self.split, size) if whole else size
                 add = OPEN_COST + (end - start if whole else min(size, OPEN_COST))
@@ -192,12 +235,20 @@ class _Reader(ds.DataSourceReader):
                     parts, now, cost = [*parts, _Files(now)], [], 0
                 now.append((path, start, end))
                 cost += add
-        return [*parts, _Files(now)] if now else parts or [_Files([])]
+        parts += [_Files(now)] if now else []
+        return [_Files([(f, 0, None)]) for f in folders] + parts or [_Files([])]  # the long ones first
+
+    def _ranges(self, part: _Files) -> Iterator[tuple[str, int, int]]:
+        for path, start, end in part.parts:
+            if end is None:
+                yield from ((p, 0, size) for p, size in _below(path) if self._asked(p))
+            else:
+                yield path, start, end
 
     def read(self, part):
         rows, size = [], 0
         schema = pa.schema([(n, TYPES[n]) for n in self.ask.columns])
-        for path, start, end in part.parts:
+        for path, start, end in self._ranges(part):
             system, name, _ = _system(path)
             with system.open_input_file(name) as f:
 
@@ -255,14 +306,32 @@ def metadata_row(read: Callable[[int, int], bytes], size: int, prefix: int = PRE
     return (head or {}) | {"meta": [{"key": k, "value": v} for k, v in meta], "cover_mime": cover[0] if cover else None, "cover": cover[1] if cover else None}
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length of the files under a folder, or of one file: folders are listed by tasks once the driver has listed MOST_LISTED files."""
+    files, folders = _found(path)
+    units = [(p, n) for p, n in files] + [(f, None) for f in folders]
+
+    def run(batches):
+        for b in batches:
+            for name, length in zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True):
+                rows = iter([(name, length)]) if length is not None else _below(name)
+                while some := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["path", "length"])
+
+    # a folder is a task's work, and so are some hundred files
+    n = max(1, len(folders), len(units) // 256, min(len(units), spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame(units, "path string, length long").repartition(n).mapInArrow(run, "path string, length long")
+
+
 def read_metadata(files: DataFrame, prefix: int = PREFIX) -> DataFrame:
-    """HEADS of files (path, length), as spark.read.format("binaryFile") lists them: its content column is not read."""
+    """HEADS of files (path, length), as list_files or spark.read.format("binaryFile") lists them: the latter's content column is not read."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = files.sparkSession.createDataFrame([], HEADS).schema
     arrow = to_arrow_schema(schema)
 
     def run(batches):
+        rows, size = [], 0
         for b in batches:
             for path, length in zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True):
                 system, name, _ = _system(path)
@@ -272,6 +341,12 @@ def read_metadata(files: DataFrame, prefix: int = PREFIX) -> DataFrame:
                         f.seek(at)
                         return f.read(n)
 
-                    yield pa.RecordBatch.from_pylist([{"path": path, "length": length} | metadata_row(read, length, prefix)], arrow)
+                    rows.append({"path": path, "length": length} | metadata_row(read, length, prefix))
+                size += len(rows[-1]["cover"] or b"")
+                if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, arrow)
 
     return files.select("path", "length").mapInArrow(run, schema)

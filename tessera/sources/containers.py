@@ -46,11 +46,18 @@ def read_containers(spark: SparkSession, path: str) -> DataFrame:
     return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
 
 
+def _few(batches, rows: int = 256):
+    """Batches of so many rows: what Python copies of a batch is this large at most."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def chunk_rows(files: DataFrame) -> DataFrame:
     """A row per chunk of files (path, content): CHUNKS. A file that breaks off gives the chunks before that."""
 
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 rows = []
                 try:
@@ -70,7 +77,7 @@ def pack_text(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, source, lang) as container files: path, content. The text's bytes are one audio frame."""
 
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             cols = [b.column(c).to_pylist() for c in ("doc_id", "text", "source", "lang")]
             paths, files = [], []
             for doc_id, text, source, lang in zip(*cols, strict=True):
